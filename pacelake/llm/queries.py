@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, simhash, token_counts, token_file
+from . import byte_bpe, decontaminate, quality, simhash, token_counts, token_file
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), shared)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
@@ -44,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op9_token_file": op9_token_file,
     "op10_simhash": op10_simhash,
@@ -68,4 +73,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2}
+_BLANKS = "chr(9) || chr(13) || ' '"
+
+_OP6 = f"""
+WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, p) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY r),
+lines AS (SELECT r, source, lower(trim(x, {_BLANKS})) AS line, length(x) AS chars FROM (SELECT r, source, unnest(l) AS x FROM w)),
+freq AS (SELECT source, line, count(DISTINCT r) AS n FROM lines GROUP BY ALL HAVING count(DISTINCT r) > 50),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY ALL),
+bad AS (SELECT f.source, f.line FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 0.01 * h.n),
+gone AS (SELECT r, sum(chars) AS n FROM lines JOIN bad ON lines.line = bad.line AND lines.source IS NOT DISTINCT FROM bad.source GROUP BY r),
+total AS (SELECT r, sum(chars) AS n FROM lines GROUP BY r),
+base AS (SELECT doc_id, w.r, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_chars, coalesce(total.n, 0) AS chars
+    FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r) LEFT JOIN total USING (r)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_chars, NOT base_failed AND chars - removed_chars >= 0.5 * chars AS kept FROM failed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality": _OP6, "op2_decontamination": _OP2}
