@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, quality, simhash, token_counts, token_file
+from . import byte_bpe, decontaminate, line_dedup, quality, simhash, token_counts, token_file, toxicity
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.write(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json")).documents()
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_token_file": op9_token_file,
     "op10_simhash": op10_simhash,
 }
