@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of the plain word class: everything that is not 0-9, a letter or above 0x7F.
 _WORD_TABLE = bytes(
@@ -81,3 +82,8 @@ def own_name(df: DataFrame, base: str) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def documents_with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (a hash of id and text that tells rows apart, but for repeated ones) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("doc"), "text")

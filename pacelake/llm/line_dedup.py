@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import own_name, slices, stored
+from .common import documents_with_key, own_name, slices, stored
 from .components import components
 
 SHINGLE, BANDS, ROWS, MIN_CHARS = 8, 12, 4, 20
@@ -67,11 +67,10 @@ def band_keys(lines: list[str]) -> np.ndarray:
     """Band keys, a row for each line; each line has SHINGLE characters at least."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     h = _mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    step = 1
+    factor, step = 0x9E3779B97F4A7C15, 1
     while step < SHINGLE:  # hashes of 2, 4, 8 characters from those of 1, 2, 4
-        h = h[:-step] * factor + h[step:]
-        factor = factor * factor
+        h = h[:-step] * np.uint64(factor) + h[step:]
+        factor = factor * factor & (1 << 64) - 1
         step *= 2
     many = sizes - SHINGLE + 1
     owner = np.repeat(np.arange(len(lines)), many)
@@ -132,10 +131,6 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINES.split(", ")])
 
 
-def documents_with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("doc"), "text")
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """A row for each document (n_lines) and for each judged line (line_no, line), stored."""
     return stored(documents_with_key(docs).mapInArrow(_lines, LINES), "lines")

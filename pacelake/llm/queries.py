@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, quality, simhash, token_counts, token_file, toxicity
+from . import byte_bpe, decontaminate, licenses, line_dedup, quality, simhash, token_counts, token_file, toxicity, warc
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("block")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -33,6 +37,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    own = F.transform("found", lambda x: x["label"])
+    at = F.col("base_places")
+    return found.select(
+        "doc_id", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
+        F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", F.array_sort(F.array_union("base_labels", own))).alias("labels"),
+        F.when(F.size("found") > 0, 1.0).when(F.size(at) > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
@@ -55,9 +70,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
@@ -107,4 +124,74 @@ failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_chars, NOT base_failed AND chars - removed_chars >= 0.5 * chars AS kept FROM failed
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_quality": _OP6, "op2_decontamination": _OP2}
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _warc_sql() -> str:
+    """The same patterns, read by RE2."""
+    def replaced(x: str, pairs: list[tuple[str, str]]) -> str:
+        for pattern, by in pairs:
+            x = f"regexp_replace({x}, {_text(pattern)}, {_text(by)}, 'g')"
+        return x
+
+    named = "y"
+    for name, char in warc.ENTITIES.items():
+        named = f"replace({named}, '&{name};', {_text(char)})"
+    digits = "regexp_extract(p, '^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});', 1)"
+    point = f"CASE WHEN lower({digits})[1] = 'x' THEN CAST('0x' || {digits}[2:] AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END"
+    urn = lambda x: f"'<urn:uuid:' || regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
+    crlf = "chr(13) || chr(10)"
+    return f"""
+WITH r AS (SELECT page_id, url AS target_uri, {_text(warc.NO_DATE)} AS date, coalesce(html, '') AS payload,
+    {urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS refers_to,
+    'Content-Type: text/html; charset=utf-8' || {crlf} || 'source-Content-Length: ' || strlen(coalesce(html, '')) AS source,
+    'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} AS headers FROM pages),
+s AS (SELECT *, {replaced("payload", warc.STRIP)} AS x FROM r),
+n AS (SELECT *, string_split(x, '&#') AS ps FROM s),
+t AS (SELECT *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: CASE WHEN {digits} = '' THEN '&#' || p
+    ELSE CASE WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr(CAST({point} AS INTEGER)) ELSE chr(65533) END || substr(p, length({digits}) + 2) END), '') AS y FROM n),
+u AS (SELECT *, {replaced(named, warc.TIDY)} AS text, {urn("'conversion|' || refers_to")} AS conversion_id, {urn("'metadata|' || refers_to")} AS metadata_id,
+    'sha256:' || sha256(payload) AS source_payload_digest, 'sha256:' || sha256(headers || payload) AS source_block_digest FROM t),
+v AS (SELECT *, 'source-' || source || {crlf} || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-block-digest: ' || source_block_digest || {crlf}
+    || 'title: ' || regexp_replace(trim(regexp_extract(payload, {_text(warc.TITLE)}, 1)), '\\s+', ' ', 'g') || {crlf} || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href\\s*=')) || {crlf}
+    || 'text-characters: ' || length(text) || {crlf} AS fields FROM u)
+SELECT page_id, 'conversion' AS record_type, conversion_id AS record_id, refers_to, metadata_id AS concurrent_to, target_uri, date, 'text/plain' AS content_type,
+    CAST(strlen(text) AS BIGINT) AS content_length, 'sha256:' || sha256(text) AS block_digest, source_payload_digest, source_block_digest FROM v
+UNION ALL SELECT page_id, 'metadata', metadata_id, refers_to, conversion_id, target_uri, date, 'application/warc-fields', CAST(strlen(fields) AS BIGINT), 'sha256:' || sha256(fields), source_payload_digest, source_block_digest FROM v
+"""
+
+
+def _license_sql() -> str:
+    """Templates as regular expressions over the words, each with a space after it."""
+    def expression(parts: list) -> str:
+        out = ""
+        for p in parts:
+            if isinstance(p, bytes):
+                out += f"{p.decode()} "
+            elif isinstance(p, licenses.Var):
+                out += f"(?:{p.match.replace('.', '[^ ]')} ){{{p.low},{p.high}}}"
+            else:
+                out += f"(?:{expression(p)})?"
+        return out
+
+    phrases = ", ".join(f"({_text(p)}, {_text(x)}, {len(p.split())})" for p, x in licenses.BASE.items())
+    needed = lambda t: "[" + ", ".join(_text(w.decode()) for w in sorted(licenses.compile_template(t).needed)) + "]"
+    templates = ", ".join(f"({_text(x)}, {_text('(^| )' + expression(licenses.parse(t)))}, {needed(t)})" for x, t in licenses.TEMPLATES.items())
+    return f"""
+WITH phrases(p, label, n) AS (VALUES {phrases}), templates(label, re, needed) AS (VALUES {templates}),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+base AS (SELECT r, label, unnest(list_filter(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' ') = p)) AS k FROM d, phrases),
+b AS (SELECT r, count(*) AS n, min(k) AS first_word, max(k) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r),
+m AS (SELECT r, list(DISTINCT label) AS labels FROM d, templates
+    WHERE CASE WHEN list_has_all(w, needed) THEN regexp_matches(array_to_string(w, ' ') || ' ', re) ELSE false END GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+    coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+    CASE WHEN m.labels IS NOT NULL THEN 1.0::DOUBLE WHEN b.n > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": _warc_sql(), "op5_licenses": _license_sql(), "op6_quality": _OP6, "op2_decontamination": _OP2}

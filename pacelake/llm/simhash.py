@@ -28,11 +28,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import LOWER_TABLE, slices, stored
+from .common import LOWER_TABLE, documents_with_key, own_name, slices, stored
 from .components import components, hook
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -64,12 +64,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> b
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, limit=1 << 22):
         raw = b"".join([fingerprint(t) for t in b.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc"), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "doc", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, doc (a hash of id and text) and fp (the fingerprint as a signed long) of every row."""
+    return documents_with_key(docs).mapInArrow(_fingerprints, "doc_id long, doc long, fp long")
 
 
 def bucket_keys(fp: Column, radius: int, k: int) -> list[Column]:
@@ -173,11 +173,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links, its own included) of every row."""
+    """doc_id, doc, fp, component_id (the smallest doc_id reachable over links, its own included) and root (a
+    fingerprint that stands for the component) of every row."""
     marked = stored(fingerprints(docs), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "doc", "fp", "component_id", "root")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, that come first (by doc_id, nulls last, and hash) in their group."""
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc")
+    key, nth = own_name(docs, "row_key"), own_name(docs, "nth_row")
+    first = groups(docs, radius).groupBy("root").agg(F.min(place).alias("place")).select(F.col("place.doc").alias(key))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(first, key, "left_semi")
+    same = Window.partitionBy(key).orderBy(key)
+    return keyed.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
