@@ -146,7 +146,7 @@ def first_match(x: Column | str, rules: Sequence[tuple[str, str]], otherwise: st
 def band(x: Column | str, edges: Sequence[float], labels: Sequence[str], right: bool = False) -> Column:
     """Label of the interval [a, b) (or (a, b]) that holds x; null outside."""
     x, out = c(x), None
-    for a, b, label in zip(edges, edges[1:], labels, strict=True):
+    for a, b, label in zip(edges[:-1], edges[1:], labels, strict=True):
         inside = (x > a) & (x <= b) if right else (x >= a) & (x < b)
         out = (F if out is None else out).when(inside, label)
     return out

@@ -96,7 +96,7 @@ def capture(df: DataFrame, group: Sequence[str], y: str, p: str, tie: str, top:
 
 def entropy(share: Column) -> Column:
     """-sum p ln p over a group's shares, zero shares left out."""
-    return -F.sum(F.when(share > 0, share * F.ln(share)))
+    return F.lit(0.0) - F.sum(F.when(share > 0, share * F.ln(share)))
 
 
 def herfindahl(share: Column) -> Column:

@@ -67,7 +67,7 @@ def ratio_of_sums(t):
     return t("lineitem").groupBy("l_suppkey").agg(r4(ratio(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), F.sum("l_quantity"))).alias("return_rate"))
 
 
-@query("e14_entropy_herfindahl", f"WITH {GAMES}, s AS (SELECT player_id, units / sum(units) OVER (PARTITION BY player_id) AS p FROM games) SELECT player_id, round(-sum(p * ln(p)) FILTER (WHERE p > 0), 4) AS entropy, round(sum(p * p), 4) AS hhi FROM s GROUP BY 1")
+@query("e14_entropy_herfindahl", f"WITH {GAMES}, s AS (SELECT player_id, units / sum(units) OVER (PARTITION BY player_id) AS p FROM games) SELECT player_id, round(0 - sum(p * ln(p)) FILTER (WHERE p > 0), 4) AS entropy, round(sum(p * p), 4) AS hhi FROM s GROUP BY 1")
 def entropy(t):
     p = F.col("units") / F.sum("units").over(Window.partitionBy("player_id"))
     return t.games().select("player_id", p.alias("p")).groupBy("player_id").agg(r4(E.entropy(F.col("p"))).alias("entropy"), r4(E.herfindahl(F.col("p"))).alias("hhi"))
@@ -147,7 +147,7 @@ def bootstrap(t):
 
 @query("e27_pivot", "SELECT user_id, CAST(coalesce(count(*) FILTER (WHERE event_type = 'view'), 0) AS BIGINT) AS view, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id")
 def pivot(t):
-    return t("events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.count("*")).na.fill(0, ["view", "click", "purchase"])
+    return t("events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.count(F.lit(1))).na.fill(0, ["view", "click", "purchase"])
 
 
 @query("e28_decayed_mean", "WITH m AS (SELECT max(ts) AS now FROM events) SELECT user_id, round(sum(value * pow(2, -((epoch_us(now) - epoch_us(ts)) / 86400000000.0::DOUBLE) / 21)) / sum(pow(2, -((epoch_us(now) - epoch_us(ts)) / 86400000000.0::DOUBLE) / 21)), 4) AS decayed FROM events, m WHERE value IS NOT NULL GROUP BY user_id")
