@@ -1 +1,38 @@
-"""."""
+"""Streaming twins on the events table (survey K, extensions)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import streaming as S
+from .registry import query, r4
+
+
+@query("k10_tumbling_window", "SELECT CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start_us, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def tumbling(t):
+    out = S.drain(S.tumbling(S.event_stream(t.spark, t.folder), "ts", "1 day", "60 days", "event_type"), "complete", "tumbling")
+    return out.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@query("k10_sliding_window", "SELECT CAST(epoch_us(b) AS BIGINT) - d * 3600000000 AS start_us, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, unnest(range(0, 6)) AS d FROM events) GROUP BY 1")
+def sliding(t):
+    out = S.drain(S.sliding(S.event_stream(t.spark, t.folder), "ts", "6 hours", "1 hour", "60 days"), "complete", "sliding")
+    return out.select(F.unix_micros("window.start").alias("start_us"), "n")
+
+
+@query("k10_session_window", """WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 6 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, count(*) AS n FROM b GROUP BY user_id, s""")
+def session(t):
+    e = t("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+
+
+@query("k01_streamed_current_state", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def streamed_state(t):
+    return S.drain(S.current_state(S.event_stream(t.spark, t.folder), "user_id", "ts", "event_id", "event_type"), "complete", "state")
+
+
+@query("k02_streamed_dedup", "SELECT DISTINCT user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us FROM events")
+def streamed_dedup(t):
+    out = S.drain(S.deduplicated(S.event_stream(t.spark, t.folder).select("user_id", "event_type", "ts"), "ts", "60 days", "user_id", "event_type", "ts"), "append", "dedup")
+    return out.select("user_id", "event_type", F.unix_micros("ts").alias("us"))
