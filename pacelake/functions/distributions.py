@@ -63,7 +63,11 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-@F.pandas_udf("array<double>")
-def decreasing(values: pd.Series, weights: pd.Series) -> pd.Series:
+def decreasing(values: Column | str, weights: Column | str) -> Column:
     """``pool_adjacent`` of arrays, such as survival probabilities at rising thresholds."""
-    return pd.Series([None if v is None or w is None else pool_adjacent(np.asarray(v, float), np.asarray(w, float)) for v, w in zip(values, weights, strict=True)])
+
+    @F.pandas_udf("array<double>")
+    def pooled(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else pool_adjacent(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(v, w, strict=True)])
+
+    return pooled(values, weights)

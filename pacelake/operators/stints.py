@@ -49,10 +49,15 @@ def lineups(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int =
     first = starters.groupBy("game", "side").agg(F.sort_array(F.collect_set("player")).alias("starters"))
     none = F.array().cast("array<struct<at:int, ins:array<string>, outs:array<string>>>")
     both = first.join(ordered, ["game", "side"], "left").join(length, "game").withColumn("subs", F.coalesce("subs", none))
-    folded = both.select("game", "side", _fold(F.col("starters"), F.col("subs"), F.col("seconds").cast("int"), size).alias("f"))
-    bad = folded.where("f.reason is not null").select("game", "side", F.col("f.reason").alias("reason"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), F.lit(None).cast("array<string>").alias("court"))
-    good = folded.where("f.reason is null").select("game", "side", F.lit(None).cast("string").alias("reason"), F.explode("f.made").alias("m")).select("game", "side", "reason", "m.from", "m.to", F.sort_array("m.court").alias("court"))
-    return bad.unionByName(good)
+    row = "array<struct<reason:string, from:int, to:int, court:array<string>>>"
+    none = F.array(F.struct(F.lit(None).alias("reason"), F.lit(None).alias("from"), F.lit(None).alias("to"), F.lit(None).alias("court"))).cast(row)
+
+    def rows(f: Column) -> Column:  # the folded side: one row with the reason, or its intervals
+        made = F.transform(f["made"], lambda m: F.struct(F.lit(None).alias("reason"), m["from"].alias("from"), m["to"].alias("to"), F.sort_array(m["court"]).alias("court"))).cast(row)
+        return F.when(f["reason"].isNotNull(), F.transform(none, lambda x: x.withField("reason", f["reason"]))).otherwise(made)
+
+    folded = F.transform(F.array(_fold(F.col("starters"), F.col("subs"), F.col("seconds").cast("int"), size)), rows)[0]  # computed once
+    return both.select("game", "side", F.explode(folded).alias("r")).select("game", "side", "r.*")
 
 
 def player_stints(intervals: DataFrame) -> DataFrame:
