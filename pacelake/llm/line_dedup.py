@@ -1,23 +1,25 @@
 """Fuzzy line dedup by MinHash: of each group of near-equal lines one line stays.
 
-Lines are compared in a normal form (lower case, runs of blanks as one space); lines with
+Lines are compared in a normal form (lower case, outer blanks off, runs of blanks as one space); lines with
 fewer than ``MIN_CHARS`` characters in it are not judged and always stay.
 
 1. ``line_table`` splits every text and stores a row for each judged line.  A line that its
    task has not seen before also gets its normal form and ``BANDS`` band keys, from a
    one-permutation MinHash of its character shingles (empty bins borrow from the next).
 2. Lines that share a band key are candidates.  The (key, line) rows are sorted by key and
-   streamed; buckets of one line go, and small buckets with the same lines become one.
-3. Candidates get their normal forms, and each bucket is verified by exact Jaccard
-   similarity of shingle sets.  A line is compared only with lines of components that it
-   doesn't belong to yet, so a bucket of near copies costs a few comparisons for each, and
-   only a forest of links is returned.  A bucket above ``SHARD`` lines is dealt into shards,
-   each of which meets all lines of the bucket in blocks.
+   streamed; buckets of one line go, and buckets with the same least line become one group.
+3. Candidates get their normal forms, and each group is verified by exact Jaccard
+   similarity of shingle sets.  A task keeps a union-find: a line is compared only with
+   lines of components that it doesn't belong to yet, and only a forest of links is returned.
+   A large group is indexed by shingle; its most central lines come first, and once they hold
+   most of the group, only the others have to be compared with all.  A group above ``SHARD``
+   lines is dealt into shards, each of which meets all lines of the group in blocks.
 4. ``components`` unites the links; the first occurrence (by doc_id, document, line) of each
    component stays.
 
-Of lines with Jaccard similarity 0.8 a share of 1 - (1 - 0.8 ** 4) ** 12 = 0.998 meets in a
-bucket, and more of closer ones.  Lines are known by 64-bit hashes of their normal forms.
+Of lines with Jaccard similarity 0.8 a share of 1 - (1 - 0.8 ** 4) ** 10 = 0.995 meets in a
+bucket, and more of closer ones.  Lines are known by 64-bit hashes of their normal forms, and
+shingles by 64-bit hashes.
 
 Null and empty texts have one line that is not judged.  A document is known by a hash of
 its id and text: repeated rows get the same decisions, and null ids count as smallest.  Extra
@@ -38,13 +40,13 @@ from xxhash import xxh64_intdigest
 from .common import documents_with_key, own_name, slices, stored
 from .components import components
 
-SHINGLE, BANDS, ROWS, MIN_CHARS = 8, 12, 4, 20
+SHINGLE, BANDS, ROWS, MIN_CHARS = 8, 10, 4, 20
 #: Similarity 4 / 5.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Lines of a shard; lines that a task verifies at once; candidates that may be broadcast.
 SHARD, BLOCK, BROADCAST_LINES = 4096, 8192, 1_000_000
-#: Buckets up to this size are merged with buckets of the same lines; larger ones keep their key.
-MERGED = 64
+#: Groups up to this size are compared pair by pair; central lines that open a larger one.
+SMALL, CENTRAL = 48, 4
 #: Line hashes that a task remembers, and (key, line) rows that it holds for one bucket.
 SEEN, HELD = 1_000_000, 1 << 20
 
@@ -53,34 +55,61 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def normal_form(line: str) -> str:
-    return " ".join(line.lower().split())
+    x = line.lower().strip()
+    return " ".join(x.split()) if "  " in x or "\t" in x or "\r" in x or "\xa0" in x else x
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    """The finalizer of a 64-bit hash (SplitMix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def band_keys(lines: list[str]) -> np.ndarray:
-    """Band keys, a row for each line; each line has SHINGLE characters at least."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = _mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+    """The finalizer of a 64-bit hash (SplitMix64), in place."""
+    t = h >> np.uint64(30)
+    h ^= t
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(h, np.uint64(27), out=t)
+    h ^= t
+    h *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(h, np.uint64(31), out=t)
+    h ^= t
+    return h
+
+
+def _rolled(text: str) -> np.ndarray:
+    """A hash of the SHINGLE characters from each place: those of 2, 4, 8 from those of 1, 2, 4."""
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h += np.uint64(0x632BE59BD9B4E019)
     factor, step = 0x9E3779B97F4A7C15, 1
-    while step < SHINGLE:  # hashes of 2, 4, 8 characters from those of 1, 2, 4
+    while step < SHINGLE:
         h = h[:-step] * np.uint64(factor) + h[step:]
         factor = factor * factor & (1 << 64) - 1
         step *= 2
-    many = sizes - SHINGLE + 1
-    owner = np.repeat(np.arange(len(lines)), many)
-    at = np.arange(len(owner)) + np.repeat((SHINGLE - 1) * np.arange(len(lines)), many)
-    h = _mix(h[at])
+    return _mix(h)
+
+
+def _signatures(lines: list[str]) -> np.ndarray:
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = _rolled("".join(lines))
     bins = BANDS * ROWS
-    cell = owner * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    sig = np.full(len(lines) * bins, _EMPTY, np.uint32)
+    owner = np.repeat(np.arange(len(lines)) * bins, sizes)[: len(h)]
+    cell = owner + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+    if len(lines) > 1:  # shingles over the end of a line belong to none
+        cell[(np.cumsum(sizes[:-1])[:, None] - np.arange(1, SHINGLE)).ravel()] = len(lines) * bins
+    sig = np.full(len(lines) * bins + 1, _EMPTY, np.uint32)
     np.minimum.at(sig, cell, h.astype(np.uint32))
-    sig = sig.reshape(-1, bins)
+    return sig[:-1].reshape(-1, bins)
+
+
+def band_keys(lines: list[str], chunk: int = 1 << 15) -> np.ndarray:
+    """Band keys, a row for each line; each line has SHINGLE characters at least."""
+    parts, held, n = [], [], 0
+    for x in lines:  # runs of lines that fit in a processor's cache
+        held.append(x)
+        n += len(x)
+        if n >= chunk:
+            parts.append(_signatures(held))
+            held, n = [], 0
+    if held:
+        parts.append(_signatures(held))
+    bins = BANDS * ROWS
+    sig = np.concatenate(parts)
     lacking = np.flatnonzero((sig == _EMPTY).any(axis=1))
     if len(lacking):
         part, own = sig[lacking].copy(), sig[lacking]
@@ -93,7 +122,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
         sig[lacking] = part
     key = np.zeros((len(lines), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
-        key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::ROWS][:, :BANDS].astype(np.uint64))
+        key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::ROWS])
     return key.view(np.int64)
 
 
@@ -137,28 +166,25 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, line) of buckets with two lines and more; rows come by key and line."""
-    names = ["group", "line"]
+    """(group, line) of buckets with two lines and more, where the group is the least line; rows come by key and line."""
     key, line, spilled = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
-    def out(g: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(x, pa.int64())], names)
+    def out(group: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(x, pa.int64())], ["group", "line"])
 
     def found(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])))
         k, x = k[new], x[new]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.append(first, len(k)))
-        same = np.add.reduceat(_mix(x.view(np.uint64)), first).view(np.int64)
-        group = np.where(size <= MERGED, same, k[first])
         keep = np.repeat(size > 1, size)
-        return out(np.repeat(group, size)[keep], x[keep])
+        return out(np.repeat(x[first], size)[keep], x[keep])
 
     for b in batches:
         key, line = (np.concatenate((h, np.asarray(c))) for h, c in zip((key, line), b.columns, strict=True))
         if spilled is not None:
-            more = key == spilled
-            yield out(key[more], line[more])
+            more = key == spilled[0]
+            yield out(np.full(more.sum(), spilled[1]), line[more])
             key, line = key[~more], line[~more]
         if not len(key):
             continue
@@ -167,8 +193,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield found(key[~last], line[~last])
             key, line = key[last], line[last]
         if len(key) > HELD:
-            spilled = int(key[0])
-            yield out(key, line)
+            spilled = int(key[0]), int(line[0])
+            yield out(np.full(len(key), spilled[1]), line)
             key, line = key[:0], line[:0]
     if len(key):
         yield found(key, line)
@@ -181,61 +207,123 @@ def candidates(lines: DataFrame) -> DataFrame:
     return stored(found.distinct(), "line-candidates")
 
 
-def alike(a: set[str], b: set[str]) -> bool:
+def shingles(norm: str) -> np.ndarray:
+    """Hashes of the line's shingles, ascending, each once."""
+    return np.unique(_rolled(norm))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = sorted((len(a), len(b)))
     if DENOMINATOR * small < NUMERATOR * large:
         return False
-    both = len(a & b)
-    return DENOMINATOR * both >= NUMERATOR * (small + large - both)
-
-
-def shingles(norm: str) -> set[str]:
-    return {norm[i : i + SHINGLE] for i in range(len(norm) - SHINGLE + 1)}
-
-
-def _verified(own: list[tuple[int, set[str]]], queries: list[tuple[int, set[str]]]) -> list[tuple[int, int]]:
-    """A forest of the links between queries and own lines; roots are the numbers of components so far."""
-    number = {line: i for i, line in enumerate(dict.fromkeys(x for x, _ in own + queries))}
-    root = np.arange(len(number))
-    of = np.array([number[x] for x, _ in own], np.int64)
-    edges = []
-    for line, grams in queries:
-        me = number[line]
-        untested = of != me
-        while True:
-            rest = np.flatnonzero(untested & (root[of] != root[me]))
-            if not len(rest):
-                break
-            for k in rest[:32].tolist():
-                untested[k] = False
-                if root[of[k]] != root[me] and alike(grams, own[k][1]):
-                    edges.append((line, own[k][0]))
-                    root[root == root[of[k]]] = root[me]
-                    break
-    return edges
+    both = np.concatenate((a, b))
+    both.sort()
+    n = int(np.count_nonzero(both[1:] == both[:-1]))
+    return DENOMINATOR * n >= NUMERATOR * (small + large - n)
+
+
+class Index:
+    """Lines by shingle: similarities of a line to all of them at once."""
+
+    def __init__(self, grams: list[np.ndarray]):
+        self.sizes = np.array([len(g) for g in grams])
+        owner = np.repeat(np.arange(len(grams)), self.sizes)
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        self.gram, self.first, counts = np.unique(flat, return_index=True, return_counts=True)
+        self.ends = self.first + counts
+        common = np.bincount(self.owner, np.repeat(counts, counts).astype(float), len(grams)) / self.sizes
+        self.central = np.argsort(-common, kind="stable")  # lines whose shingles most others have too
+
+    def alike(self, g: np.ndarray) -> np.ndarray:
+        """Numbers of the lines that are similar enough to one with these shingles."""
+        at = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
+        at = at[self.gram[at] == g]
+        first, many = self.first[at], self.ends[at] - self.first[at]
+        total = int(many.sum())
+        rows = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
+        both = np.bincount(self.owner[rows], minlength=len(self.sizes))
+        return np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (self.sizes + len(g) - both))
+
+
+class Links:
+    """A task's union-find over lines, and the shingles of those it has met last."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.grams: dict[int, np.ndarray] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def unite(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+    def of(self, line: int, norm: str) -> np.ndarray:
+        got = self.grams.get(line)
+        if got is None:
+            if len(self.grams) >= 2 * SHARD:
+                self.grams.clear()
+            got = self.grams[line] = shingles(norm)
+        return got
+
+    def verify(self, own: list[tuple[int, str]], queries: list[tuple[int, str]]) -> None:
+        """Finds the links between queries and own lines that join components."""
+        if not own or len({self.find(x) for x, _ in own} | {self.find(x) for x, _ in queries}) == 1:
+            return
+        if len(own) > SMALL:
+            return self._verify_large(own, queries)
+        for line, norm in queries:
+            for other, form in own:
+                if self.find(line) != self.find(other) and alike(self.of(line, norm), self.of(other, form)):
+                    self.unite(line, other)
+
+    def _verify_large(self, own: list[tuple[int, str]], queries: list[tuple[int, str]]) -> None:
+        index = Index([self.of(*x) for x in own])
+        for k in index.central[:CENTRAL].tolist():
+            for near in index.alike(self.of(*own[k])).tolist():
+                self.unite(own[k][0], own[near][0])
+        hub = own[int(index.central[0])][0]
+        mine = {x for x, _ in own}
+        for line, norm in queries:
+            if self.find(line) != self.find(hub):
+                for near in index.alike(self.of(line, norm)).tolist():
+                    self.unite(line, own[near][0])
+            elif line not in mine:  # own lines outside the hub's component have their own turn
+                for other, form in own:
+                    if self.find(other) != self.find(hub) and alike(self.of(line, norm), self.of(other, form)):
+                        self.unite(line, other)
+
+    def edges(self) -> pa.RecordBatch:
+        pairs = [(x, self.find(x)) for x in list(self.parent)]
+        self.parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, own, line, norm) come by group, a shard's own lines first."""
-    group, own, queries = None, [], []
-    edges: list[tuple[int, int]] = []
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
-
+    links, group, own, queries = Links(), None, [], []
     for b in batches:
-        for g, mine, line, norm in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for g, mine, line, norm in zip(*(b.column(c).to_pylist() for c in ("group", "own", "line", "norm")), strict=True):
             if g != group or len(queries) >= BLOCK:
-                edges += _verified(own, queries)
+                links.verify(own, queries)
                 own, queries, group = own if g == group else [], [], g
-            x = (line, shingles(norm))
-            queries.append(x)
+            queries.append((line, norm))
             if mine:
-                own.append(x)
-        yield done()
-        edges.clear()
-    edges += _verified(own, queries)
-    yield done()
+                own.append((line, norm))
+        if len(links.parent) > HELD:
+            yield links.edges()
+    links.verify(own, queries)
+    yield links.edges()
 
 
 def links(lines: DataFrame) -> DataFrame:

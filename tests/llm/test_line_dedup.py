@@ -3,14 +3,18 @@ import random
 from pacelake.llm import line_dedup
 
 
+def grams(norm):
+    return {norm[i : i + line_dedup.SHINGLE] for i in range(len(norm) - line_dedup.SHINGLE + 1)}
+
+
 def plain_decisions(rows):
-    """All pairs of judged lines."""
+    """All pairs of judged lines, their shingles as strings."""
     places, parent = [], []
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         for k, line in enumerate((text or "").split("\n")):
             norm = line_dedup.normal_form(line)
             if len(norm) >= line_dedup.MIN_CHARS:
-                places.append((doc_id, k, line_dedup.shingles(norm)))
+                places.append((doc_id, k, grams(norm)))
     parent = list(range(len(places)))
 
     def find(x):
@@ -20,7 +24,7 @@ def plain_decisions(rows):
 
     for i in range(len(places)):
         for j in range(i):
-            if find(i) != find(j) and line_dedup.alike(places[i][2], places[j][2]):
+            if find(i) != find(j) and 5 * len(places[i][2] & places[j][2]) >= 4 * len(places[i][2] | places[j][2]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     gone = {d: [] for d, _ in rows}
