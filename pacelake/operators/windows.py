@@ -21,7 +21,10 @@ class History:
     def __init__(self, entity: Sequence[str] | str, *order: str | Column):
         self.entity = [entity] if isinstance(entity, str) else list(entity)
         self.order = list(order)
-        self.rows: WindowSpec = Window.partitionBy(*self.entity).orderBy(*self.order)
+
+    @property
+    def rows(self) -> WindowSpec:  # made when it is used: a module may hold a History before there is a session
+        return Window.partitionBy(*self.entity).orderBy(*self.order)
 
     def before(self) -> WindowSpec:
         return self.rows.rowsBetween(Window.unboundedPreceding, -1)
