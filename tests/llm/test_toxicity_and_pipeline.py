@@ -77,7 +77,8 @@ def test_each_stage_on_its_own_input(spark, sf, stages):
     assert sum(d in rows["toxicity"] for d in learned) <= 0.2 * len(learned)
     gone = [d for d in rows["documents"] if d not in rows["toxicity"]]
     assert sum(labels.get(d) == 0 for d in gone) <= 2
-    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(cut)) for (d, t), cut in ((x, plain_decisions_cached[x[0]]) for plain_decisions_cached in [plain_decisions(list(rows["toxicity"].items()))] for x in rows["toxicity"].items())}
+    cut = plain_decisions(list(rows["toxicity"].items()))
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(cut[d])) for d, t in rows["toxicity"].items()}
     assert rows["line_dedup"] == want
     ids = sorted(rows["line_dedup"])
     groups = plain_components(ids, [plain_fingerprint(rows["line_dedup"][d]) for d in ids])
