@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE_SQL, QUERIES
 
-for _name in ("histories", "pointintime", "aggregates", "scalars", "relational", "reconstruction", "features", "evaluating", "decisions", "integrity", "streams"):
+for _name in ("histories", "pointintime", "aggregates", "scalars", "relational", "reconstruction", "features", "evaluating", "decisions", "protocols", "integrity", "streams"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
