@@ -137,11 +137,9 @@ def _warc_sql() -> str:
             x = f"regexp_replace({x}, {_text(pattern)}, {_text(by)}, 'g')"
         return x
 
-    named = "y"
-    for name, char in warc.ENTITIES.items():
-        named = f"replace({named}, '&{name};', {_text(char)})"
-    digits = "regexp_extract(p, '^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});', 1)"
+    digits = f"regexp_extract(p, {_text(warc.NUMERIC)}, 1)"
     point = f"CASE WHEN lower({digits})[1] = 'x' THEN CAST('0x' || {digits}[2:] AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END"
+    named = " ".join(f"WHEN starts_with(p, '{name};') THEN {_text(char)} || substr(p, {len(name) + 2})" for name, char in warc.ENTITIES.items())
     urn = lambda x: f"'<urn:uuid:' || regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
     crlf = "chr(13) || chr(10)"
     return f"""
@@ -150,10 +148,11 @@ WITH r AS (SELECT page_id, url AS target_uri, {_text(warc.NO_DATE)} AS date, coa
     'Content-Type: text/html; charset=utf-8' || {crlf} || 'source-Content-Length: ' || strlen(coalesce(html, '')) AS source,
     'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} AS headers FROM pages),
 s AS (SELECT *, {replaced("payload", warc.STRIP)} AS x FROM r),
-n AS (SELECT *, string_split(x, '&#') AS ps FROM s),
-t AS (SELECT *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: CASE WHEN {digits} = '' THEN '&#' || p
-    ELSE CASE WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr(CAST({point} AS INTEGER)) ELSE chr(65533) END || substr(p, length({digits}) + 2) END), '') AS y FROM n),
-u AS (SELECT *, {replaced(named, warc.TIDY)} AS text, {urn("'conversion|' || refers_to")} AS conversion_id, {urn("'metadata|' || refers_to")} AS metadata_id,
+n AS (SELECT *, string_split(x, '&') AS ps FROM s),
+t AS (SELECT *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: CASE WHEN {digits} <> '' THEN
+    CASE WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr(CAST({point} AS INTEGER)) ELSE chr(65533) END || substr(p, length({digits}) + 3)
+    {named} ELSE '&' || p END), '') AS y FROM n),
+u AS (SELECT *, {replaced("y", warc.TIDY)} AS text, {urn("'conversion|' || refers_to")} AS conversion_id, {urn("'metadata|' || refers_to")} AS metadata_id,
     'sha256:' || sha256(payload) AS source_payload_digest, 'sha256:' || sha256(headers || payload) AS source_block_digest FROM t),
 v AS (SELECT *, 'source-' || source || {crlf} || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-block-digest: ' || source_block_digest || {crlf}
     || 'title: ' || regexp_replace(trim(regexp_extract(payload, {_text(warc.TITLE)}, 1)), '\\s+', ' ', 'g') || {crlf} || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href\\s*=')) || {crlf}

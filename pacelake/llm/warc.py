@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .quality import let
 
-#: Named entities and the characters they stand for; amp comes last.
+#: Named entities and the characters they stand for.
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
     "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
@@ -34,10 +34,11 @@ ENTITIES = {
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h[1-6]", "header", "hr", "li", "main", "nav", "ol", "option", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul")
 #: Patterns that both Java's and RE2's regular expressions read alike, with what replaces them.
-STRIP = [(r"(?s)<!--.*?(-->|$)", " ")]
-STRIP += [(rf"(?is)<{t}\b[^>]*>.*?(</{t}\s*>|$)", " ") for t in HIDDEN]
-STRIP += [(rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n"), (r"<[a-zA-Z/!?][^>]*>", "")]
-TIDY = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+_GONE = "|".join([r"!--.*?(?:-->|\z)", *(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in HIDDEN)])
+STRIP = [(rf"(?is)<(?:{_GONE})", " "), (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n"), (r"<[a-zA-Z/!?][^>]*>", "")]
+TIDY = [(r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+\z", "")]
+#: A numeric reference behind its &, with or without x for hexadecimal.
+NUMERIC = r"^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 #: The date of records whose source names none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -49,25 +50,24 @@ def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-def _numeric(text: Column) -> Column:
-    """Numeric character references, decimal and hexadecimal."""
+def _decoded(text: Column) -> Column:
+    """Named and numeric character references, each once: what follows an & up to its semicolon."""
     def one(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        name, digits = F.substring_index(piece, ";", 1), F.regexp_extract(piece, NUMERIC, 1)
         point = F.when(digits.startswith("x") | digits.startswith("X"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).cast("long")
         valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise("�")
-        return F.when(digits == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(digits) + 2)))
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        out = F.when(~piece.contains(";"), F.concat(F.lit("&"), piece)).when(piece.startswith("#"), F.when(digits == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(number, F.substr(piece, F.length(digits) + 3))))
+        for entity, char in ENTITIES.items():
+            out = out.when(name == entity, F.concat(F.lit(char), F.substr(piece, F.lit(len(entity) + 2))))
+        return out.otherwise(F.concat(F.lit("&"), piece))
 
-    pieces = let(F.split(text, "&#"), lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), one), "")))
-    return F.when(text.contains("&#"), pieces).otherwise(text)
+    return let(F.split(text, "&"), lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), one), "")))
 
 
 def text_of(html: Column) -> Column:
     """Plain text of an HTML page."""
-    text = _numeric(_replaced(html, STRIP))
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return _replaced(text, TIDY)
+    return _replaced(_decoded(_replaced(html, STRIP)), TIDY)
 
 
 def urn(*parts: Column) -> Column:
