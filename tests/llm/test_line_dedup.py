@@ -72,3 +72,24 @@ def test_edge_cases(spark, docs_of):
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.where("doc_id < 7").collect()} == {(4, "", 0), (5, None, 0), (6, "", 0), (2, f"{line}\nshort", len(line) + 6)}
     assert line_dedup.decisions(docs_of([])).count() == 0
+
+
+def test_short_lines_are_judged(spark, docs_of):
+    texts = ["Read more\nthe first text", "READ  more\nthe second one\nContents", "contents\nseven77\nseven77", "Share this page\nRead more"]
+    got = {r.doc_id: r.removed for r in line_dedup.decisions(docs_of(texts)).collect()}
+    assert got == {0: [], 1: [0], 2: [0], 3: [1]}
+
+
+def test_bands_miss_few_pairs_at_the_limit():
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS < 0.002
+    rng, met, n = random.Random(3), 0, 0
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=40))
+    while n < 4000:
+        x = word() + word() + word()
+        k = rng.randrange(20, 100)
+        y = x[:k] + "".join(rng.choices("qrstuvwxyz", k=5)) + x[k:]
+        a, b = grams(x), grams(y)
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            p, q = line_dedup.band_keys([x, y])
+            n, met = n + 1, met + bool((p == q).any())
+    assert met >= 0.995 * n, met / n
