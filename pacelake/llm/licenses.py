@@ -7,6 +7,8 @@ makes a token automaton of it: states with a word, any of some words, or nothing
 edges.  A text is accepted where its words run through the automaton, so that all
 mandatory wording matches exactly and in order; blanks, case (A-Z) and marks don't count.
 
+A wording of ``EXCLUDED`` right after an accepted text takes its label away, as "or later" does for -only.
+
 Base labels come from phrases alone.  Texts are scanned one by one in a projection, without
 a shuffle; the templates are a fixed few, sent with the task.  A template is tried only
 in texts that hold all its mandatory words, from each place of one of its first words.
@@ -28,19 +30,77 @@ from .common import slices, words_of
 
 #: Base phrases with their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates with their labels (SPDX identifiers), after the licenses' own notices.
+_HOLDER = '<<var;name="holder";match=".+";words="1-12">>'
+_WORK = '<<beginOptional>>This <<var;name="kind";match="[a-z]+";words="1-2">> is <<endOptional>>'
+_ITEM = {n: f"<<beginOptional>>{n}. <<endOptional>>" for n in (1, 2, 3)}
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,' \
+    " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_MIT_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND' \
+    f" <<beginOptional>>NONINFRINGEMENT<<endOptional>><<beginOptional>>NON-INFRINGEMENT<<endOptional>>. IN NO EVENT SHALL {_HOLDER} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE," \
+    " ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:" \
+    f" {_ITEM[1]}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer." \
+    f" {_ITEM[2]}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_DISCLAIMER = f'THIS SOFTWARE IS PROVIDED BY {_HOLDER} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.' \
+    f" IN NO EVENT SHALL {_HOLDER} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;" \
+    " OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE," \
+    " EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,' \
+    " DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR" \
+    " PERFORMANCE OF THIS SOFTWARE."
+
+
+def _gnu(name: str, version: str, later: bool) -> str:
+    """The notice that the GNU licenses tell authors to use."""
+    which = f"either version {version} of the License, or <<beginOptional>>(at your option) <<endOptional>>any later version." if later else f"version {version} of the License<<beginOptional>> only<<endOptional>>."
+    return f"This <<var;name=\"kind\";match=\"[a-z]+\";words=\"1-2\">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {which}"
+
+
+def _creative_commons(elements: str, named: bool) -> str:
+    words = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+    what = "Creative Commons " + "-".join(words[x] for x in elements.split("-")) if named else f"<<beginOptional>>Creative Commons <<endOptional>>CC {elements}"
+    return f"{_WORK}licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>{what} 4.0 <<beginOptional>>International <<beginOptional>>License<<endOptional>><<endOptional>>"
+
+
+_CC = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+
+#: Templates with their labels (SPDX identifiers), after the licenses' own notices and whole texts.
+#: ``-text`` is a license's whole wording, ``-notice`` the notice that it tells authors to use, ``-name`` its long name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License."
     " <<beginOptional>>You may obtain a copy of the License at <<var;name=\"address\";match=\"[a-z0-9]+\";words=\"1-8\">><<endOptional>><<endOptional>>",
-    "CC-BY-NC-4.0": "<<beginOptional>>This <<var;name=\"kind\";match=\"[a-z]+\";words=\"1-2\">> is<<endOptional>> licensed under"
-    " <<beginOptional>>a <<endOptional>><<beginOptional>>Creative Commons <<endOptional>>CC BY-NC 4.0 <<beginOptional>>International License<<endOptional>>",
-    "GPL-3.0-only": "<<beginOptional>>This <<var;name=\"kind\";match=\"[a-z]+\";words=\"1-2\">> is <<endOptional>>licensed under the GNU General Public License, version 3",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,"
-    " either version 3 of the License, or <<beginOptional>>(at your option) <<endOptional>>any later version.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    " You may obtain a copy of the License at <<var;name=\"address\";match=\"[a-z0-9]+\";words=\"1-8\">> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,"
+    " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    **{f"CC-{x}-4.0": _creative_commons(x, False) for x in _CC},
+    **{f"CC-{x}-4.0-name": _creative_commons(x, True) for x in _CC},
+    "GPL-3.0-only": f"{_WORK}licensed under the GNU General Public License, version 3<<beginOptional>>.0<<endOptional>><<beginOptional>> only<<endOptional>>",
+    "GPL-2.0-only": f"{_WORK}licensed under the GNU General Public License, version 2<<beginOptional>>.0<<endOptional>><<beginOptional>> only<<endOptional>>",
+    **{f"{short}-{v}.{m}-or-later": _gnu(name, v if m == "0" else f"{v}.{m}", True) for short, name, v, m in (("GPL", "General Public License", "2", "0"), ("GPL", "General Public License", "3", "0"), ("LGPL", "Lesser General Public License", "2", "1"), ("LGPL", "Lesser General Public License", "3", "0"), ("AGPL", "Affero General Public License", "3", "0"))},
+    **{f"{short}-{v}.{m}-only-notice": _gnu(name, v if m == "0" else f"{v}.{m}", False) for short, name, v, m in (("GPL", "General Public License", "2", "0"), ("GPL", "General Public License", "3", "0"), ("LGPL", "Lesser General Public License", "2", "1"), ("LGPL", "Lesser General Public License", "3", "0"), ("AGPL", "Affero General Public License", "3", "0"))},
+    **{f"GPL-{v}.0-or-later-name": f"{_WORK}licensed under the GNU General Public License, version {v}<<beginOptional>>.0<<endOptional>> or <<beginOptional>>(at your option) <<endOptional>><<beginOptional>>any <<endOptional>>later" for v in "23"},
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;name=\"address\";match=\"[a-z0-9]+\";words=\"1-8\">>",
     "MIT": "<<beginOptional>><<beginOptional>>This <<var;name=\"kind\";match=\"[a-z]+\";words=\"1-2\">> is <<endOptional>>released <<endOptional>>under the MIT License"
     " <<beginOptional>>Copyright <<beginOptional>>(c) <<endOptional>><<var;name=\"holder\";match=\".+\";words=\"1-12\">> all rights reserved<<endOptional>>",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-text": f"{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software."
+    f" {_MIT_DISCLAIMER}",
+    "MIT-0-text": f"{_MIT_GRANT}. {_MIT_DISCLAIMER}",
+    "X11-text": f"{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    f" {_MIT_DISCLAIMER} Except as contained in this notice, the name of {_HOLDER} shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from {_HOLDER}",
+    "JSON-text": f"{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    f" The Software shall be used for Good, not Evil. {_MIT_DISCLAIMER}",
+    "BSD-2-Clause-text": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "BSD-3-Clause-text": f"{_BSD_CONDITIONS} {_ITEM[3]}Neither the name of {_HOLDER} may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}",
+    "ISC-text": f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_DISCLAIMER}",
+    "0BSD-text": f"{_ISC_GRANT}. {_ISC_DISCLAIMER}",
 }
+#: Wordings that make another license of what is accepted right before them.
+_LATER = ("or <<beginOptional>>(at your option) <<endOptional>><<beginOptional>>any <<endOptional>>later", "and <<beginOptional>>any <<endOptional>>later", "or newer", "or above", "or higher", "or greater")
+EXCLUDED = {
+    **{x: (*_LATER, *(f"of the License {y}" for y in _LATER)) for x in TEMPLATES if "-only" in x},
+    "MIT-text": ("Except as contained in this notice, the name of",),
+}
 
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
 FOUND = "doc_id long, n_words long, base_places array<int>, base_labels array<string>, found array<struct<label string, start int, end int>>"
@@ -164,6 +224,7 @@ def places(words: list[bytes], phrase: list[bytes], present: set[bytes]) -> list
 
 def _scan(templates: dict[str, str], base: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automata = {label: Automaton(t) for label, t in templates.items()}
+    excluded = {label: [Automaton(t) for t in EXCLUDED[label]] for label in templates if label in EXCLUDED}
     phrases = [(words_of(p), label) for p, label in base.items()]
     for b in slices(batches):
         cols: list[list] = [[], [], [], []]
@@ -171,7 +232,7 @@ def _scan(templates: dict[str, str], base: dict[str, str], batches: Iterator[pa.
             words = words_of(text)
             present = set(words)
             at = [(k, label) for p, label in phrases for k in places(words, p, present)]
-            found = [{"label": label, "start": s, "end": e} for label, a in automata.items() for s, e in a.matches(words, present)]
+            found = [{"label": label, "start": s, "end": e} for label, a in automata.items() for s, e in a.matches(words, present) if not any(x.end_of(words, e) for x in excluded.get(label, ()))]
             for c, v in zip(cols, (len(words), sorted(k for k, _ in at), sorted({x for _, x in at}), found), strict=True):
                 c.append(v)
         span = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -121,6 +121,25 @@ def test_license_scan_edge_cases(spark, docs_of):
     assert licenses.scan(docs_of([])).count() == 0
 
 
+def test_licenses_need_their_whole_wording(spark, docs_of):
+    grant = licenses._MIT_GRANT
+    notice = "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    end = licenses._MIT_DISCLAIMER.replace("<<beginOptional>>NONINFRINGEMENT<<endOptional>><<beginOptional>>NON-INFRINGEMENT<<endOptional>>", "NONINFRINGEMENT").replace(licenses._HOLDER, "THE AUTHORS OR COPYRIGHT HOLDERS")
+    bsd, bsd_end = (x.replace("<<beginOptional>>", "").replace("<<endOptional>>", "").replace(licenses._HOLDER, "THE COPYRIGHT HOLDERS AND CONTRIBUTORS") for x in (licenses._BSD_CONDITIONS, licenses._BSD_DISCLAIMER))
+    gpl = "This work is licensed under the GNU General Public License, version 3"
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, {}."
+    cases = [
+        (grant, []), (f"{grant}, {notice} {end}", ["MIT-text"]), (f"{grant}. {end}", ["MIT-0-text"]), (f"{grant}, {notice} The Software shall be used for Good, not Evil. {end}", ["JSON-text"]),
+        (f"{grant}, {notice} {end} Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.", ["X11-text"]),
+        (f"{grant}, {notice} The name may not be used. {end}", []), (f"{gpl}.", ["GPL-3.0-only"]), (f"{gpl}. Or so", ["GPL-3.0-only"]), (f"{gpl} or later.", ["GPL-3.0-or-later-name"]), (f"{gpl}, or (at your option) any later version.", ["GPL-3.0-or-later-name"]), (f"{gpl} or newer", []),
+        (free.format("General Public License", "either version 3 of the License, or (at your option) any later version"), ["GPL-3.0-or-later"]), (free.format("General Public License", "version 2 of the License"), ["GPL-2.0-only-notice"]), (free.format("Lesser General Public License", "either version 2.1 of the License, or any later version"), ["LGPL-2.1-or-later"]),
+        (f"{bsd} {bsd_end}", ["BSD-2-Clause-text"]), (f"{bsd} 3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {bsd_end}", ["BSD-3-Clause-text"]), (bsd, []),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0-name"]),
+    ]
+    got = {r.doc_id: [f.label for f in r.found] for r in licenses.scan(docs_of([t for t, _ in cases])).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(cases)}
+
+
 def plain_repeats(words):
     seen = {}
     for i in range(len(words) - 7):
