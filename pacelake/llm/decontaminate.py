@@ -112,6 +112,8 @@ class Phrases:
 
     def matches(self, seg: Segment, slop: int) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
         """Each phrase that occurs with its exact starts and its starts within the slop."""
+        if 2 * slop >= GAP:
+            raise ValueError(f"a slop of {slop} reaches over the {GAP} places between documents")
         term = np.array([seg.number.get(w, -1) for w in self.words], np.int64)
         df = np.where(term >= 0, (seg.ends - seg.first)[term] if len(seg.ends) else 0, 0)
         lists: dict[int, np.ndarray] = {}
@@ -128,12 +130,20 @@ class Phrases:
                 order = np.argsort(counts[k], kind="stable")
                 offset = int(order[0])
                 near = exact = of(int(all_words[k, offset])) - offset
-                tolerance = slop if length + slop < GAP else 0
+                wide = length + 2 * slop >= GAP  # might reach into the next document
+                low = high = None
+                if wide:
+                    d = seg.document(near + offset)
+                    low, high = seg.bounds[d], seg.bounds[d] + seg.n_words[d]
                 for offset in order[1:].tolist():
                     postings = of(int(all_words[k, offset]))
-                    i = np.searchsorted(postings, near + (offset - tolerance))
-                    found = np.append(postings, 1 << 62)[i]
-                    near = near[found <= near + (offset + tolerance)]
+                    least = near + (offset - slop)
+                    found = np.append(postings, 1 << 62)[np.searchsorted(postings, np.maximum(least, low) if wide else least)]
+                    ok = found <= near + (offset + slop)
+                    if wide:
+                        ok &= found < high
+                        low, high = low[ok], high[ok]
+                    near = near[ok]
                     if len(exact):
                         i = np.searchsorted(postings, exact + offset)
                         exact = exact[np.append(postings, -1)[i] == exact + offset]
@@ -243,9 +253,9 @@ def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: in
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Exact matches over the whole table, with the digest of the items and the verdict."""
-    found = search(build(docs), benchmark, slop=0)
+    """Matches over the whole table: exact ones with the digest of the items and the verdict, and number and digest of the near items."""
+    found = search(build(docs), benchmark)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.concat_ws(",", "near_items"), 256).alias("near_items_sha256"),
     )

@@ -96,6 +96,28 @@ def test_proximity_and_spans(spark, docs_of):
     assert near == {0: ["q"], 1: ["q"], 2: [], 3: [], 4: [], 5: []}
 
 
+def test_report_and_query_run_the_proximity_search(spark, sf, docs_of):
+    item = "the quick brown fox jumps over the lazy dog today"
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.report(docs_of([f"so {item} indeed", item.replace("over", "right over"), item.replace("over", "a b c over"), "the dog"]), bench).collect()}
+    assert [(got[i].n_items, got[i].n_near_items, got[i].n_hit, got[i].contaminated) for i in range(4)] == [(1, 1, 10, True), (0, 1, 0, False), (0, 0, 0, False), (0, 0, 0, False)]
+    assert got[1].near_items_sha256 == got[0].items_sha256 != got[2].near_items_sha256
+    rows = queries.QUERIES["op2_proximity"](spark, sf).collect()
+    assert all(r.n_near_items >= r.n_items for r in rows) and any(r.n_near_items for r in rows)
+
+
+def test_long_phrases_keep_their_slop_within_documents(spark, docs_of):
+    words = [f"w{i}" for i in range(63)]
+    put_in = words[:30] + ["x"] + words[30:]
+    bench = spark.createDataFrame([("q", " ".join(words))], "item_id string, text string")
+    index = decontaminate.build(docs_of([" ".join(put_in), " ".join(words[:60]), " ".join(words[60:])]).coalesce(1))
+    got = {r.doc_id: (r["items"], r.near_items) for r in decontaminate.search(index, bench, size=63).collect()}
+    assert got == {0: ([], ["q"]), 1: ([], []), 2: ([], [])}
+    short = spark.createDataFrame([("r", "z1 z2")], "item_id string, text string")
+    apart = decontaminate.build(docs_of(["z1", "z2"]).coalesce(1))
+    assert [r.near_items for r in decontaminate.search(apart, short, slop=31).collect()] == [[], []]
+
+
 @pytest.mark.parametrize(
     ("template", "text", "spans"),
     [
