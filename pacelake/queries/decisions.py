@@ -57,10 +57,9 @@ def crps(t):
 
 @query("j47_monotone_survival")
 def survival(t):
-    """Shares of a player's games above rising thresholds on half the games, made monotone by pooling."""
+    """Shares of all of a player's games above rising thresholds, held monotone by pooling."""
     steps = (40, 80, 120, 160)
-    shares = [F.avg(F.when(F.col("game_id") % 4 == i, (F.col("units") >= x).cast("double"))) for i, x in enumerate(steps)]
-    g = t.games().groupBy("player_id").agg(F.array(*[F.coalesce(s, F.lit(0.5)) for s in shares]).alias("raw"), F.array(*[F.greatest(F.count_if(F.col("game_id") % 4 == i), F.lit(1)).cast("double") for i in range(4)]).alias("w"))
+    g = t.games().groupBy("player_id").agg(F.array(*[F.avg((F.col("units") >= x).cast("double")) for x in steps]).alias("raw"), F.array(*[F.count("units").cast("double")] * len(steps)).alias("w"))
     return g.select("player_id", F.transform(D.decreasing("raw", "w"), lambda x: F.round(x, 4)).alias("survival"))
 
 

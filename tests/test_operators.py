@@ -172,3 +172,21 @@ def test_ingest_is_idempotent(spark):
     fresh = T.insert_missing(old, new, ["k"])
     assert [(r.k, r.v) for r in fresh.collect()] == [(2, "c")]
     assert T.insert_missing(old.union(fresh), new, ["k"]).count() == 0
+
+
+def test_survival_counts_every_game_of_a_player(spark):
+    from pacelake.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    lines, orders = (spark.read.parquet(f"{folder}/{x}.parquet").toPandas() for x in ("lineitem", "orders"))
+    games = orders.merge(lines.groupby("l_orderkey").l_quantity.sum().rename("units"), left_on="o_orderkey", right_index=True)
+    want = {k: [float((u.astype(float) >= x).mean()) for x in (40, 80, 120, 160)] for k, u in games.groupby("o_custkey").units}
+    got = {r.player_id: r.survival for r in QUERIES["j47_monotone_survival"](spark, folder).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+
+
+def test_pooling_of_arrays_that_rise(spark):
+    df = spark.createDataFrame([([0.9, 0.5, 0.7, 0.1], [1.0, 1.0, 3.0, 1.0]), ([0.1, 0.4, 0.7], [1.0, 1.0, 2.0])], "v array<double>, w array<double>")
+    pooled = [r.p for r in df.select(D.decreasing("v", "w").alias("p")).collect()]
+    assert np.allclose(pooled[0], [0.9, 0.65, 0.65, 0.1]) and np.allclose(pooled[1], [0.475] * 3)
