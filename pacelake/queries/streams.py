@@ -34,5 +34,5 @@ def streamed_state(t):
 
 @query("k02_streamed_dedup", "SELECT DISTINCT user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us FROM events")
 def streamed_dedup(t):
-    out = S.drain(S.deduplicated(S.event_stream(t.spark, t.folder).select("user_id", "event_type", "ts"), "ts", "60 days", "user_id", "event_type", "ts"), "append", "dedup")
+    out = S.drain(S.distinct(S.event_stream(t.spark, t.folder).select("user_id", "event_type", "ts"), "user_id", "event_type", "ts"), "append", "dedup")
     return out.select("user_id", "event_type", F.unix_micros("ts").alias("us"))

@@ -52,6 +52,11 @@ def deduplicated(stream: DataFrame, time: str, late: str, *keys: str) -> DataFra
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def distinct(stream: DataFrame, *keys: str) -> DataFrame:
+    """First rows of keys, however late they come; the state holds every key, which suits a table that is drained."""
+    return stream.dropDuplicates(list(keys))
+
+
 def current_state(stream: DataFrame, key: str, time: str, tie: str, *values: str) -> DataFrame:
     """The newest row of each key so far (state of one row for each key)."""
     return stream.groupBy(key).agg(F.max_by(F.struct(tie, *values), F.struct(time, tie)).alias("s")).select(key, "s.*")

@@ -190,3 +190,21 @@ def test_pooling_of_arrays_that_rise(spark):
     df = spark.createDataFrame([([0.9, 0.5, 0.7, 0.1], [1.0, 1.0, 3.0, 1.0]), ([0.1, 0.4, 0.7], [1.0, 1.0, 2.0])], "v array<double>, w array<double>")
     pooled = [r.p for r in df.select(D.decreasing("v", "w").alias("p")).collect()]
     assert np.allclose(pooled[0], [0.9, 0.65, 0.65, 0.1]) and np.allclose(pooled[1], [0.475] * 3)
+
+
+def test_streamed_dedup_drops_no_late_row(spark, tmp_path):
+    import datetime
+    import os
+
+    from pacelake.queries import QUERIES
+
+    for i in range(20):  # the newest times come first, so that all of the third trigger is late
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=40 * (19 - i))
+        part = str(tmp_path / f"part-{i}")
+        spark.createDataFrame([(i, "view", at), (i, "view", at), (99, "click", at)], "user_id long, event_type string, ts timestamp").coalesce(1).write.parquet(part)
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        name = next(x for x in os.listdir(part) if x.endswith(".parquet"))
+        os.rename(f"{part}/{name}", tmp_path / "events.parquet" / f"{i:02}.parquet")
+        os.utime(tmp_path / "events.parquet" / f"{i:02}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    rows = QUERIES["k02_streamed_dedup"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(set(rows)) == 40
