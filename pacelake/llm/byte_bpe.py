@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from .common import slices
-from .encode import ChunkEncoder, byte_table, encoder, pack32, tokenizer_from_ranks
+from .encode import Encoder, binary_rows, byte_table, encoder, texts_of, tokenizer_from_ranks
 
+#: Bytes of text that a task encodes at once, unless a single document has more.
+TEXT_BYTES = 8 << 20
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 SPANS = "doc_id long, ids array<int>, starts array<int>, ends array<int>, split array<boolean>"
 ROUND = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, exact boolean"
@@ -69,9 +71,9 @@ def text_of(pieces: Iterable[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", True)
 
 
-def _tools(shared: Broadcast) -> tuple[ChunkEncoder, list[bytes], np.ndarray]:
-    def make() -> ChunkEncoder:
-        e = ChunkEncoder(shared.value, pack32, ordinary=True)
+def _tools(shared: Broadcast) -> tuple[Encoder, list[bytes], np.ndarray]:
+    def make() -> Encoder:
+        e = Encoder(shared.value, ordinary=True)
         e.table = token_bytes(e.tok)
         e.lengths = np.array([len(t) for t in e.table], np.int64)
         return e
@@ -80,27 +82,30 @@ def _tools(shared: Broadcast) -> tuple[ChunkEncoder, list[bytes], np.ndarray]:
     return e, e.table, e.lengths
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], e: ChunkEncoder) -> Iterator[tuple[pa.Array, list[str | None], list[bytes]]]:
-    for b in slices(batches):
-        texts = b.column("text").to_pylist()
-        yield b.column("doc_id"), texts, [b"".join(x) for x in e.encode(texts)]
+def _encoded(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for b in slices(batches, limit=TEXT_BYTES):
+        yield b, *e.encode(b.column("text"))
+
+
+def _rows_of(values: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [values[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def _encode(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, _, _ = _tools(shared)
-    for doc_ids, _, ids in _encoded(batches, e):
-        yield pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+    for b, ids, ends in _encoded(batches, e):
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), binary_rows(ids, ends)], ["doc_id", "n_tokens", "ids"])
 
 
 def _spans(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, _, lengths = _tools(shared)
-    for doc_ids, texts, ids in _encoded(batches, e):
-        rows = [np.frombuffer(x, "<u4") for x in ids]
-        spans = [char_spans((t or "").encode(), lengths[x]) for t, x in zip(texts, rows, strict=True)]
+    for b, ids, ends in _encoded(batches, e):
+        rows = _rows_of(ids, ends)
+        spans = [char_spans((t or "").encode(), lengths[x]) for t, x in zip(b.column("text").to_pylist(), rows, strict=True)]
         cols = [pa.array([x.astype(np.int32) for x in rows], pa.list_(pa.int32()))]
         cols += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
         cols.append(pa.array([s[2] for s in spans], pa.list_(pa.bool_())))
-        yield pa.RecordBatch.from_arrays([doc_ids, *cols], ["doc_id", "ids", "starts", "ends", "split"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "ids", "starts", "ends", "split"])
 
 
 def _decode(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,17 +118,18 @@ def _decode(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 def _round(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, table, lengths = _tools(shared)
-    for doc_ids, texts, ids in _encoded(batches, e):
+    for b, ids, ends in _encoded(batches, e):
+        data, offsets = texts_of(b.column("text"))
+        inside = np.append((data & 0xC0) == 0x80, False)  # places within a character
         cols: list[list] = [[], [], [], [], []]
-        for t, packed in zip(texts, ids, strict=True):
-            raw, row = (t or "").encode(), np.frombuffer(packed, "<u4")
+        for row, raw, first in zip(_rows_of(ids, ends), np.split(data, offsets[1:-1]), offsets.tolist(), strict=False):
             decoded = b"".join(map(table.__getitem__, row.tolist()))
-            ends = np.cumsum(lengths[row])[:-1]
-            inside = int(((np.frombuffer(raw, np.uint8)[ends[ends < len(raw)]] & 0xC0) == 0x80).sum())
-            for c, v in zip(cols, (len(row), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest(), inside, decoded == raw), strict=True):
+            at = np.cumsum(lengths[row])[:-1]
+            n_split = int(inside[first + at[at < len(raw)]].sum())
+            for c, v in zip(cols, (len(row), hashlib.sha256(row).hexdigest(), hashlib.sha256(decoded).hexdigest(), n_split, decoded == raw.tobytes()), strict=True):
                 c.append(v)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "exact"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "exact"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:

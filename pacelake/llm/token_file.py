@@ -19,7 +19,6 @@ are not read; an empty table gives empty files.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .encode import ChunkEncoder, encoder
+from .encode import Encoder, binary_rows, encoder
 
 #: Ids of a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
+#: Bytes of text that a task encodes at once, unless a single document has more.
+TEXT_BYTES = 8 << 20
 #: Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids binary, known binary, counts binary, control binary, data binary"
@@ -64,16 +65,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _pack16(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes()
-
-
 def _stage(shared: Broadcast, lower: bool, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    e = encoder(("token_file", hash(shared.value)), lambda: ChunkEncoder(shared.value, _pack16, lower=lower))
-    end = _pack16([end_id])
-    for b in slices(batches):
-        ids = [b"".join((*x, end)) for x in e.encode(b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+    e = encoder(("token_file", hash(shared.value)), lambda: Encoder(shared.value, "<u2", lower=lower))
+    for b in slices(batches, limit=TEXT_BYTES):
+        ids, ends = e.encode(b.column("text"))
+        ids = np.insert(ids, ends, end_id)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), binary_rows(ids, ends + np.arange(1, len(ends) + 1))], ["doc_id", "ids"])
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@ import base64
 import hashlib
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pacelake.llm import byte_bpe, token_counts, token_file
-from pacelake.llm.encode import ChunkEncoder, load_ranks, merges_of, pack32, tokenizer_from_ranks
+from pacelake.llm.encode import Encoder, load_ranks, merges_of, tokenizer_from_ranks
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 ODD = [
@@ -77,15 +79,34 @@ def test_split_characters_are_held_back():
     assert "".join(byte_bpe.text_of([b"\xff"])) == "�"
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text())
-def test_any_text_gives_the_librarys_ids(plain, from_ranks, text):
-    e = ChunkEncoder(from_ranks, pack32, ordinary=True, limit=50)
-    assert np.frombuffer(b"".join(e.encode([text])[0]), "<u4").tolist() == plain.encode_ordinary(text)
+#: Texts of what the cuts look at, so that every pair of classes meets.
+MIXED = st.text(st.sampled_from(list("aZéÀ×÷ß09'-.< \n\t\r\x0b\x1c\x85\xa0\u2003\u3000\ufeff\u0301日🙂st")), max_size=24)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text() | MIXED, max_size=6))
+def test_any_texts_give_the_librarys_ids(plain, from_ranks, texts):
+    def rows(e):
+        ids, ends = e.encode(pa.array(["left", *texts], pa.string())[1:])
+        return [x.tolist() for x in np.split(ids, ends)[:-1]]
+
+    assert rows(own_encoder(from_ranks, ordinary=True)) == [plain.encode_ordinary(t) for t in texts]
     for name, lower in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
-        t = Tokenizer.from_file(P.path(name))
-        e = ChunkEncoder(t.to_str(), pack32, lower=lower)
-        assert np.frombuffer(b"".join(e.encode([text])[0]), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        t = tokenizer(name)
+        e = own_encoder(t.to_str(), lower=lower)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert rows(e) == want
+        assert e.count(pa.array(texts, pa.string()), pa.array([b"a", b" a"]), np.array([1, 1], np.uint8)).tolist() == [len(x) for x in want]
+
+
+@cache
+def own_encoder(tokenizer_json, **how):
+    return Encoder(tokenizer_json, limit=3, **how)
+
+
+@cache
+def tokenizer(name):
+    return Tokenizer.from_file(P.path(name))
 
 
 def test_counts_are_the_librarys_whatever_the_table_holds(spark, docs_of):
