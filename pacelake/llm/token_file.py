@@ -11,8 +11,9 @@ first (ids before it in its shard), doc_ids, counts, control, data.  Parquet car
 bytes so that Spark's commit protocol covers lost tasks and any store can hold them.  The
 rank table, of the vocabulary's size, lies beside the blocks.
 
-Every text gets the end id.  Nulls and empty texts have that id alone.  Repeated doc_ids
-stand in the order of their ids; null doc_ids come first and come back null.  Extra columns
+Every text gets the end id.  Nulls and empty texts have that id alone.  Rows with one doc_id, or
+with none, stand in the order of a hash of their ids, so that a doc_id with many rows is dealt over
+shards; null doc_ids come first and come back null.  Extra columns
 are not read; an empty table gives empty files.
 """
 
@@ -144,5 +145,6 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, lower: bool = T
     staged = stored(rows.mapInArrow(partial(_stage, shared, lower, end_id), "doc_id long, ids binary"), "token-ids")
     tally = staged.select("ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = [r.id for r in tally.orderBy(F.desc("n"), "id").collect()]  # a row for each id in use
-    shards = staged.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")
+    shards = staged.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     return TokenFiles(stored(shards.mapInArrow(partial(_write, spark.sparkContext.broadcast(ranks)), BLOCKS), "token-files"), ranks)
