@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash: of each group of near-equal lines one line stays.
 
-Lines are compared in a normal form (lower case, outer blanks off, runs of blanks as one space); lines with
-fewer than ``MIN_CHARS`` characters in it have no shingle, are not judged and always stay.
+Every line that isn't blank is judged, in a normal form (lower case, outer blanks off, runs of blanks as one
+space).  Two lines link if the Jaccard similarity of their character shingles is 0.8 or more; a line shorter
+than a shingle is its own only shingle, so it links with equal lines alone.
 
 1. ``line_table`` splits every text and stores a row for each judged line.  A line that its
-   task has not seen before also gets its normal form and ``BANDS`` band keys, from a
+   task has not seen before and that holds a shingle also gets its normal form and ``BANDS`` band keys, from a
    one-permutation MinHash of its character shingles (empty bins borrow from the next).
 2. Lines that share a band key are candidates.  The (key, line) rows are sorted by key and
    streamed; buckets of one line go, and buckets with the same least line become one group.
@@ -12,45 +13,48 @@ fewer than ``MIN_CHARS`` characters in it have no shingle, are not judged and al
    similarity of shingle sets.  A task keeps a union-find: a line is compared only with
    lines of components that it doesn't belong to yet, and only a forest of links is returned.
    A large group is indexed by shingle; its most central lines come first, and once they hold
-   most of the group, only the others have to be compared with all.  A group above ``SHARD``
-   lines is dealt into shards, each of which meets all lines of the group in blocks.
-4. ``components`` unites the links; the first occurrence (by doc_id, document, line) of each
+   most of the group, only the others have to be compared with all.
+   A group above ``SHARD`` lines is first spread over all tasks, where each line is compared with ``PIVOTS``
+   lines of its group.  The pivots that some line links make up the hub; lines outside it, as a rule
+   a few, are dealt into shards, each of which meets all lines of the group in blocks.
+4. ``components`` unites the links; the first occurrence (by doc_id, hash of the text, row, line) of each
    component stays.
 
 Of lines with Jaccard similarity 0.8 a share of 1 - (1 - 0.8 ** 4) ** 12 = 0.998 meets in a
-bucket, and more of closer ones.  Lines are known by 64-bit hashes of their normal forms, and
-shingles by 64-bit hashes.
+bucket, and more of closer ones.  Lines are known by 128-bit hashes of their normal forms; in links one half names
+a line, and links count only for the form that was verified.
 
-Null and empty texts have one line that is not judged.  A document is known by a hash of
-its id and text: repeated rows get the same decisions, and null ids count as smallest.  Extra
+Null and empty texts have one line that is not judged.  Every row is a document of its own: of repeated rows one
+keeps the line; null ids count as smallest.  Extra
 columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh128_intdigest
 
-from .common import documents_with_key, own_name, slices, stored
+from .common import own_name, slices, stored
 from .components import components
+from .quality import let
 
-SHINGLE, BANDS, ROWS, MIN_CHARS = 8, 12, 4, 8
+SHINGLE, BANDS, ROWS = 8, 12, 4
 #: Similarity 4 / 5.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Lines of a shard; lines that a task verifies at once; candidates that may be broadcast.
-SHARD, BLOCK, BROADCAST_LINES = 4096, 8192, 1_000_000
+#: Lines of a shard; lines that a task verifies at once; lines that all lines of a group above SHARD are compared with first.
+SHARD, BLOCK, PIVOTS = 4096, 8192, 8
 #: Groups up to this size are compared pair by pair; central lines that open a larger one.
 SMALL, CENTRAL = 48, 4
 #: Line hashes that a task remembers, and (key, line) rows that it holds for one bucket.
 SEEN, HELD = 1_000_000, 1 << 20
 
-LINES = "doc_id long, doc long, n_lines int, line_no int, line long, norm string, bands array<long>"
+LINES = "row long, doc_id long, doc long, n_lines int, line_no int, line long, check long, norm string, bands array<long>"
+_SIGNED, _HALF = 1 << 63, (1 << 64) - 1
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -133,20 +137,19 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh: list[tuple[int, str]] = []
         if len(seen) > SEEN:
             seen.clear()
-        for doc_id, doc, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc", "text")), strict=True):
+        for row, doc_id, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "doc", "text")), strict=True):
             lines = (text or "").split("\n")
-            rows.append((doc_id, doc, len(lines), None, None))
+            rows.append((row, doc_id, doc, len(lines), None, None, None))
             for k, line in enumerate(lines):
-                if len(line) < MIN_CHARS:
-                    continue
                 norm = normal_form(line)
-                if len(norm) < MIN_CHARS:
+                if not norm:
                     continue
-                h = xxh64_intdigest(norm.encode("utf-8", "replace")) - (1 << 63)
-                if h not in seen:
+                both = xxh128_intdigest(norm.encode("utf-8", "replace"))
+                h = (both >> 64) - _SIGNED
+                if len(norm) >= SHINGLE and h not in seen:
                     seen.add(h)
                     fresh.append((len(rows), norm))
-                rows.append((doc_id, doc, None, k, h))
+                rows.append((row, doc_id, doc, None, k, h, (both & _HALF) - _SIGNED))
         norms: list[str | None] = [None] * len(rows)
         for i, norm in fresh:
             norms[i] = norm
@@ -154,15 +157,17 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = np.zeros(len(rows), np.int64)
         has[[i for i, _ in fresh]] = BANDS
         offsets = np.concatenate(([0], np.cumsum(has))).astype(np.int32)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         cols += [pa.array(norms, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))]
         yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINES.split(", ")])
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """A row for each document (n_lines) and for each judged line (line_no, line), stored."""
-    return stored(documents_with_key(docs).mapInArrow(_lines, LINES), "lines")
+def line_table(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A row for each document (n_lines) and for each judged line (line_no, line, check), stored; row: a column that tells rows apart."""
+    own = F.col(row) if row else F.monotonically_increasing_id()
+    doc_id = F.col("doc_id").cast("long")
+    return stored(docs.select(own.alias("row"), doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text")).alias("doc"), "text").mapInArrow(_lines, LINES), "lines")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +308,14 @@ class Links:
                     if self.find(other) != self.find(hub) and alike(self.of(line, norm), self.of(other, form)):
                         self.unite(line, other)
 
+    def verify_dealt(self, own: list[tuple[int, str]], queries: list[tuple[int, str]]) -> None:
+        """Finds the links between a shard's own lines and the queries."""
+        if own:
+            index = Index([self.of(*x) for x in own])
+            for line, norm in queries:
+                for near in index.alike(self.of(line, norm)).tolist():
+                    self.unite(line, own[near][0])
+
     def edges(self) -> pa.RecordBatch:
         pairs = [(x, self.find(x)) for x in list(self.parent)]
         self.parent.clear()
@@ -310,46 +323,99 @@ class Links:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, own, line, norm) come by group, a shard's own lines first."""
-    links, group, own, queries = Links(), None, [], []
+    """Rows (group, own, dealt, line, norm) come by group, a shard's own lines first."""
+    links, group, apart, own, queries = Links(), None, False, [], []
     for b in batches:
-        for g, mine, line, norm in zip(*(b.column(c).to_pylist() for c in ("group", "own", "line", "norm")), strict=True):
+        for g, mine, dealt, line, norm in zip(*(b.column(c).to_pylist() for c in ("group", "own", "dealt", "line", "norm")), strict=True):
             if g != group or len(queries) >= BLOCK:
-                links.verify(own, queries)
-                own, queries, group = own if g == group else [], [], g
+                (links.verify_dealt if apart else links.verify)(own, queries)
+                own, queries, group, apart = own if g == group else [], [], g, dealt
             queries.append((line, norm))
             if mine:
                 own.append((line, norm))
         if len(links.parent) > HELD:
             yield links.edges()
-    links.verify(own, queries)
+    (links.verify_dealt if apart else links.verify)(own, queries)
     yield links.edges()
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """Edges a, b between hashes of lines, verified, that connect all near-equal candidates."""
-    near = candidates(lines)
+def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group, line and near: a bit for each pivot that the line links with."""
+    known: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        near = []
+        for g, norm, pivots in zip(*(b.column(c).to_pylist() for c in ("group", "norm", "pivots")), strict=True):
+            if g not in known:
+                known.clear()
+                known[g] = [shingles(p["norm"]) for p in pivots]
+            own = shingles(norm)
+            near.append(sum(1 << i for i, p in enumerate(known[g]) if alike(own, p)))
+        yield pa.RecordBatch.from_arrays([b.column("group"), b.column("line"), pa.array(near, pa.int32())], ["group", "line", "near"])
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group and hub: the pivots, as bits, of the component of pivots that holds most lines."""
+    for b in batches:
+        hubs = []
+        for seen in b.column("seen").to_pylist():
+            parts: list[list[int]] = []  # bits and lines of each component
+            for bits, n in ((x["near"], x["n"]) for x in seen if x["near"]):
+                touched = [p for p in parts if p[0] & bits]
+                parts = [p for p in parts if not p[0] & bits]
+                for p in touched:
+                    bits, n = bits | p[0], n + p[1]
+                parts.append([bits, n])
+            hubs.append(max(parts, key=lambda p: (p[1], p[0]), default=[0, 0])[0])
+        yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(hubs, pa.int32())], ["group", "hub"])
+
+
+def forms(lines: DataFrame, near: DataFrame) -> DataFrame:
+    """line, check and norm of the candidates, one form for each line, stored."""
     wanted = stored(near.select("line").distinct(), "candidate-lines")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    norms = lines.where("norm is not null").select("line", "norm").join(wanted, "line", "left_semi").dropDuplicates(["line"])
-    hot = near.groupBy("group").count().where(F.col("count") > SHARD).select("group", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))
-    dealt = near.join(hot, "group", "left").select("group", "line", F.coalesce("shards", F.lit(1)).alias("shards"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("line"), F.col("shards")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = dealt.select(F.xxhash64("group", "shard").alias("group"), (F.col("own") == F.col("shard")).alias("own"), "line").join(norms, "line").select("group", "own", "line", "norm")
-    return rows.repartition("group").sortWithinPartitions("group", F.desc("own")).mapInArrow(_verify, "a long, b long")
-
-
-def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (the document's key), n_lines and removed (numbers of the removed lines from 0, ascending) of every document."""
-    lines = line_table(docs)
-    roots = components(links(lines)).withColumnRenamed("node", "line")
-    placed = lines.where("line is not null").select("doc_id", "doc", "line_no", "line").join(roots, "line", "left")
-    placed = stored(placed.select(F.coalesce("root", "line").alias("part"), F.struct("doc_id", "doc", "line_no").alias("place")), "line-places")
-    first = stored(placed.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first"), "first-lines")
-    removed = placed.join(first, "part").where(~F.col("place").eqNullSafe(F.col("first"))).groupBy(F.col("place.doc").alias("doc")).agg(F.sort_array(F.collect_set("place.line_no")).alias("removed"))
-    heads = lines.where("n_lines is not null").select("doc_id", "doc", "n_lines")
-    return heads.join(removed, "doc", "left").select("doc_id", "doc", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    own = lines.where("norm is not null").select("line", "check", "norm").join(wanted, "line", "left_semi")
+    return stored(own.dropDuplicates(["line"]), "candidate-forms")
+
+
+def links(near: DataFrame, norms: DataFrame) -> DataFrame:
+    """Edges a, b between lines, verified, that connect all near-equal candidates; near has group and line, norms line and norm."""
+    norms = norms.select("line", "norm")
+    hot = stored(near.groupBy("group").count().where(F.col("count") > SHARD).select("group"), "hot-groups")
+    no, yes = F.lit(False), F.lit(True)
+    rows = near.join(hot, "group", "left_anti").join(norms, "line").select("group", yes.alias("own"), no.alias("dealt"), "line", "norm")
+    by_group = lambda df: df.repartition("group").sortWithinPartitions("group", F.desc("own")).mapInArrow(_verify, "a long, b long")
+    if hot.isEmpty():
+        return by_group(rows)
+    large = stored(near.join(hot, "group").join(norms, "line").select("group", "line", "norm"), "hot-lines")
+    cells = large.groupBy("group", F.pmod(F.col("line"), F.lit(PIVOTS)).alias("cell")).agg(F.min(F.struct("line", "norm")).alias("pivot"))
+    pivots = stored(cells.groupBy("group").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")), "pivots")
+    marked = stored(large.join(pivots, "group").select("group", "line", "norm", "pivots").mapInArrow(_near_pivots, "group long, line long, near int"), "near-pivots")
+    seen = marked.groupBy("group", "near").agg(F.count("*").alias("n")).groupBy("group").agg(F.collect_list(F.struct("near", "n")).alias("seen"))  # 2 ** PIVOTS for a group at most
+    hubs = seen.mapInArrow(_hubs, "group long, hub int")
+    to_pivots = marked.where("near <> 0").join(pivots, "group").select("line", F.explode(F.expr("filter(transform(pivots, (p, i) -> if((near >> i) & 1 = 1, p.line, null)), x -> x is not null)")).alias("b"))
+    rest = stored(marked.join(hubs, "group").where(F.col("near").bitwiseAND(F.col("hub")) == 0).select("group", "line"), "hot-rest")
+    shards = rest.groupBy("group").count().select("group", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))
+    dealt = large.join(shards, "group").join(rest.withColumn("own", yes), ["group", "line"], "left")
+    own_shard = F.pmod(F.xxhash64("line"), F.col("shards")).cast("int")
+    dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = dealt.select(F.xxhash64("group", "shard").alias("group"), (F.col("own").isNotNull() & (own_shard == F.col("shard"))).alias("own"), yes.alias("dealt"), "line", "norm")
+    return by_group(rows.union(dealt)).union(to_pivots.select(F.col("line").alias("a"), "b"))
+
+
+def decisions(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, row (a number, or the column ``row``), n_lines and removed (numbers of the removed lines from 0, ascending) of every row."""
+    lines = line_table(docs, row)
+    near = candidates(lines)
+    norms = forms(lines, near)
+    checks = norms.select("line", "check")
+    roots = components(links(near, norms)).select(F.col("node").alias("line"), "root")
+    roots = roots.join(checks, "line").join(checks.select(F.col("line").alias("root"), F.col("check").alias("root_check")), "root")
+    placed = lines.where("line is not null").select("row", "doc_id", "doc", "line_no", "line", "check").join(roots, ["line", "check"], "left")
+    part = F.coalesce("root", "line").alias("part"), F.coalesce("root_check", "check").alias("part_check")
+    placed = stored(placed.select(*part, F.struct("doc_id", "doc", "row", "line_no").alias("place")), "line-places")
+    first = stored(placed.groupBy("part", "part_check").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-lines")
+    removed = placed.join(first, ["part", "part_check"]).where(~F.col("place").eqNullSafe(F.col("first"))).groupBy(F.col("place.row").alias("row")).agg(F.sort_array(F.collect_list("place.line_no")).alias("removed"))
+    heads = lines.where("n_lines is not null").select("doc_id", "row", "n_lines")
+    return heads.join(removed, "row", "left").select("doc_id", "row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -357,10 +423,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Documents keep their rows whatever is left of their texts.
     """
-    key, gone = own_name(docs, "line_key"), own_name(docs, "line_gone")
-    cut = decisions(docs).where("size(removed) > 0").select(F.col("doc").alias(key), F.col("removed").alias(gone)).dropDuplicates([key])
-    joined = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(cut, key, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    key, gone = own_name(docs, "line_row"), own_name(docs, "line_gone")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-documents")
+    cut = decisions(keyed, key).where("size(removed) > 0").select(F.col("row").alias(key), F.col("removed").alias(gone))
+    joined = keyed.join(cut, key, "left")
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i))
+    kept = F.array_join(let(F.split("text", "\n"), left), "\n")
     out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
