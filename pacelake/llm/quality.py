@@ -3,12 +3,12 @@
 Base rules look at one text: too few words, or too many words within repeated windows of
 ``WINDOW`` words.  The cross-document rule hashes the normalised lines (lower case, outer
 blanks off) of every text, counts for each host (column source) in how many documents a
-line stands, takes lines above the limits (``MIN_DOCS`` documents and ``MIN_SHARE`` of the
-host's) as boilerplate, and rejects documents of which less than ``MIN_LEFT`` of the
+line stands, takes lines above either limit (more than ``MIN_DOCS`` documents; for small hosts more than
+``MIN_SHARE`` of the host's, ``FEW_DOCS`` at least) as boilerplate, and rejects documents of which less than ``MIN_LEFT`` of the
 characters are left without them.
 
 Texts are split once, into a stored table with a row id, the base figures and (hash, length)
-of each line.  Counting shuffles a 64-bit key of host and line, after partial counts; the
+of each line.  Counting shuffles 64-bit hashes of host and of line, after partial counts; the
 removal joins the same keys with the lines above the limits, so a line or a host with a
 third of all rows is spread by its other half of the key or by the adaptive skew join.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
-MIN_DOCS, MIN_SHARE, MIN_LEFT = 50, 0.01, 0.5
+MIN_DOCS, FEW_DOCS, MIN_SHARE, MIN_LEFT = 50, 5, 0.1, 0.5
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -76,19 +76,19 @@ def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Keys (of host and line) that stand in more documents of their host than both limits allow."""
+    """host, hash and docs of the lines that stand in more documents of their host than either limit allows."""
     seen = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    counts = seen.groupBy(F.xxhash64("host", "hash").alias("key")).agg(F.count("*").alias("docs"), F.min("host").alias("host")).where(F.col("docs") > min_docs)
+    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") >= min(FEW_DOCS, min_docs + 1))
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * min_share).select("key", "docs")
+    return counts.join(hosts, "host").where((F.col("docs") > min_docs) | ((F.col("docs") >= FEW_DOCS) & (F.col("docs") > F.col("host_docs") * min_share))).select("host", "hash", "docs")
 
 
 def rules(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT, with_text: bool = False) -> DataFrame:
     """doc_id, the base figures, base_failed, removed_chars and kept of every row; with_text: also text, without the removed lines."""
     rows = figures(docs, with_text)
-    lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", F.xxhash64("host", "line.hash").alias("key"), "line.hash", "line.chars")
+    lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.chars")
     bad = [F.collect_set("hash").alias("bad")] if with_text else []
-    gone = lines.join(frequent_lines(rows, min_docs, min_share).select("key"), "key").groupBy("row").agg(F.sum("chars").alias("gone"), *bad)
+    gone = lines.join(frequent_lines(rows, min_docs, min_share).select("host", "hash"), ["host", "hash"]).groupBy("row").agg(F.sum("chars").alias("gone"), *bad)
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     out = rows.join(gone, "row", "left").withColumn("removed_chars", F.coalesce("gone", F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))

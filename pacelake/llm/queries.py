@@ -118,9 +118,9 @@ win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS p FROM (SE
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, p) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY r),
 lines AS (SELECT r, source, lower(trim(x, {_BLANKS})) AS line, length(x) AS chars FROM (SELECT r, source, unnest(l) AS x FROM w)),
-freq AS (SELECT source, line, count(DISTINCT r) AS n FROM lines GROUP BY ALL HAVING count(DISTINCT r) > 50),
+freq AS (SELECT source, line, count(DISTINCT r) AS n FROM lines GROUP BY ALL HAVING count(DISTINCT r) >= 5),
 hosts AS (SELECT source, count(*) AS n FROM d GROUP BY ALL),
-bad AS (SELECT f.source, f.line FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 0.01 * h.n),
+bad AS (SELECT f.source, f.line FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 50 OR f.n > 0.1 * h.n),
 gone AS (SELECT r, sum(chars) AS n FROM lines JOIN bad ON lines.line = bad.line AND lines.source IS NOT DISTINCT FROM bad.source GROUP BY r),
 total AS (SELECT r, sum(chars) AS n FROM lines GROUP BY r),
 base AS (SELECT doc_id, w.r, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -137,32 +137,45 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+#: The rules of op1 written down again for RE2: what is hidden, tags that end a line, other tags; then blanks.
+_STRIPPED = [
+    (r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^<>]*>.*?(?:</script\s*>|\z)|style\b[^<>]*>.*?(?:</style\s*>|\z)|noscript\b[^<>]*>.*?(?:</noscript\s*>|\z)|template\b[^<>]*>.*?(?:</template\s*>|\z))", " "),
+    (r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|td|th|h1|h2|h3|h4|h5|h6|pre|form|option|nav|main|header|footer|section|article|aside|address|blockquote|figure|figcaption|title)\b[^<>]*>", "\n"),
+    (r"<[!/?A-Za-z][^<>]*>", ""),
+]
+_TIDIED = [(r"[ \t\r\f]+", " "), (r" ?\n(?: |\n)*", "\n"), (r"^(?: |\n)+", ""), (r"(?: |\n)+\z", "")]
+_NAMED = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "pound": "£", "copy": "©", "laquo": "«", "reg": "®", "deg": "°", "middot": "·", "raquo": "»", "times": "×",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "hellip": "…", "euro": "€", "trade": "™",
+}
+_DIGITS = "^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
 def _warc_sql() -> str:
-    """The same patterns, read by RE2."""
     def replaced(x: str, pairs: list[tuple[str, str]]) -> str:
         for pattern, by in pairs:
             x = f"regexp_replace({x}, {_text(pattern)}, {_text(by)}, 'g')"
         return x
 
-    digits = f"regexp_extract(p, {_text(warc.NUMERIC)}, 1)"
+    digits = f"regexp_extract(p, {_text(_DIGITS)}, 1)"
     point = f"CASE WHEN lower({digits})[1] = 'x' THEN CAST('0x' || {digits}[2:] AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END"
-    named = " ".join(f"WHEN starts_with(p, '{name};') THEN {_text(char)} || substr(p, {len(name) + 2})" for name, char in warc.ENTITIES.items())
+    named = " ".join(f"WHEN starts_with(p, '{name};') THEN {_text(char)} || substr(p, {len(name) + 2})" for name, char in _NAMED.items())
     urn = lambda x: f"'<urn:uuid:' || regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
     crlf = "chr(13) || chr(10)"
     return f"""
-WITH r AS (SELECT page_id, url AS target_uri, {_text(warc.NO_DATE)} AS date, coalesce(html, '') AS payload,
+WITH r AS (SELECT page_id, url AS target_uri, '1970-01-01T00:00:00Z' AS date, coalesce(html, '') AS payload,
     {urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS refers_to,
     'Content-Type: text/html; charset=utf-8' || {crlf} || 'source-Content-Length: ' || strlen(coalesce(html, '')) AS source,
     'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} AS headers FROM pages),
-s AS (SELECT *, {replaced("payload", warc.STRIP)} AS x FROM r),
+s AS (SELECT *, {replaced("payload", _STRIPPED)} AS x FROM r),
 n AS (SELECT *, string_split(x, '&') AS ps FROM s),
 t AS (SELECT *, ps[1] || array_to_string(list_transform(ps[2:], lambda p: CASE WHEN {digits} <> '' THEN
     CASE WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr(CAST({point} AS INTEGER)) ELSE chr(65533) END || substr(p, length({digits}) + 3)
     {named} ELSE '&' || p END), '') AS y FROM n),
-u AS (SELECT *, {replaced("y", warc.TIDY)} AS text, {urn("'conversion|' || refers_to")} AS conversion_id, {urn("'metadata|' || refers_to")} AS metadata_id,
+u AS (SELECT *, {replaced("y", _TIDIED)} AS text, {urn("'conversion|' || refers_to")} AS conversion_id, {urn("'metadata|' || refers_to")} AS metadata_id,
     'sha256:' || sha256(payload) AS source_payload_digest, 'sha256:' || sha256(headers || payload) AS source_block_digest FROM t),
 v AS (SELECT *, 'source-' || source || {crlf} || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-block-digest: ' || source_block_digest || {crlf}
-    || 'title: ' || regexp_replace(trim(regexp_extract(payload, {_text(warc.TITLE)}, 1)), '\\s+', ' ', 'g') || {crlf} || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href\\s*=')) || {crlf}
+    || 'title: ' || regexp_replace(trim(regexp_extract(payload, '(?i)<title\\b[^<>]*>([^<]*)<', 1)), '\\s+', ' ', 'g') || {crlf} || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\s[^<>]*href\\s*=')) || {crlf}
     || 'text-characters: ' || length(text) || {crlf} AS fields FROM u)
 SELECT page_id, 'conversion' AS record_type, conversion_id AS record_id, refers_to, metadata_id AS concurrent_to, target_uri, date, 'text/plain' AS content_type,
     CAST(strlen(text) AS BIGINT) AS content_length, 'sha256:' || sha256(text) AS block_digest, source_payload_digest, source_block_digest FROM v

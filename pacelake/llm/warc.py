@@ -10,6 +10,9 @@ record's header and block as they stand in a WARC/1.1 file.
 All of it is column expressions: a scan and a projection, no shuffle; every record is
 as long as its page.
 
+A tag ends at its >, or is none if another < comes first; a title ends at the next <.  So every pattern
+reads a page once, whatever is left open in it.
+
 Null payloads are empty payloads; null URIs stay null and leave their header lines out.
 Comments, scripts, styles and templates go (an unclosed one up to the end), block tags
 become line ends, other tags vanish; the entities of ``ENTITIES`` and numeric ones are
@@ -34,12 +37,12 @@ ENTITIES = {
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h[1-6]", "header", "hr", "li", "main", "nav", "ol", "option", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul")
 #: Patterns that both Java's and RE2's regular expressions read alike, with what replaces them.
-_GONE = "|".join([r"!--.*?(?:-->|\z)", *(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in HIDDEN)])
-STRIP = [(rf"(?is)<(?:{_GONE})", " "), (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n"), (r"<[a-zA-Z/!?][^>]*>", "")]
+_GONE = "|".join([r"!--.*?(?:-->|\z)", *(rf"{t}\b[^<>]*>.*?(?:</{t}\s*>|\z)" for t in HIDDEN)])
+STRIP = [(rf"(?is)<(?:{_GONE})", " "), (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^<>]*>", "\n"), (r"<[a-zA-Z/!?][^<>]*>", "")]
 TIDY = [(r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+\z", "")]
 #: A numeric reference behind its &, with or without x for hexadecimal.
 NUMERIC = r"^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+TITLE = r"(?i)<title\b[^<>]*>([^<]*)<"
 #: The date of records whose source names none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
@@ -94,7 +97,7 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
 def derive(records: DataFrame) -> DataFrame:
     """Two rows for each response record: its conversion and its metadata record."""
     text = text_of(F.col("payload"))
-    made = records.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", "block_digest", text.alias("text"), F.trim(F.regexp_extract("payload", TITLE, 1)).alias("title"), F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href\s*=")).alias("links"))
+    made = records.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", "block_digest", text.alias("text"), F.trim(F.regexp_extract("payload", TITLE, 1)).alias("title"), F.regexp_count("payload", F.lit(r"(?i)<a\s[^<>]*href\s*=")).alias("links"))
     made = made.withColumn("conversion_id", urn(F.lit("conversion"), F.col("record_id"))).withColumn("metadata_id", urn(F.lit("metadata"), F.col("record_id")))
     source = F.replace(F.rtrim(F.regexp_replace("http_headers", r"^[^\r\n]*\r\n", "")), F.lit("\r\n"), F.lit("\r\nsource-"))
     source = F.regexp_replace(source, r"(\r\nsource-)*$", "")

@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 import duckdb
 import pytest
@@ -50,6 +51,21 @@ def test_warc_records_link_up(spark):
     assert warc.derive(warc.responses(pages(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a", "<script", "<title>", "<a href ", "</div", "<!--", "&#x", "<p> \n", "</script "])
+def test_whatever_is_left_open_a_long_page_is_read_once(spark, piece):
+    src = pages(spark, [(1, "u", piece * (1_000_000 // len(piece)), "")])
+    began = time.monotonic()
+    assert warc.derive(warc.responses(src)).count() == 2
+    assert warc.derive(warc.responses(src)).agg(F.sum("content_length")).first()[0] >= 0
+    assert time.monotonic() - began < 20
+
+
+def test_repeated_pages_repeat_their_records(spark):
+    out = warc.derive(warc.responses(pages(spark, [(1, "u", "<p>x <a b <i>y</i>", "")] * 2))).collect()
+    assert len(out) == 4 and len({tuple(r) for r in out}) == 2
+    assert {r.block for r in out if r.record_type == "conversion"} == {"x <a b y"}
+
+
 def test_entities_like_the_standard_library(spark):
     for name, char in warc.ENTITIES.items():
         assert html.unescape(f"&{name};") == char
@@ -78,10 +94,15 @@ def test_decontamination_against_brute_force(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame(items + [(None, "w1")], "item_id string, text string")
     index = decontaminate.build(docs_of(texts))
     want = {i: plain_hits(t, [x for x in items if x[1]])[:3] for i, t in enumerate(texts)}
+    near = []
     for words in (2_000_000, 40):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.search(index, bench, slop=0).collect()}
         assert got == want
+        near.append({r.doc_id: (r["items"], r.near_items) for r in decontaminate.search(index, bench).collect()})
+    assert near[0] == near[1]
+    repeated = decontaminate.search(decontaminate.build(docs_of([items[5][1]] * 3, [7, 7, None])), bench, slop=0).collect()
+    assert sorted(map(str, (r.doc_id for r in repeated))) == ["7", "7", "None"] and len({(r.n_hit, str(r["items"])) for r in repeated}) == 1
     assert decontaminate.report(docs_of([]), bench).count() == 0
     assert {r.n_hit for r in decontaminate.report(docs_of(["a b"]), spark.createDataFrame([], "item_id string, text string")).collect()} == {0}
 
@@ -162,6 +183,17 @@ def test_licenses_need_their_whole_wording(spark, docs_of):
     assert got == {i: labels for i, (_, labels) in enumerate(cases)}
 
 
+def test_a_line_is_judged_alike_in_small_and_large_hosts(spark, docs_of):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    def removed(n, with_line):
+        docs = docs_of([f"{own(i)}" + "\nread on in the app" * (i < with_line) for i in range(n)])
+        return quality.rules(docs).where("removed_chars > 0").count()
+
+    assert removed(20, 4) == 0 and removed(20, 5) == 5 and removed(20, 20) == 20  # a share, from FEW_DOCS on
+    assert removed(400, 40) == 0 and removed(400, 41) == 41
+    assert removed(3000, 50) == 0 and removed(3000, 51) == 51  # an absolute count, whatever the share
+
+
 def plain_repeats(words):
     seen = {}
     for i in range(len(words) - 7):
@@ -175,7 +207,7 @@ def test_quality_rules(spark, docs_of):
     footer = "Subscribe to our newsletter and follow us everywhere you like today"
     texts = [f"{own(60)}\n{footer}" for _ in range(60)] + [f"{own(21)}\n" + "\n".join([footer] * 4)] + [own(5), None, "", "a b c d e f g h " * 30, own(30) + "\nx\nx\n\n \n", own(40) + "\t\v " + own(3) + " # $ |", "w " * 50_000]
     docs = docs_of(texts).withColumnRenamed("lang", "hash")
-    got = {r.doc_id: r for r in quality.rules(docs, min_docs=50, min_share=0.01, with_text=True).collect()}
+    got = {r.doc_id: r for r in quality.rules(docs, with_text=True).collect()}
     for i, t in enumerate(texts):
         words = [w for w in (t or "").replace("\t", " ").replace("\v", " ").replace("\n", " ").split(" ") if w]
         lines = [x for x in (t or "").split("\n") if x.strip(" \t\r\v\f")]

@@ -1,7 +1,9 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -33,6 +35,48 @@ def test_mentions_of_groups_move_the_score_little():
     assert free[5] > 1 and abs(held[5]) < 0.2 * free[5] and held[0] > 1
 
 
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_copies_swap_a_term_for_one_of_its_group():
+    names = sorted({f for g in toxicity.IDENTITY_TERMS.values() for t in g for f in toxicity.features_of(t.encode())} | set(toxicity.features_of(b"met")))
+    texts = ["we met a muslim", "zwei Frauen und ein hund", "les juifs ont", "los ciegos", "nobody here"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": [0, 1, 0, 1, 0]})
+    rows = next(toxicity._training_rows(Sent(names), iter([batch]))).to_pylist()
+    for r, group in zip(rows, ("religion", "gender, de", "religion, fr", "age and ability, es", None), strict=True):
+        gained, lost = ({names[i][1:-1].decode() for i in r[k] if names[i][:1] == b"^" and names[i][-1:] == b"$"} for k in ("gained", "lost"))
+        assert len(gained) == 1 and len(lost) == (group is not None)
+        if group:
+            assert gained | lost <= set(toxicity.IDENTITY_TERMS[group]) and not gained & lost
+    assert [r["toxic"] for r in rows] == [0, 1, 0, 1, 0]
+
+
+def test_fewer_false_positives_on_neutral_mentions(spark, docs_of):
+    rng = random.Random(4)
+    filler = [f"word{i}" for i in range(60)]
+    texts, toxic = [], []
+    for i in range(600):  # toxic texts name a group far more often than the others do
+        bad = i % 3 == 0
+        words = rng.choices(filler, k=8) + ["idiot"] * (bad and rng.random() < 0.8) + ["muslim"] * (rng.random() < (0.7 if bad else 0.03))
+        texts.append(" ".join(words))
+        toxic.append(int(bad))
+    docs = docs_of(texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    neutral = [" ".join([*rng.choices(filler, k=8), "muslim"]) for _ in range(200)]
+    plain, held = (toxicity.train(docs, labels, penalty=p).scorer() for p in (0.0, toxicity.COUNTERFACTUAL))
+    wrong = [sum(score(t) >= 0.5 for t in neutral) for score in (plain, held)]
+    assert wrong[0] > 100 and wrong[1] < 0.2 * wrong[0]
+    assert held("word1 word2 idiot") >= 0.5
+
+
+def test_repeated_rows_are_learned_from_once(spark, docs_of):
+    docs = docs_of(["a fine text"] * 50 + ["an idiot", None], [1] * 50 + [2, 3])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    assert sorted(map(str, ((r.text, r.toxic) for r in toxicity.labelled(docs, labels).collect()))) == ["('a fine text', 0)", "('an idiot', 1)", "(None, 0)"]
+
+
 def test_toxicity_edge_cases(spark, docs_of):
     texts = [f"you are a {w} person number {i}" for i, w in enumerate(["idiot", "kind", "idiot", "good"] * 10)] + [None, "", "idiot " * 50_000]
     docs = docs_of(texts).withColumnRenamed("lang", "score")
@@ -77,7 +121,7 @@ def test_each_stage_on_its_own_input(spark, sf, stages):
     assert sum(d in rows["toxicity"] for d in learned) <= 0.2 * len(learned)
     gone = [d for d in rows["documents"] if d not in rows["toxicity"]]
     assert sum(labels.get(d) == 0 for d in gone) <= 2
-    cut = plain_decisions(list(rows["toxicity"].items()))
+    cut = dict(zip(rows["toxicity"], plain_decisions(list(rows["toxicity"].items())), strict=True))
     want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(cut[d])) for d, t in rows["toxicity"].items()}
     assert rows["line_dedup"] == want
     ids = sorted(rows["line_dedup"])
