@@ -11,8 +11,9 @@ segments, nothing is shuffled, and each segment is searched on its own.
 words is done with it at once; otherwise the list of its rarest word, less that word's
 offset, is intersected with the other offset-adjusted lists from rare to frequent.  With a
 slop, a word may stand that far from its place: these are proximity matches, of which the
-exact ones are a part.  Query sets go to the tasks in blocks of ``BLOCK_WORDS`` words, so
-what is broadcast has a fixed bound.
+exact ones are a part.  Query sets go to the tasks in blocks of ``BLOCK_WORDS`` words, one after
+another: each block's matches are stored before the next block is sent, so
+what is broadcast and held has a fixed bound.
 
 Null and empty texts have no words and no hits; items without words are never found.
 Repeated rows are rows of the result as well; items with a null id are left out.  Extra
@@ -38,7 +39,8 @@ WINDOW, SLOP, GAP = 10, 2, 64
 SEGMENT_BYTES, BLOCK_WORDS = 8 << 20, 2_000_000
 SEGMENTS = "doc_ids binary, known binary, n_words binary, terms binary, list_ends binary, control binary, data binary"
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>"
-MATCHES = "doc_id long, item_id string, start long, end long, exact boolean"
+MATCHES = "segment long, place int, doc_id long, item_id string, start long, end long, exact boolean"
+PLACES = "segment long, place int, doc_id long, n_words long"
 
 
 def _bounds(n_words: np.ndarray) -> np.ndarray:
@@ -69,7 +71,8 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build(docs: DataFrame) -> DataFrame:
     """The index of all texts as a stored table of segments."""
-    return stored(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_build, SEGMENTS), "positional-index")
+    segments = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_build, SEGMENTS)
+    return stored(segments.withColumn("segment", F.monotonically_increasing_id()), "positional-index")
 
 
 class Segment:
@@ -174,9 +177,9 @@ def _search(block: Broadcast, slop: int, spans: bool, batches: Iterator[pa.Recor
                     whole = np.isin(near, exact)
                     for at, d, e in zip(near.tolist(), seg.document(near + slop).tolist(), whole.tolist(), strict=True):
                         start = max(at - int(seg.bounds[d]), 0)
-                        rows += [(seg.doc_ids[d] if seg.known[d] else None, o, start, start + len(phrase), e) for o in sorted(owners)]
+                        rows += [(row["segment"], d, seg.doc_ids[d] if seg.known[d] else None, o, start, start + len(phrase), e) for o in sorted(owners)]
             if spans:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
                 names = [c.split()[0] for c in MATCHES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
                 continue
@@ -194,7 +197,7 @@ def windows(text: str | None, size: int = WINDOW) -> list[list[bytes]]:
 
 
 def blocks(benchmark: DataFrame, size: int = WINDOW) -> Iterable[Phrases]:
-    """The query set in blocks of bounded size; the driver holds one block at a time."""
+    """The query set in blocks of bounded size; the driver holds two blocks at a time at most."""
     held, n = [], 0
     for r in benchmark.selectExpr("cast(item_id as string) as item_id", "text").where("item_id is not null").toLocalIterator():
         held.append((r.item_id, windows(r.text, size)))
@@ -206,50 +209,51 @@ def blocks(benchmark: DataFrame, size: int = WINDOW) -> Iterable[Phrases]:
         yield Phrases(held)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of the segments."""
+    for b in batches:
+        for r in b.to_pylist():
+            n_words, doc_ids = np.frombuffer(r["n_words"], "<i8"), np.frombuffer(r["doc_ids"], "<i8")
+            known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=len(n_words)).astype(bool)
+            cols = [pa.array(np.full(len(n_words), r["segment"])), pa.array(np.arange(len(n_words), dtype=np.int32)), pa.array(doc_ids, pa.int64(), mask=~known), pa.array(n_words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PLACES.split(", ")])
+
+
+def _block_matches(index: DataFrame, phrases: Iterable[Phrases], slop: int) -> DataFrame:
+    """All matches, a stored table for each block."""
+    sc, out = index.sparkSession.sparkContext, index.sparkSession.createDataFrame([], MATCHES)
+    for p in phrases:
+        sent = sc.broadcast(p)
+        out = out.unionByName(stored(index.mapInArrow(partial(_search, sent, slop, True), MATCHES), "block-matches"))
+        sent.unpersist()
+    return out
+
+
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """For every document: doc_id, n_words, n_hit (words inside occurrences of a window), items and
     near_items (items with windows that occur exactly, or within the slop), sorted as strings.
 
-    With one block the segments are read once.  Further blocks of a larger query set are searched
-    over the same segments; then n_hit counts the words of the matches of all blocks together.
+    A query set of one block is answered in one pass over the segments.  With more of them, the blocks are searched one
+    after another, and a document's stored matches are put together.
     """
-    sc = index.sparkSession.sparkContext
-    sent = [sc.broadcast(p) for p in blocks(benchmark, size)] or [sc.broadcast(Phrases([]))]
-    if len(sent) == 1:
-        return index.mapInArrow(partial(_search, sent[0], slop, False), FOUND)
-    return index.mapInArrow(partial(_search_blocks, sent, slop), FOUND)
-
-
-def _search_blocks(sent: list[Broadcast], slop: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(b.num_rows):
-            row = b.slice(k, 1)
-            found = [next(iter(_search(block, slop, False, iter([row])))) for block in sent]
-            cols = [list(chain.from_iterable([f.column(c).to_pylist()] for f in found)) for c in ("items", "near_items")]
-            merged = [pa.array([sorted(set().union(*x)) for x in zip(*c, strict=True)], pa.list_(pa.string())) for c in cols]
-            hits = _covered(sent, slop, row)
-            yield pa.RecordBatch.from_arrays([found[0].column(0), found[0].column(1), pa.array(hits, pa.int64()), *merged], found[0].schema.names)
-
-
-def _covered(sent: list[Broadcast], slop: int, row: pa.RecordBatch) -> np.ndarray:
-    seg = Segment(row.to_pylist()[0])
-    steps = np.zeros(seg.bounds[-1] + 1, np.int32)
-    for block in sent:
-        for phrase, exact, _ in block.value.matches(seg, 0):
-            np.add.at(steps, exact, 1)
-            np.add.at(steps, exact + len(phrase), -1)
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(steps) > 0)))
-    return hit[seg.bounds[1:]] - hit[seg.bounds[:-1]]
+    phrases = iter(blocks(benchmark, size))
+    first, second = next(phrases, Phrases([])), next(phrases, None)
+    if second is None:
+        return index.mapInArrow(partial(_search, index.sparkSession.sparkContext.broadcast(first), slop, False), FOUND)
+    found = _block_matches(index, chain([first, second], phrases), slop)
+    del first, second
+    place = ["segment", "place"]
+    spans = found.where("exact").select(*place, "start", "end").distinct()
+    hits = spans.select(*place, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("word")).distinct().groupBy(*place).agg(F.count("*").alias("n_hit"))
+    items = found.groupBy(*place).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"), F.sort_array(F.collect_set("item_id")).alias("near_items"))
+    out = index.mapInArrow(_places, PLACES).join(hits, place, "left").join(items, place, "left")
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
 
 
 def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """doc_id, item_id, start and end word, exact: every exact and proximity match."""
-    sc = index.sparkSession.sparkContext
-    found = [index.mapInArrow(partial(_search, sc.broadcast(p), slop, True), MATCHES) for p in blocks(benchmark, size)]
-    out = found[0] if found else index.sparkSession.createDataFrame([], MATCHES)
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    """segment and place (of the document in it), doc_id, item_id, start and end word, exact: every exact and proximity match."""
+    return _block_matches(index, blocks(benchmark, size), slop).distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

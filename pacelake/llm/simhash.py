@@ -187,8 +187,9 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def first_of_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, that come first (by doc_id, nulls last, and hash) in their group."""
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc")
-    key, nth = own_name(docs, "row_key"), own_name(docs, "nth_row")
-    first = groups(docs, radius).groupBy("root").agg(F.min(place).alias("place")).select(F.col("place.doc").alias(key))
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(first, key, "left_semi")
-    same = Window.partitionBy(key).orderBy(key)
+    key, of, nth = own_name(docs, "row_key"), own_name(docs, "row_of"), own_name(docs, "nth_row")
+    first = groups(docs, radius).groupBy("root").agg(F.min(place).alias("place")).select(F.col("place.doc").alias(key), F.col("place.doc_id").alias(of))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    keyed = keyed.join(first, (keyed[key] == first[key]) & keyed["doc_id"].cast("long").eqNullSafe(first[of]), "left_semi")
+    same = Window.partitionBy("doc_id", key).orderBy(key)
     return keyed.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)

@@ -3,18 +3,20 @@
 A logistic model over binary features of a text: its words, and beginnings and inner
 pieces of its words, so that inflections and compounds that were never labelled still
 count.  Training pairs each labelled text with copies in which an identity term is swapped
-for another of its group (a text without one gets a mention of a term), and penalises
-the squared change of the score, so that a group's mention alone moves the score little.
+for another of its group, and in which all of them are left out (a text without one gets a mention of a term), and
+penalises the squared change of the score: terms of a group count alike, and a group's mention alone moves the score little.
 Terms are always features, hence always held down.
 
+Terms are given for each language that the texts are written in.
+
 Features are picked by how far their document frequencies in toxic and other labelled
 texts differ, and the model is fitted on ``TRAIN_DOCS`` labelled texts at most, taken by a
-hash of doc_id: a stated bound, the same at every corpus size.  Counts, pick and fit see
+hash of doc_id, one text for each id: a stated bound, the same at every corpus size.  Counts, pick and fit see
 those texts only; scoring reads every text whole, in one pass, through a worker's
 word cache.
 
-A label is 1 if any row of its doc_id says so; null ids and labels are no labels.  Rows of
-documents with a labelled id are all labelled.  Null and empty texts get the score of a
+A label is 1 if any row of its doc_id says so; null ids and labels are no labels.  Of several
+rows with a labelled id the text with the least hash is learned from.  Null and empty texts get the score of a
 text without features.  Rows are scored one by one, so repeated rows and extra columns
 change nothing; empty tables give empty tables; without labels of both kinds the score is
 the smoothed share of toxic labels.
@@ -51,6 +53,21 @@ IDENTITY_TERMS = {
     "gender": ("woman", "man", "women", "men", "female", "male", "transgender"),
     "orientation": ("gay", "straight", "lesbian", "bisexual", "queer"),
     "age_and_ability": ("old", "young", "deaf", "blind", "disabled"),
+    "religion, de": ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    "origin, de": ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "einwanderer", "flüchtlinge"),
+    "gender, de": ("frau", "mann", "frauen", "männer", "transfrauen", "transmänner"),
+    "orientation, de": ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    "age and ability, de": ("alte", "junge", "gehörlose", "blinde", "behinderte"),
+    "religion, fr": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    "origin, fr": ("noirs", "blancs", "asiatiques", "africains", "européens", "immigrés", "réfugiés"),
+    "gender, fr": ("femme", "homme", "femmes", "hommes", "transgenres"),
+    "orientation, fr": ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    "age and ability, fr": ("vieux", "jeunes", "sourds", "aveugles", "handicapés"),
+    "religion, es": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    "origin, es": ("negros", "blancos", "asiáticos", "africanos", "europeos", "inmigrantes", "refugiados"),
+    "gender, es": ("mujer", "hombre", "mujeres", "hombres", "transexuales"),
+    "orientation, es": ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    "age and ability, es": ("viejos", "jóvenes", "sordos", "ciegos", "discapacitados"),
 }
 
 
@@ -85,7 +102,9 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Dat
     """text and toxic of ``limit`` labelled documents at most, stored; labels has doc_id and toxic."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most limit rows
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    return stored(one.select("text", "toxic"), "labelled-texts")
 
 
 def _indices(words: set[bytes], index: dict[bytes, int], cache: dict[bytes, tuple[int, ...]]) -> set[int]:
@@ -100,7 +119,7 @@ def _indices(words: set[bytes], index: dict[bytes, int], cache: dict[bytes, tupl
 
 
 def _training_rows(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its features, and those it gains and loses in its counterfactual copy."""
+    """For each text its features, those it gains and loses in its copy with another term, and those it loses without any term."""
     index: dict[bytes, int] = {f: i for i, f in enumerate(shared.value)}
     cache: dict[bytes, tuple[int, ...]] = {}
     groups = {t.encode(): [x.encode() for x in g] for g in IDENTITY_TERMS.values() for t in g}
@@ -118,13 +137,13 @@ def _training_rows(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iter
                 copy = words - {term} | {other[at % len(other)]}
             else:
                 copy = words | {terms[at % len(terms)]}
-            new = _indices(copy, index, cache)
-            rows.append((int(toxic), sorted(own), sorted(new - own), sorted(own - new)))
+            new, bare = _indices(copy, index, cache), _indices(words - groups.keys(), index, cache) if named else own
+            rows.append((int(toxic), sorted(own), sorted(new - own), sorted(own - new), sorted(own - bare)))
         if len(cache) > CACHE:
             cache.clear()
         lists = pa.list_(pa.int16())
-        cols = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], lists) for k in (1, 2, 3))]
-        yield pa.RecordBatch.from_arrays(cols, ["toxic", "own", "gained", "lost"])
+        cols = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], lists) for k in (1, 2, 3, 4))]
+        yield pa.RecordBatch.from_arrays(cols, ["toxic", "own", "gained", "lost", "dropped"])
 
 
 class Sparse:
@@ -179,8 +198,8 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, features: int = FEATURES) -> Model:
-    """A model from the labelled texts; labels has doc_id and toxic."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, features: int = FEATURES, penalty: float = COUNTERFACTUAL) -> Model:
+    """A model from the labelled texts; labels has doc_id and toxic.  penalty: the weight of score changes, 0 for a plain model."""
     texts = labelled(docs, labels, limit)
     sizes = {int(r.toxic > 0): r["count"] for r in texts.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -196,10 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, features:
     names = [bytes(r.feature) for r in best]
     names += sorted({f for g in IDENTITY_TERMS.values() for t in g for f in features_of(t.encode())} - set(names))
     shared = texts.sparkSession.sparkContext.broadcast(names)
-    rows = texts.mapInArrow(partial(_training_rows, shared), "toxic int, own array<short>, gained array<short>, lost array<short>").toPandas()  # at most limit rows
-    own, gained, lost = ([np.asarray(v, np.int64) for v in rows[c]] for c in ("own", "gained", "lost"))
-    change = Sparse([np.concatenate(p) for p in zip(gained, lost, strict=True)], [np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for a, b in zip(gained, lost, strict=True)])
-    weights, bias = fit((rows["toxic"].to_numpy() > 0).astype(float), Sparse(own), change, len(names))
+    rows = texts.mapInArrow(partial(_training_rows, shared), "toxic int, own array<short>, gained array<short>, lost array<short>, dropped array<short>").toPandas()  # at most limit rows
+    own, gained, lost, dropped = ([np.asarray(v, np.int64) for v in rows[c]] for c in ("own", "gained", "lost", "dropped"))
+    swapped = [np.concatenate(p) for p in zip(gained, lost, strict=True)], [np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for a, b in zip(gained, lost, strict=True)]
+    without = [d for d in dropped if len(d)]
+    change = Sparse(swapped[0] + without, swapped[1] + [-np.ones(len(d)) for d in without])
+    weights, bias = fit((rows["toxic"].to_numpy() > 0).astype(float), Sparse(own), change, len(names), penalty=penalty)
     return Model(names, weights, bias)
 
 
