@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_of, differs, finite, normal_text
+from ..operators.windows import numbered
 from .registry import GAMES, LOG, SIDES, query, r4
 
 
@@ -140,9 +141,12 @@ def checked_merge(t):
     return t("orders").join(one, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query("d16_roster_by_games", f"WITH s AS (SELECT o_orderkey AS g, o_custkey % 25 AS home, (o_custkey + 7) % 25 AS away FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01 00:00:00'), m AS (SELECT g, unnest([home, away]) AS nation FROM s) SELECT g, s_suppkey FROM m JOIN supplier ON s_nationkey = nation")
+@query("d16_roster_by_games", "WITH m AS (SELECT date_trunc('month', max(o_orderdate)) AS since FROM orders), s AS (SELECT o_orderkey AS g, o_custkey % 25 AS home, (o_custkey + 7) % 25 AS away FROM orders, m WHERE o_orderdate >= since), n AS (SELECT g, unnest([home, away]) AS nation FROM s) SELECT g, s_suppkey FROM n JOIN supplier ON s_nationkey = nation")
 def roster_games(t):
-    s = t("orders").where("o_orderdate >= timestamp_ntz'2001-07-01 00:00:00'").select(F.col("o_orderkey").alias("g"), F.explode(F.array(F.col("o_custkey") % 25, (F.col("o_custkey") + 7) % 25)).alias("nation"))
+    """The slate of the last month that the schedule has, with both sides' rosters."""
+    orders = t("orders")
+    since = orders.agg(F.date_trunc("month", F.max("o_orderdate")).cast("timestamp_ntz").alias("since"))
+    s = orders.crossJoin(F.broadcast(since)).where("o_orderdate >= since").select(F.col("o_orderkey").alias("g"), F.explode(F.array(F.col("o_custkey") % 25, (F.col("o_custkey") + 7) % 25)).alias("nation"))
     return s.join(t("supplier"), F.col("s_nationkey") == F.col("nation")).select("g", "s_suppkey")
 
 
@@ -169,16 +173,23 @@ def total_order(t):
     return t("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
 
 
-@query("g02_nulls_last", f"WITH {LOG} SELECT event_id, v FROM (SELECT event_id, CASE WHEN k % 2 = 0 THEN k END AS v FROM log) ORDER BY v IS NOT NULL DESC, v DESC NULLS LAST, event_id LIMIT 50")
+@query("g02_nulls_last", f"WITH {LOG} SELECT event_id, v, row_number() OVER (ORDER BY v DESC NULLS LAST, event_id) AS place FROM (SELECT event_id, CASE WHEN k % 2 = 0 THEN k END AS v FROM log)")
 def nulls_last(t):
     v = t.log().select("event_id", F.when(F.col("k") % 2 == 0, F.col("k")).alias("v"))
-    return v.orderBy(F.col("v").isNotNull().desc(), F.desc_nulls_last("v"), "event_id").limit(50)
+    return numbered(v, [], "v", "event_id", "place", descending=True)
 
 
-@query("g05_ranking_views", f"WITH {GAMES}, a AS (SELECT player_id, avg(units) AS u, max(price) AS p FROM games GROUP BY 1) SELECT player_id, CAST(row_number() OVER (ORDER BY u DESC NULLS LAST, player_id) AS INTEGER) AS by_units FROM a ORDER BY u DESC NULLS LAST, player_id LIMIT 100")
+_VIEWS = {"by_units": ("units", True), "by_best": ("best", True), "by_price": ("price", True), "by_bargain": ("bargain", False), "by_games": ("n", True), "by_returns": ("returns", True)}
+
+
+@query("g05_ranking_views", f"""WITH {GAMES}, a AS (SELECT player_id, avg(units) AS units, max(units) AS best, max(price) AS price, min(price) AS bargain, count(*) AS n, CASE WHEN count(*) >= 5 THEN sum(returned) END AS returns FROM games GROUP BY 1)
+    SELECT player_id, {", ".join(f"row_number() OVER (ORDER BY {x} {'DESC' if d else 'ASC'} NULLS LAST, player_id) AS {n}" for n, (x, d) in _VIEWS.items())} FROM a""")
 def ranking(t):
-    a = t.games().groupBy("player_id").agg(F.avg("units").alias("u")).orderBy(F.desc_nulls_last("u"), "player_id").limit(100)  # a view of 100 rows is ranked
-    return a.select("player_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("u"), "player_id")).alias("by_units"))
+    """All players in all views, missing values last."""
+    a = t.games().groupBy("player_id").agg(F.avg("units").alias("units"), F.max("units").alias("best"), F.max("price").alias("price"), F.min("price").alias("bargain"), F.count("*").alias("n"), F.sum("returned").alias("r"))
+    a = a.withColumn("returns", F.when(F.col("n") >= 5, F.col("r")))
+    views = [numbered(a.select("player_id", x), [], x, "player_id", name, descending).select("player_id", name) for name, (x, descending) in _VIEWS.items()]
+    return reduce(lambda v, w: v.join(w, "player_id"), views)
 
 
 @query("h01_union_distinct", "SELECT o_custkey AS id FROM orders WHERE o_totalprice > 150000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
