@@ -35,13 +35,6 @@ def inverse_cdf(u: Column, levels: Column, quantiles: Column) -> Column:
     return interpolated(u, levels, quantiles)
 
 
-def simulate(rows: DataFrame, key: str, cluster: str, levels: Column, quantiles: Column, draws: int, rho: float, seed: int) -> DataFrame:
-    """(key, cluster, draw, x): draws from each row's quantile function, correlated within a cluster by a Gaussian copula."""
-    d = rows.select(key, cluster, levels.alias("__l"), quantiles.alias("__q"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    z = F.lit(rho**0.5) * normal(seed, cluster, "draw") + F.lit((1 - rho) ** 0.5) * normal(seed + 10, key, "draw")
-    return d.select(key, cluster, "draw", inverse_cdf(normal_cdf(z), F.col("__l"), F.col("__q")).alias("x"))
-
-
 def crps(sample: Column, y: Column) -> Column:
     """Of an ensemble: mean |x - y| - half the mean |x - x'|; sorted, the pairs are one pass."""
     n = F.size(sample)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,7 +60,6 @@ def best_roster(pool: pd.DataFrame, counts: dict[str, int], budget: float, club_
             with_i = best[frm] + value[i]
             better = with_i > best[to]
             taken[i][to] = better
-            best = best.copy()
             best[to] = np.where(better, with_i, best[to])
         full = best[tuple(counts[s] for s in spots)]
         if not np.isfinite(full).any():
@@ -81,15 +80,33 @@ def best_roster(pool: pd.DataFrame, counts: dict[str, int], budget: float, club_
         limited += over
 
 
+def contenders(pool: DataFrame, slate: str, counts: dict[str, int]) -> DataFrame:
+    """The pool without players that no best roster needs.
+
+    A player goes if as many players of the same slate, position and club as a roster has of that position
+    are worth as much and cost no more: one of them is free to take the player's place.  Of one
+    price only so many are kept first, so what is left of a group is bounded by the number of prices.
+    """
+    need = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("position"))
+    group = [slate, "position", "club"]
+    order = [F.desc("value"), F.col("player")]
+    known = pool.where(F.col("position").isin(*counts))
+    level = known.withColumn("__cost", F.rint(F.col("credits") * 10)).withColumn("__k", F.row_number().over(Window.partitionBy(*group, "__cost").orderBy(*order))).where(F.col("__k") <= need)
+    better = F.collect_list("__cost").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    cheaper = F.size(F.filter(better, lambda c: c <= F.col("__cost")))
+    return level.withColumn("__cheaper", cheaper).where(F.col("__cheaper") < need).select(*pool.columns)
+
+
 def rosters(pool: DataFrame, slate: str, counts: dict[str, int], budget: float, club_limit: int) -> DataFrame:
-    """(slate, player, position, club, credits, value) of each slate's best roster; a slate's pool is one group."""
+    """(slate, player, position, club, credits, value) of each slate's best roster; a slate's contenders are one group, of a
+    size that positions, clubs and prices bound, not the pool."""
     schema = pool.select(slate, "player", "position", "club", "credits", "value").schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("player").reset_index(drop=True)
         return pdf.iloc[best_roster(pdf, counts, budget, club_limit)]
 
-    return pool.select(*schema.names).groupBy(slate).applyInPandas(solve, schema)
+    return contenders(pool.select(*schema.names), slate, counts).groupBy(slate).applyInPandas(solve, schema)
 
 
 def lineup_score(roster: DataFrame, group: Sequence[str], score: str, role: str) -> DataFrame:

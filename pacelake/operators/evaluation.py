@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import beside, cumulated
 
 
 def error_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -17,16 +17,30 @@ def error_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
 
 
 def spearman(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """Correlation of ranks within each group; ties share their mean rank."""
-    ranked = df.select(*by, average_rank(y, by).alias("__y"), average_rank(p, by).alias("__p"))
-    return ranked.groupBy(*by).agg(F.corr("__y", "__p").alias("spearman"))
+    """Correlation of ranks within each group; ties share their mean rank.
+
+    Rows are counted by both values; ranks are counted by value, in parts, and taken about their mean.
+    """
+    pairs = df.groupBy(*by, y, p).agg(F.count("*").alias("n"))
+    size = df.groupBy(*by).agg(F.count("*").alias("__size"))
+
+    def ranks(x: str, name: str) -> DataFrame:
+        c = cumulated(pairs.groupBy(*by, x).agg(F.sum("n").alias("n")), by, x)
+        return c.select(*by, x, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(name))
+
+    r = beside(beside(beside(pairs, ranks(y, "__a"), [*by, y]), ranks(p, "__b"), [*by, p]), size, by)
+    a, b = (F.col(c) - (F.col("__size") + 1) / 2.0 for c in ("__a", "__b"))
+    total = lambda v: F.sum(F.col("n") * v)
+    return r.groupBy(*by).agg(F.try_divide(total(a * b), F.sqrt(total(a * a)) * F.sqrt(total(b * b))).alias("spearman"))
 
 
-def order_quantile(x: str, q: float) -> Column:
-    """The ceil((n + 1) q)-th smallest value of a group, within its range: no interpolation."""
-    values = F.array_sort(F.collect_list(x))
-    k = F.least(F.greatest(F.ceil((F.size(values) + 1) * F.lit(q)).cast("int"), F.lit(1)), F.size(values))
-    return F.try_element_at(values, F.greatest(k, F.lit(1)))
+def order_quantile(df: DataFrame, by: Sequence[str], x: str, q: float, name: str = "q") -> DataFrame:
+    """The ceil((n + 1) q)-th smallest value of each group, within its range: no interpolation.  Values are counted, no group is gathered."""
+    counted = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+    size = counted.groupBy(*by).agg(F.sum("n").alias("__size"))
+    c = beside(cumulated(counted, by, x), size, by)
+    need = F.least(F.greatest(F.ceil((F.col("__size") + 1) * F.lit(q)), F.lit(1)), F.col("__size"))
+    return c.where(F.col("upto") >= need).groupBy(*by).agg(F.min(x).alias(name))
 
 
 def pinball(y: str, quantile: str, level: float) -> Column:
@@ -57,8 +71,10 @@ def log_loss(y: str, p: str, floor: float = 1e-6) -> Column:
 
 
 def auc(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """Area under the ROC curve by mean ranks within each group; null unless both classes are there."""
-    r = df.select(*by, y, average_rank(p, by).alias("__r")).groupBy(*by).agg(F.sum(F.when(F.col(y) == 1, F.col("__r"))).alias("s"), F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b"))
+    """Area under the ROC curve by mean ranks within each group; null unless both classes are there.  Scores are counted, ranks are counted in parts."""
+    counted = df.groupBy(*by, p).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b"))
+    rank = F.col("upto") - (F.col("n") - 1) / 2.0
+    r = cumulated(counted, by, p).groupBy(*by).agg(F.sum(rank * F.col("a")).alias("s"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return r.select(*by, F.try_divide(F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0, (F.col("a") * F.col("b")).cast("double")).alias("auc"))
 
 
@@ -77,13 +93,12 @@ def conformal_radius(df: DataFrame, group: str, residual: str, coverage: float,
     counted = r.groupBy(group, "r").agg(F.count("*").alias("n"))
 
     def at_rank(x: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys)
-        c = x.withColumn("upto", F.sum("n").over(w.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
+        c = beside(cumulated(x, keys, "r"), x.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
         need = F.least(F.col("total"), F.ceil((F.col("total") + 1) * F.lit(coverage)))
         return c.where(F.col("upto") >= need).groupBy(*keys).agg(F.min("r").alias("radius"), F.max("total").alias("n"))
 
     own = at_rank(counted, [group])
-    whole = at_rank(counted.groupBy("r").agg(F.sum("n").alias("n")).withColumn("__all", F.lit(1)), ["__all"]).select(F.col("radius").alias("all_radius"))
+    whole = at_rank(counted.groupBy("r").agg(F.sum("n").alias("n")), []).select(F.col("radius").alias("all_radius"))
     return own.crossJoin(F.broadcast(whole)).select(group, "n", F.when(F.col("n") >= least, F.col("radius")).otherwise(F.col("all_radius")).alias("radius"))
 
 

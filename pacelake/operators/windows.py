@@ -6,7 +6,9 @@ once for all frames.  Nothing here windows over a whole table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -60,16 +62,60 @@ def trend(x: str, history: History, k: int = 3) -> Column:
 
 
 def ewma(x: str, history: History, decay: float) -> Column:
-    """Sum of x times decay ** age over the sum of decay ** age, over all rows before.
+    """Sum of x times decay ** age over the sum of decay ** age, over the rows before.
 
-    The growing weights decay ** -n are kept small by counting ages from the row itself:
-    a fold over the ordered values of the entity.
+    Rows so far back that their weight is below 2 ** -64 of the latest one's are left out: a double doesn't hold
+    their part, and the frame, which a fold goes through, is bounded whatever an entity's history.
     """
-    values = F.collect_list(F.col(x)).over(history.before())
+    reach = max(1, math.ceil(64 * math.log(2) / -math.log(decay)))
+    values = F.collect_list(F.col(x)).over(history.last(reach))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("w"))
     return F.aggregate(values, zero, lambda s, v: F.struct((s["a"] * decay + v).alias("a"), (s["w"] * decay + 1.0).alias("w")), lambda s: F.try_divide(s["a"], s["w"]))
 
 
+def beside(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what the other table has for their group; null groups match."""
+    if not by:
+        return df.crossJoin(F.broadcast(other))  # one row
+    renamed = other.withColumnsRenamed({c: f"__{c}" for c in by})
+    joined = df.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
+    return joined.drop(*(f"__{c}" for c in by))
+
+
+def in_parts(df: DataFrame, by: Sequence[str], x: str, descending: bool = False, parts: int = 64) -> DataFrame:
+    """Rows with ``__part``, a number that rises along the order of x (nulls last) within a group: what has to be
+    sorted as a whole is sorted by parts, between quantiles of x, however few groups there are."""
+    levels = [(i + 1) / parts for i in range(parts - 1)]
+    splits = df.groupBy(*by).agg(F.percentile_approx(x, levels, 1000).alias("__splits"))
+    below = F.size(F.filter("__splits", lambda s: s < F.col(x)))
+    part = F.when(F.col(x).isNull(), parts).otherwise(parts - 1 - below if descending else F.coalesce(below, F.lit(0)))
+    return beside(df, splits, by).withColumn("__part", part).drop("__splits")
+
+
+def _before_part(parted: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
+    """by, __part and __before (rows of the group's parts before it): a few rows for each group."""
+    sizes = parted.groupBy(*by, "__part").agg(n.alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+
+
+def numbered(df: DataFrame, by: Sequence[str], x: str, tie: str, name: str, descending: bool = False) -> DataFrame:
+    """Row numbers from 1 within each group by x (nulls last) and tie, sorted in parts."""
+    parted = in_parts(df, by, x, descending)
+    order = F.desc_nulls_last(x) if descending else F.asc_nulls_last(x)
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order, tie))
+    out = beside(parted.withColumn("__inside", inside), _before_part(parted, by, F.count("*")), [*by, "__part"])
+    return out.withColumn(name, F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__part")
+
+
+def cumulated(counted: DataFrame, by: Sequence[str], x: str, n: str = "n") -> DataFrame:
+    """Rows (by, x, n), one for each value, with ``upto``: how many rows of the group have this value or a smaller one; sorted in parts."""
+    parted = in_parts(counted, by, x)
+    inside = F.sum(n).over(Window.partitionBy(*by, "__part").orderBy(F.asc_nulls_last(x)).rowsBetween(Window.unboundedPreceding, 0))
+    out = beside(parted.withColumn("__inside", inside), _before_part(parted, by, F.sum(n)), [*by, "__part"])
+    return out.withColumn("upto", F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__part")
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first k rows of each group (Spark prunes each map task to k rows before the shuffle)."""
     name = rank or "__rank"

@@ -110,7 +110,7 @@ def quantiles(t):
 
 @query("e22_order_statistic_quantile", f"WITH {GAMES}, r AS (SELECT player_id, units, row_number() OVER (PARTITION BY player_id ORDER BY units) AS k, count(*) OVER (PARTITION BY player_id) AS n FROM games) SELECT player_id, max(units) FILTER (WHERE k = least(n, greatest(1, ceil((n + 1) * 0.8)))) AS q80 FROM r GROUP BY 1")
 def order_quantile(t):
-    return t.games().groupBy("player_id").agg(E.order_quantile("units", 0.8).alias("q80"))
+    return E.order_quantile(t.games().select("player_id", "units"), ["player_id"], "units", 0.8, "q80")
 
 
 @query("e24_missing_rates", f"WITH {LOG} SELECT event_type, round(avg(CAST(k IS NULL AS INTEGER)), 4) AS k_missing, round(avg(CAST(value IS NULL AS INTEGER)), 4) AS value_missing, count(*) AS n FROM log GROUP BY 1")

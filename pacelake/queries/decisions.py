@@ -1,4 +1,4 @@
-"""Allocation, rosters, simulation and models (survey J18, J34-J47, J59)."""
+"""Allocation, rosters and models (survey J18, J34-J47, J59)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..operators import allocation as A
-from ..operators.windows import History
+from ..operators.windows import History, top_k
 from .evaluating import PRED, predictions
 from .registry import GAMES, query, r4
 
@@ -40,14 +40,6 @@ def inverse(t):
     return p.select("game_id", r4(D.inverse_cdf(F.lit(0.3), levels, q)).alias("p30"), r4(D.inverse_cdf(F.lit(0.7), levels, q)).alias("p70"))
 
 
-@query("j37_simulated_outcomes")
-def simulated(t):
-    """Draws for each prediction, correlated within a season; means and tails of each."""
-    p = predictions(t).where("prior >= 5")
-    d = D.simulate(p, "game_id", "season", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.array("q10", "q50", "q90"), 32, 0.05, 11)
-    return d.groupBy("game_id").agg(r4(F.avg("x")).alias("mean"), r4(F.percentile("x", 0.1)).alias("p10"), r4(F.percentile("x", 0.9)).alias("p90"), F.count("*").alias("draws"))
-
-
 @query("e23_crps", f"""WITH {GAMES}, s AS (SELECT game_id, units AS y, list(units) OVER (PARTITION BY player_id ORDER BY game_time, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS x FROM games), a AS (SELECT game_id, avg(abs(v - y)) AS first FROM (SELECT game_id, y, unnest(x) AS v FROM s) GROUP BY 1),
     b AS (SELECT game_id, avg(abs(v - w)) AS pairs FROM (SELECT game_id, v, unnest(x) AS w FROM (SELECT game_id, x, unnest(x) AS v FROM s)) GROUP BY 1) SELECT game_id, round(first - pairs / 2, 4) AS crps FROM a JOIN b USING (game_id)""")
 def crps(t):
@@ -70,8 +62,7 @@ def rosters(t):
         (F.col("p_size") % 7).alias("slate"), F.col("p_partkey").alias("player"), F.element_at(F.array(F.lit("G"), F.lit("F"), F.lit("C")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("position"), F.col("p_brand").alias("club"),
         F.round(4 + F.pmod(F.col("p_retailprice"), F.lit(12.0)), 1).alias("credits"), F.round(F.pmod(F.col("p_retailprice") * 7, F.lit(40.0)), 3).alias("value"),
     )
-    top = p.withColumn("r", F.row_number().over(Window.partitionBy("slate", "position").orderBy(F.desc("value"), "player"))).where("r <= 20").drop("r")
-    return A.rosters(top, "slate", {"G": 4, "F": 4, "C": 2}, 100.0, 6)
+    return A.rosters(p, "slate", {"G": 4, "F": 4, "C": 2}, 100.0, 6)
 
 
 @query("j42_roster_rules", "WITH r AS (SELECT l_orderkey, count(*) AS n, max(c) AS most, sum(l_quantity) AS credits FROM (SELECT l_orderkey, l_quantity, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS c FROM lineitem) GROUP BY 1) SELECT l_orderkey, n <= 7 AND most <= 2 AND credits <= 200 AS legal, concat_ws('|', CASE WHEN credits > 200 THEN 'CREDITS' END, CASE WHEN most > 2 THEN 'CLUB' END, CASE WHEN n > 7 THEN 'SIZE' END) AS reasons FROM r")
@@ -84,10 +75,9 @@ def roster_rules(t):
 
 @query("j43_policy_comparison", f"WITH {PRED}, g AS (SELECT player_id, p, q50, y, row_number() OVER (PARTITION BY season ORDER BY p DESC, game_id) AS a, row_number() OVER (PARTITION BY season ORDER BY q50 DESC, game_id) AS b, row_number() OVER (PARTITION BY season ORDER BY y DESC, game_id) AS o, season FROM pred) SELECT season, sum(y) FILTER (WHERE a <= 10) AS by_mean, sum(y) FILTER (WHERE b <= 10) AS by_median, sum(y) FILTER (WHERE o <= 10) AS hindsight FROM g GROUP BY 1")
 def policies(t):
-    w = Window.partitionBy("season")
-    g = predictions(t).withColumns({n: F.row_number().over(w.orderBy(F.desc(c), "game_id")) for n, c in (("a", "p"), ("b", "q50"), ("o", "y"))})
-    top = lambda n: F.sum(F.when(F.col(n) <= 10, F.col("y")))
-    return g.groupBy("season").agg(top("a").alias("by_mean"), top("b").alias("by_median"), top("o").alias("hindsight"))
+    g = predictions(t).select("season", "game_id", "p", "q50", "y")
+    best = lambda c, name: top_k(g, ["season"], [F.desc(c), F.col("game_id")], 10).groupBy("season").agg(F.sum("y").alias(name))
+    return best("p", "by_mean").join(best("q50", "by_median"), "season").join(best("y", "hindsight"), "season")
 
 
 @query("j59_walk_forward_model")

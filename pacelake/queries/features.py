@@ -165,13 +165,12 @@ def target_rows(t):
     return u.where("o = 0").select("player_id", "n", r4("a").alias("last_5_avg"))
 
 
-@query("j26_parity_check", f"WITH {GAMES} SELECT count(*) AS rows, count(*) FILTER (WHERE false) AS mismatches FROM games")
+@query("j26_parity_check", f"""WITH {GAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY game_time, game_id) AS i, avg(units) OVER ({_L.format(5)}) AS a FROM games),
+    p AS (SELECT a.game_id, any_value(a.a) AS a, avg(b.units) AS b FROM n a LEFT JOIN n b ON b.player_id = a.player_id AND b.i BETWEEN a.i - 5 AND a.i - 1 GROUP BY 1)
+    SELECT count(*) AS rows, count(*) FILTER (WHERE a IS NOT NULL) AS known, round(sum(a), 3) AS total, count(*) FILTER (WHERE a IS DISTINCT FROM b AND coalesce(abs(a - b) > 1e-9, true)) AS mismatches FROM p""")
 def parity(t):
-    """Two ways to the same feature, compared at 1e-9."""
-    g = t.games()
-    a = g.select("game_id", F.avg("units").over(H.last(5)).alias("a"))
-    n = g.withColumn("i", F.row_number().over(H.rows))
-    last = F.slice(F.collect_list("units").over(H.before()), F.greatest(F.col("i") - 5, F.lit(1)), 5)
-    b = n.select("game_id", X.ratio(F.aggregate(last, F.lit(0.0), lambda s, x: s + x), F.size(last)).alias("b"))
-    j = a.join(b, "game_id", "full")
-    return j.agg(F.count("*").alias("rows"), F.count_if(~(F.col("a").eqNullSafe(F.col("b")) | (F.abs(F.col("a") - F.col("b")) <= 1e-9))).alias("mismatches"))
+    """Two ways to the same feature, a frame's mean and a fold over the frame's values, compared at 1e-9."""
+    last = F.collect_list("units").over(H.last(5))
+    j = t.games().select(F.avg("units").over(H.last(5)).alias("a"), X.ratio(F.aggregate(last, F.lit(0.0), lambda s, x: s + x), F.size(last)).alias("b"))
+    same = F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= 1e-9, F.lit(False))
+    return j.agg(F.count("*").alias("rows"), F.count("a").alias("known"), F.round(F.sum("a"), 3).alias("total"), F.count_if(~same).alias("mismatches"))

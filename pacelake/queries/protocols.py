@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions import exprs as X
+from ..operators.windows import beside, numbered
 from .evaluating import PRED, predictions
 from .registry import GAMES, LOG, query, r4
 
@@ -20,8 +21,9 @@ def row_id_merge(t):
 @query("i20_quantile_bins", f"WITH {GAMES}, r AS (SELECT game_id, season, row_number() OVER (PARTITION BY season ORDER BY units, game_id) AS k, count(*) OVER (PARTITION BY season) AS n FROM games) SELECT game_id, CAST(greatest(ceil((k - 1) * 10.0::DOUBLE / (n - 1)), 1) AS INTEGER) AS bin FROM r WHERE n > 1")
 def quantile_bins(t):
     """Ten bins of first ranks by interpolated edges, right-closed."""
-    w = Window.partitionBy("season")
-    r = t.games().select("game_id", F.row_number().over(w.orderBy("units", "game_id")).alias("k"), F.count("*").over(w).alias("n")).where("n > 1")
+    g = t.games().select("game_id", "season", "units")
+    size = g.groupBy("season").agg(F.count("*").alias("n"))
+    r = beside(numbered(g, ["season"], "units", "game_id", "k"), size, ["season"]).where("n > 1")
     return r.select("game_id", F.greatest(F.ceil((F.col("k") - 1) * 10.0 / (F.col("n") - 1)), F.lit(1)).cast("int").alias("bin"))
 
 
@@ -47,17 +49,6 @@ def candidate_pairs(t):
     return a.where((F.col("a.l_linenumber") != F.col("b.l_linenumber")) & (score > 140)).select("l_orderkey", F.col("a.l_linenumber").cast("int").alias("captain"), F.col("b.l_linenumber").cast("int").alias("sixth"), score.alias("score"))
 
 
-@query("j44_residual_bootstrap")
-def residual_bootstrap(t):
-    """Each prediction plus residuals drawn from the bank of its history depth: 100 quantiles of the bank, by seeded draws."""
-    p = predictions(t)
-    levels = F.array(*[F.lit(i / 100) for i in range(1, 100)])
-    bank = p.groupBy("depth").agg(F.percentile(F.col("y") - F.col("p"), levels).alias("bank"))  # a row for each depth
-    d = p.select("game_id", "depth", "p").join(F.broadcast(bank), "depth").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    x = F.greatest(F.col("p") + F.get("bank", F.floor(D.uniform(5, "game_id", "draw") * 99).cast("int")), F.lit(0.0))
-    return d.groupBy("game_id").agg(r4(F.avg(x)).alias("mean"), r4(F.min(x)).alias("low"), r4(F.max(x)).alias("high"))
-
-
 @query("j50_run_evaluation", f"WITH {PRED} SELECT player_id, count(*) AS n, round(avg(abs(p - y)), 7) AS mae, round(max(y) - max(p), 4) AS top_gap FROM pred GROUP BY player_id")
 def run_evaluation(t):
     return predictions(t).groupBy("player_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 7).alias("mae"), r4(F.max("y") - F.max("p")).alias("top_gap"))

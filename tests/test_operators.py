@@ -15,9 +15,13 @@ from pacelake.operators import evaluation as E
 from pacelake.operators import quality as Q
 from pacelake.operators import temporal as T
 from pacelake.operators.stints import lineups, player_stints
+from pacelake.operators import windows as W
 from pacelake.operators.windows import History, elo, ewma
 
 
+FOLDER = "/root/testdata/sf0.001"
+
+
 def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 
@@ -139,6 +143,45 @@ def test_best_roster_against_all_combinations():
         assert (abs(pool.iloc[got].value.sum() - best) < 1e-9) if got else best < 0
 
 
+def test_contenders_hold_a_best_roster(spark):
+    """The query's rosters are worth as much as the best ones of the whole pools."""
+    import pacelake.queries as own
+
+    got = own.QUERIES["j39_best_rosters"](spark, FOLDER).toPandas()
+    p = spark.read.parquet(f"{FOLDER}/part.parquet").toPandas()
+    pool = pd.DataFrame({"slate": p.p_size % 7, "player": p.p_partkey, "position": ["GFC"[k % 3] for k in p.p_partkey], "club": p.p_brand, "credits": (4 + p.p_retailprice % 12).round(1), "value": (p.p_retailprice * 7 % 40).round(3)})
+    counts = {"G": 4, "F": 4, "C": 2}
+    assert len(got)
+    for slate, x in got.groupby("slate"):
+        whole = pool[pool.slate == slate].reset_index(drop=True)
+        assert x.position.value_counts().to_dict() == counts and x.credits.sum() < 100.0001 and x.club.value_counts().max() <= 6
+        assert abs(x.value.sum() - whole.iloc[A.best_roster(whole, counts, 100.0, 6)].value.sum()) < 1e-6
+    rng = random.Random(6)
+    rows = [(0, i, "GFC"[i % 3], rng.choice("xyz"), rng.randrange(40, 60) / 10, float(rng.randrange(6))) for i in range(60)]
+    df = spark.createDataFrame(rows, "slate int, player int, position string, club string, credits double, value double")
+    kept, small = A.contenders(df, "slate", {"G": 2, "F": 2, "C": 1}).toPandas(), df.toPandas()
+    assert len(kept) < 55
+    for limit in (2, 3):
+        values = [pool.iloc[A.best_roster(pool, {"G": 2, "F": 2, "C": 1}, 25.0, limit)].value.sum() for pool in (small, kept)]
+        assert values[0] == values[1] > 0
+
+
+def test_ranks_in_parts_are_those_of_a_whole_sort(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(40)])) for i in range(900)] + [("c", 1000, None)]
+    df = spark.createDataFrame(rows, "g string, id int, x int")
+    for descending in (False, True):
+        got = {r.id: r.k for r in W.numbered(df, ["g"], "x", "id", "k", descending).collect()}
+        want = {}
+        for g in ("a", "b", None, "c"):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, (-r[2] if descending else r[2]) if r[2] is not None else 0, r[1]))
+            want |= {r[1]: k for k, r in enumerate(own, 1)}
+        assert got == want
+    counted = df.where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    known = sorted(r[2] for r in rows if r[2] is not None)
+    assert {r.x: r.upto for r in W.cumulated(counted, [], "x").collect()} == {x: sum(v <= x for v in known) for x in set(known)}
+
+
 def test_pool_adjacent_and_draws(spark):
     assert D.pool_adjacent(np.array([0.9, 0.5, 0.7, 0.1]), np.ones(4)).tolist() == pytest.approx([0.9, 0.6, 0.6, 0.1])
     d = spark.range(4000).select(D.uniform(3, "id").alias("u"), D.normal(3, "id").alias("z"), D.normal_cdf(D.normal(3, "id")).alias("p")).agg(F.avg("u"), F.avg("z"), F.stddev("z"), F.avg("p")).first()
@@ -152,7 +195,7 @@ def test_metrics_by_hand(spark):
     assert (m.n, round(m.mae, 6), round(m.rmse, 6), m.bias) == (3, 0.666667, 0.816497, 0.0)
     assert E.spearman(df, "y", "p", ["k"]).first().spearman == pytest.approx(1.0)
     assert E.auc(df, "hit", "p", ["k"]).first().auc == 1.0
-    assert df.agg(E.order_quantile("y", 0.8).alias("q")).first().q == 5.0
+    assert E.order_quantile(df, [], "y", 0.8).first().q == 5.0
 
 
 def test_checks_fail_closed(spark):
