@@ -12,7 +12,13 @@ from .evaluating import PRED, predictions
 from .registry import GAMES, query, r4
 
 
-@query("j18_simplex_projection")
+#: The nearest values within 0 and 40 that sum to 200, from breakpoints of the shift; {} has rows g, i, x.
+CAPPED = """WITH r AS ({}), b AS (SELECT g, -x AS b FROM r UNION SELECT g, 40 - x FROM r), f AS (SELECT r.g, b, sum(least(greatest(x + b, 0), 40)) AS f FROM b JOIN r ON r.g = b.g GROUP BY ALL),
+    e AS (SELECT g, max(b) FILTER (WHERE f <= 200) AS lo, max_by(f, b) FILTER (WHERE f <= 200) AS f_lo, min(b) FILTER (WHERE f >= 200) AS hi, min_by(f, b) FILTER (WHERE f >= 200) AS f_hi FROM f GROUP BY 1),
+    s AS (SELECT g, CASE WHEN f_hi > f_lo THEN lo + (200 - f_lo) * (hi - lo) / (f_hi - f_lo) ELSE lo END AS s FROM e WHERE lo IS NOT NULL AND hi IS NOT NULL)"""
+
+
+@query("j18_simplex_projection", CAPPED.format("SELECT l_orderkey AS g, l_linenumber AS i, l_quantity AS x FROM lineitem") + " SELECT g AS l_orderkey, i AS l_linenumber, round(least(greatest(x + s, 0), 40), 4) AS projected FROM r JOIN s USING (g)")
 def simplex(t):
     """Line quantities as minutes, brought to 200 an order within 0 and 40."""
     line = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
