@@ -66,3 +66,24 @@ def player_stints(intervals: DataFrame) -> DataFrame:
     w = Window.partitionBy("game", "side", "player").orderBy("from")
     marked = islands(p.withColumn("new", ~F.col("from").eqNullSafe(F.lag("to").over(w))), ["game", "side", "player"], ["from"], F.col("new"), "stint")
     return marked.groupBy("game", "side", "player", "stint").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+
+
+#: What a play counts as and the points it makes.
+PLAYS = {"fga": ("2FGM", "2FGA", "3FGM", "3FGA"), "oreb": ("O",), "turnovers": ("TO",), "fta": ("FTM", "FTA")}
+POINTS = {"2FGM": 2, "3FGM": 3, "FTM": 1}
+
+
+def possessions(intervals: DataFrame, plays: DataFrame) -> DataFrame:
+    """Intervals (game, side, from, to) with fga, oreb, turnovers, fta, points, own and opponent's possessions and their mean.
+
+    plays: game, at, team (a side), play.  A play at the instant of a substitution belongs to the lineup before it, one at second 0
+    to the first lineup.  A game's plays come as one array of a few hundred.
+    """
+    held = plays.groupBy("game").agg(F.collect_list(F.struct("at", "team", "play")).alias("__plays"))
+    within = F.filter("__plays", lambda e: ((e["at"] > F.col("from")) & (e["at"] <= F.col("to"))) | ((e["at"] == 0) & (F.col("from") == 0)))
+    j = intervals.where("reason is null").join(held, "game", "left").withColumn("__in", F.coalesce(within, F.array().cast("array<struct<at:int, team:string, play:string>>")))
+    of = lambda own, kinds: F.size(F.filter("__in", lambda e: (e["team"] == F.col("side") if own else e["team"] != F.col("side")) & e["play"].isin(*kinds)))
+    count = lambda own: of(own, PLAYS["fga"]) - of(own, PLAYS["oreb"]) + of(own, PLAYS["turnovers"]) + 0.44 * of(own, PLAYS["fta"])
+    points = sum((n * of(True, (k,)) for k, n in POINTS.items()), F.lit(0))
+    out = j.select("game", "side", "from", "to", *[of(True, kinds).alias(k) for k, kinds in PLAYS.items()], points.alias("points"), count(True).alias("own"), count(False).alias("against"))
+    return out.withColumn("game_possessions", (F.col("own") + F.col("against")) / 2)

@@ -25,7 +25,7 @@ _ALL = _ROWS.format(_W, "UNBOUNDED", 1)
 _SEASON = _ROWS.format("PARTITION BY player_id, season ORDER BY game_time, game_id", "UNBOUNDED", 1)
 
 
-def _sql() -> str:
+def _sql(source: str = "games", more: str = "") -> str:
     r = lambda x, name: f"round({x}, 4) AS {name}"
     last = lambda k: _ROWS.format(_W, k, 1)
     cols = []
@@ -41,7 +41,7 @@ def _sql() -> str:
     cols += [f"count(*) OVER (PARTITION BY player_id ORDER BY epoch_us(game_time) RANGE BETWEEN {d * 86400000000} PRECEDING AND 1 PRECEDING) AS games_{d}d" for d in LOAD]
     cols += [r(f"avg(CAST(returned > 0 AS INTEGER)) OVER ({last(10)})", "absence_rate"), r(f"avg(CAST(priority IN ('1', '2') AS INTEGER)) OVER ({last(10)})", "urgent_rate")]
     cols += [r(f"coalesce(avg(units) OVER ({_SEASON}), avg(units) OVER ({_ALL}), {START})::DOUBLE", "baseline"), f"season = min(season) OVER (PARTITION BY player_id) AS rookie_season"]
-    return f"""WITH {GAMES}, known AS (SELECT *, CAST(floor(price) AS BIGINT) AS spend FROM games), day AS (SELECT season, CAST(game_time AS DATE) AS d, sum(units) AS u, sum(n_lines) AS l, count(*) AS n FROM games GROUP BY ALL),
+    return f"""WITH {GAMES}, {more}known AS (SELECT *, CAST(floor(price) AS BIGINT) AS spend FROM {source}), day AS (SELECT season, CAST(game_time AS DATE) AS d, sum(units) AS u, sum(n_lines) AS l, count(*) AS n FROM {source} GROUP BY ALL),
     league AS (SELECT season, d, round(sum(u) OVER w / nullif(sum(n) OVER w, 0), 4) AS league_units, round(sum(u) OVER w / nullif(sum(l) OVER w, 0), 4) AS league_per_line FROM day WINDOW w AS (PARTITION BY season ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     f AS (SELECT game_id, player_id, season, game_time, units AS target, {", ".join(cols)} FROM known)
     SELECT f.*, league_units, league_per_line, round(baseline - league_units, 4) AS baseline_over_league FROM f JOIN league ON league.season = f.season AND league.d = CAST(f.game_time AS DATE)"""
@@ -49,7 +49,12 @@ def _sql() -> str:
 
 @query("j02_player_features", _sql())
 def player_features(t):
-    g = t.games().withColumn("spend", F.floor("price"))
+    return features(t.games())
+
+
+def features(games):
+    """The table for player-games; rows without stats (games to come) get theirs from the same frames."""
+    g = games.withColumn("spend", F.floor("price"))
     h, s = History("player_id", "game_time", "game_id"), History(["player_id", "season"], "game_time", "game_id")
     cols = {}
     for x in STATS:
