@@ -170,13 +170,18 @@ def inversions(t):
     return t("events").withColumn("before", F.lag("event_id").over(w)).groupBy("user_id").agg(F.count_if(F.col("event_id") < F.col("before")).alias("inversions"), F.count("*").alias("n"))
 
 
-@query("f24_elo_by_season")
+@query("f24_elo_by_season", """WITH RECURSIVE g AS (SELECT concat_ws('-', year(o_orderdate), month(o_orderdate)) AS season, o_orderkey, c_nationkey AS h, s_nationkey AS a, CAST(l_quantity >= 25 AS INTEGER) AS won,
+    row_number() OVER (PARTITION BY year(o_orderdate), month(o_orderdate) ORDER BY o_orderdate, o_orderkey, s_nationkey, l_quantity >= 25) AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
+    r AS (SELECT DISTINCT season, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS o_orderkey, CAST(NULL AS DOUBLE) AS home_elo, CAST(NULL AS DOUBLE) AS away_elo, MAP {} :: MAP(BIGINT, DOUBLE) AS rating FROM g
+        UNION ALL SELECT season, k, o_orderkey, rh, ra, map_concat(rating, MAP {h: rh + d, a: ra - d}) FROM (SELECT *, 20 * (won - 1 / (1 + pow(10, (ra - rh - 70) / 400))) AS d
+            FROM (SELECT g.season, g.k, g.o_orderkey, CAST(h AS BIGINT) AS h, CAST(a AS BIGINT) AS a, won, rating, coalesce(rating[CAST(h AS BIGINT)], 1500.0::DOUBLE) AS rh, coalesce(rating[CAST(a AS BIGINT)], 1500.0::DOUBLE) AS ra FROM r JOIN g ON g.season = r.season AND g.k = r.k + 1)))
+    SELECT season, o_orderkey, round(home_elo, 4) AS home_elo, round(away_elo, 4) AS away_elo FROM r WHERE k > 0""")
 def elo_seasons(t):
-    """Customers' nations (home) against suppliers' nations (away) of each order's first line."""
+    """Customers' nations (home) against suppliers' nations (away) of each order's first line; an order may have several, which come by nation and winner."""
     first = t("lineitem").where("l_linenumber = 1").join(F.broadcast(t("supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
     o = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(first, F.col("o_orderkey") == F.col("l_orderkey"))
     games = o.where("c_nationkey <> s_nationkey").select(F.concat_ws("-", F.year("o_orderdate"), F.month("o_orderdate")).alias("season"), micros("o_orderdate").alias("at"), "o_orderkey", "c_nationkey", "s_nationkey", (F.col("l_quantity") >= 25).alias("home_won"))
-    out = elo(games, "season", ["at", "o_orderkey"], "c_nationkey", "s_nationkey", "home_won")
+    out = elo(games, "season", ["at", "o_orderkey", "s_nationkey", "home_won"], "c_nationkey", "s_nationkey", "home_won")
     return out.select("season", "o_orderkey", r4("home_elo").alias("home_elo"), r4("away_elo").alias("away_elo"))
 
 
