@@ -10,7 +10,10 @@ and only a count of unsettled nodes reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,22 @@ def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
+def pivot_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group and hub: the pivots, as bits, of the component of pivots that holds most lines."""
+    for b in batches:
+        hubs = []
+        for seen in b.column("seen").to_pylist():
+            parts: list[list[int]] = []  # bits and lines of each component
+            for bits, n in ((x["near"], x["n"]) for x in seen if x["near"]):
+                touched = [p for p in parts if p[0] & bits]
+                parts = [p for p in parts if not p[0] & bits]
+                for p in touched:
+                    bits, n = bits | p[0], n + p[1]
+                parts.append([bits, n])
+            hubs.append(max(parts, key=lambda p: (p[1], p[0]), default=[0, 0])[0])
+        yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(hubs, pa.int32())], ["group", "hub"])
+
+
 def _unsettled(edges: DataFrame) -> int:
     """Nodes that keep the edges from being stars: children of two nodes, or children that are parents."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh128_intdigest
 
 from .common import own_name, slices, stored
-from .components import components
+from .components import components, pivot_hubs
 from .quality import let
 
 SHINGLE, BANDS, ROWS = 8, 12, 4
@@ -353,22 +353,6 @@ def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("group"), b.column("line"), pa.array(near, pa.int32())], ["group", "line", "near"])
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """group and hub: the pivots, as bits, of the component of pivots that holds most lines."""
-    for b in batches:
-        hubs = []
-        for seen in b.column("seen").to_pylist():
-            parts: list[list[int]] = []  # bits and lines of each component
-            for bits, n in ((x["near"], x["n"]) for x in seen if x["near"]):
-                touched = [p for p in parts if p[0] & bits]
-                parts = [p for p in parts if not p[0] & bits]
-                for p in touched:
-                    bits, n = bits | p[0], n + p[1]
-                parts.append([bits, n])
-            hubs.append(max(parts, key=lambda p: (p[1], p[0]), default=[0, 0])[0])
-        yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(hubs, pa.int32())], ["group", "hub"])
-
-
 def forms(lines: DataFrame, near: DataFrame) -> DataFrame:
     """line, check and norm of the candidates, one form for each line, stored."""
     wanted = stored(near.select("line").distinct(), "candidate-lines")
@@ -390,7 +374,7 @@ def links(near: DataFrame, norms: DataFrame) -> DataFrame:
     pivots = stored(cells.groupBy("group").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")), "pivots")
     marked = stored(large.join(pivots, "group").select("group", "line", "norm", "pivots").mapInArrow(_near_pivots, "group long, line long, near int"), "near-pivots")
     seen = marked.groupBy("group", "near").agg(F.count("*").alias("n")).groupBy("group").agg(F.collect_list(F.struct("near", "n")).alias("seen"))  # 2 ** PIVOTS for a group at most
-    hubs = seen.mapInArrow(_hubs, "group long, hub int")
+    hubs = seen.mapInArrow(pivot_hubs, "group long, hub int")
     to_pivots = marked.where("near <> 0").join(pivots, "group").select("line", F.explode(F.expr("filter(transform(pivots, (p, i) -> if((near >> i) & 1 = 1, p.line, null)), x -> x is not null)")).alias("b"))
     rest = stored(marked.join(hubs, "group").where(F.col("near").bitwiseAND(F.col("hub")) == 0).select("group", "line"), "hot-rest")
     shards = rest.groupBy("group").count().select("group", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))

@@ -9,9 +9,12 @@ r bits, then of r + k blocks at least k agree: every choice of k blocks gives a
 key, and k grows with the number of fingerprints so that a bucket of unrelated ones stays
 small.  Each bucket is a shard with a BK-tree of its own, whose children are keyed by the
 integer distance to their parent; a search follows only the edges within the radius of
-the distance it has just measured.  Buckets above ``SHARD`` fingerprints are dealt into
-several shard trees, and each of these is sent to all queries of the bucket, in blocks;
-so no link is lost and no task holds more than a tree and a block.  A task returns a
+the distance it has just measured.  A bucket above ``SHARD``
+fingerprints is first compared with ``PIVOTS`` of its own, by columns alone.  The pivots that
+some fingerprint links make up the hub; fingerprints outside it get trees, and as all of the bucket has to meet
+these, the bits that its key leaves open are blocked once more, into buckets within the
+bucket.  Trees of more than ``SHARD`` of such fingerprints are dealt into several, each of which is sent to all
+queries of its bucket.  So no link is lost and no task holds more than a tree and a chunk of queries.  A task returns a
 forest of its links, never all pairs; ``components`` unites the forests.
 
 Null texts count as empty.  Rows with one doc_id stand for one document with several
@@ -33,11 +36,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from .common import LOWER_TABLE, documents_with_key, own_name, slices, stored
-from .components import components, hook
+from .components import components, hook, pivot_hubs
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints of a shard tree at most, and unrelated ones expected in a bucket.
 SHARD, EXPECTED = 16_384, 64
+#: Fingerprints of a bucket above SHARD that all of it is compared with, and open blocks that agree in a bucket within it.
+PIVOTS, AGREEING = 8, 2
+#: All bits of a fingerprint.
+EVERY = (1 << 64) - 1
 #: Rows that a task holds at once, and pairs that a search holds at once.
 CHUNK_ROWS, FRONTIER = 1 << 19, 1 << 21
 
@@ -72,12 +79,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents_with_key(docs).mapInArrow(_fingerprints, "doc_id long, doc long, fp long")
 
 
-def bucket_keys(fp: Column, radius: int, k: int) -> list[Column]:
-    """A hash of the bits of every choice of k of radius + k blocks."""
-    edges = [64 * i // (radius + k) for i in range(radius + k + 1)]
-    masks = [((1 << z) - 1) ^ ((1 << a) - 1) for a, z in zip(edges, edges[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(sum(masks[j] for j in chosen))).cast("long"))) for i, chosen in enumerate(combinations(range(radius + k), k))]
+def masks(bits: int, radius: int, k: int) -> list[int]:
+    """The bits of every choice of k of radius + k blocks of the bits that are set."""
+    places = [i for i in range(64) if bits >> i & 1]
+    edges = [len(places) * i // (radius + k) for i in range(radius + k + 1)]
+    blocks = [sum(1 << i for i in places[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(blocks, k)]
+
+
+def signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
 def blocks_agreeing(n: int, radius: int) -> int:
@@ -161,15 +172,38 @@ def _search(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield _links(*held, radius)
 
 
+def _within(large: DataFrame, radius: int, chosen: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Of buckets above SHARD (rows choice, key, fp) the edges a, b to pivots, and rows key, fp, tree for the search."""
+    cells = large.groupBy("key", F.pmod(F.xxhash64("fp"), F.lit(PIVOTS)).alias("cell")).agg(F.min("fp").alias("pivot"))
+    pivots = stored(cells.groupBy("key").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")), "fingerprint-pivots")
+    bits = F.transform("pivots", lambda p, i: F.when(F.bit_count(F.col("fp").bitwiseXOR(p)) <= radius, F.pow(F.lit(2), i).cast("int")).otherwise(0))
+    near = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+    marked = stored(large.join(pivots, "key").select("choice", "key", "fp", near.alias("near")), "near-pivots")
+    seen = marked.groupBy("key", "near").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("group")).agg(F.collect_list(F.struct("near", "n")).alias("seen"))  # 2 ** PIVOTS for a bucket at most
+    hubs = seen.mapInArrow(pivot_hubs, "group long, hub int").withColumnRenamed("group", "key")
+    linked = F.filter("pivots", lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)) <= radius)
+    edges = marked.where("near <> 0").join(pivots, "key").select(F.col("fp").alias("a"), F.explode(linked).alias("b"))
+    inner = F.array(*[F.array(*[signed(m) for m in masks(EVERY ^ mask, radius, AGREEING)]) for mask in chosen])[F.col("choice")]
+    told = marked.join(hubs, "key").withColumn("tree", F.col("near").bitwiseAND(F.col("hub")) == 0)
+    rows = stored(told.select("fp", "tree", F.explode(F.transform(inner, lambda m, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(m)))).alias("key")), "inner-buckets")
+    trees = stored(rows.where("tree").groupBy("key").count().select("key", F.ceil(F.col("count") / SHARD).cast("int").alias("shards")), "inner-trees")
+    dealt = rows.join(trees, "key").select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    own = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int") == F.col("shard")
+    return edges, dealt.select(F.xxhash64("key", "shard").alias("key"), "fp", (F.col("tree") & own).alias("tree"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp) that connect all those within the radius."""
-    k = blocks_agreeing(distinct.count(), radius)
-    keyed = distinct.select("fp", F.explode(F.array(*bucket_keys(F.col("fp"), radius, k))).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > SHARD).select("key", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))
-    dealt = keyed.join(hot, "key", "left").select("fp", "key", F.coalesce("shards", F.lit(1)).alias("shards"))
-    dealt = dealt.select("fp", "key", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    rows = dealt.select(F.xxhash64("key", "shard").alias("key"), "fp", (F.col("own") == F.col("shard")).alias("tree"))
-    return rows.repartition("key").sortWithinPartitions("key", F.desc("tree")).mapInArrow(partial(_search, radius), "a long, b long")
+    chosen = masks(EVERY, radius, blocks_agreeing(distinct.count(), radius))
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(signed(m))) for i, m in enumerate(chosen)]
+    keyed = distinct.select("fp", F.posexplode(F.array(*keys)).alias("choice", "key"))
+    hot = stored(keyed.groupBy("key").count().where(F.col("count") > SHARD).select("key"), "hot-buckets")
+    search = lambda rows: rows.repartition("key").sortWithinPartitions("key", F.desc("tree")).mapInArrow(partial(_search, radius), "a long, b long")
+    if hot.isEmpty():
+        return search(keyed.select("key", "fp", F.lit(True).alias("tree")))
+    cold = keyed.join(hot, "key", "left_anti").select("key", "fp", F.lit(True).alias("tree"))
+    edges, rows = _within(stored(keyed.join(hot, "key"), "hot-fingerprints"), radius, chosen)
+    return search(cold.unionByName(rows)).unionByName(edges)
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

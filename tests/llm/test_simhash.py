@@ -65,7 +65,7 @@ def test_links_of_dense_and_sparse_values_at_any_block_count(spark, monkeypatch)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     want = plain_components(signed, [s % (1 << 64) for s in signed])
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    for expected, shard in ((64, 16_384), (0.001, 16_384), (64, 50)):
+    for expected, shard in ((64, 16_384), (0.001, 16_384), (64, 50), (0.001, 4)):
         monkeypatch.setattr(simhash, "EXPECTED", expected)
         monkeypatch.setattr(simhash, "SHARD", shard)
         roots = {r.node: r.root for r in components(simhash.links(df)).collect()}
