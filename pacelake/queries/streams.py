@@ -23,8 +23,8 @@ def sliding(t):
 @query("k10_session_window", """WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 6 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, count(*) AS n FROM b GROUP BY user_id, s""")
 def session(t):
-    e = t("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+    out = S.drain(S.gap_sessions(S.event_stream(t.spark, t.folder), "ts", "6 hours", "60 days", "user_id"), "complete", "sessions")
+    return out.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
 @query("k01_streamed_current_state", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +16,30 @@ def event_stream(spark: SparkSession, folder: str, table: str = "events") -> Dat
     return stream.withColumns({c: F.col(c).cast("timestamp") for c, t in stream.dtypes if t == "timestamp_ntz"})
 
 
-def drain(result: DataFrame, mode: str, name: str) -> DataFrame:
+def drain(result: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
     """Runs a streaming query over all that is there and returns its result table.
 
     complete: the last batch is the result.  append: batches add up.  Results and checkpoints lie
     in the shared folder, batches are keyed by their number, so a batch that is run again
-    replaces itself.
+    replaces itself.  A stream without files gives an empty table.  With a ``folder`` of the caller's, a later run resumes after the last batch that was
+    committed there: it reads new files alone and goes on from the state; without new files the result stays.
     """
     spark = result.sparkSession
-    out, checkpoint = new_path(spark, f"stream-{name}"), new_path(spark, f"stream-{name}-checkpoint")
+    root = folder or new_path(spark, f"stream-{name}")
+    out, checkpoint = f"{root}/result", f"{root}/checkpoint"
+    jvm = spark.sparkContext._jvm
+    path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([out, *parts]))
+    fs = path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path())
 
     def save(batch: DataFrame, number: int) -> None:
-        path = out if mode == "complete" else f"{out}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if mode == "complete":  # the last result stays until the new one is whole
+            fs.delete(path(f"batch={number - 1}"), True)
 
-    result.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(out) if mode == "complete" else spark.read.parquet(out).select(*result.columns)
+    query = result.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(out).select(*result.columns)
 
 
 def tumbling(stream: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
@@ -60,6 +66,3 @@ def distinct(stream: DataFrame, *keys: str) -> DataFrame:
 def current_state(stream: DataFrame, key: str, time: str, tie: str, *values: str) -> DataFrame:
     """The newest row of each key so far (state of one row for each key)."""
     return stream.groupBy(key).agg(F.max_by(F.struct(tie, *values), F.struct(time, tie)).alias("s")).select(key, "s.*")
-
-
-Transform = Callable[[DataFrame], DataFrame]

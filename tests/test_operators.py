@@ -251,3 +251,25 @@ def test_streamed_dedup_drops_no_late_row(spark, tmp_path):
         os.utime(tmp_path / "events.parquet" / f"{i:02}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     rows = QUERIES["k02_streamed_dedup"](spark, str(tmp_path)).collect()
     assert len(rows) == len(set(rows)) == 40
+
+
+@pytest.mark.parametrize("mode", ["complete", "append"])
+def test_a_drained_stream_resumes(spark, tmp_path, mode):
+    from pacelake import streaming as S
+
+    table, seen = tmp_path / "in" / "events.parquet", []
+    table.mkdir(parents=True)
+    schema = "user_id long, event_id long, ts timestamp"
+    stream = spark.readStream.schema(schema).parquet(str(table))
+
+    def run():
+        wanted = S.current_state(stream, "user_id", "ts", "event_id") if mode == "complete" else S.distinct(stream.select("user_id", "event_id"), "user_id", "event_id")
+        return sorted(tuple(r) for r in S.drain(wanted, mode, "resumed", f"file://{tmp_path}/kept").select("user_id", "event_id").collect())
+
+    seen.append(run())
+    spark.sql("SELECT 1L AS user_id, 1L AS event_id, timestamp'2024-01-01' AS ts").write.mode("append").parquet(str(table))
+    seen += [run(), run()]
+    spark.sql("SELECT * FROM VALUES (1L, 2L, timestamp'2024-01-02'), (2L, 3L, timestamp'2023-01-01'), (1L, 1L, timestamp'2024-01-01') AS t(user_id, event_id, ts)").write.mode("append").parquet(str(table))
+    seen.append(run())
+    last = [(1, 2), (2, 3)] if mode == "complete" else [(1, 1), (1, 2), (2, 3)]
+    assert seen == [[], [(1, 1)], [(1, 1)], last]
