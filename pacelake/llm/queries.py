@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, line_dedup, quality, simhash, token_counts, token_file, toxicity, warc
+from . import byte_bpe, decontaminate, licenses, line_dedup, prefix_trie, quality, rule_ensemble, runs, simhash, token_counts, token_file, toxicity, warc
 from .common import documents
 
 
@@ -75,6 +75,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.runs(documents(spark, sf_dir), runs.planted, keep_text=False))
+
+
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"), prefix_trie.shared_turns(F.col("conv_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_file": op9_token_file,
     "op10_simhash": op10_simhash,
+    "op11_word_runs": op11_word_runs,
+    "op12_rule_ensemble": op12_rule_ensemble,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -213,4 +228,27 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": _warc_sql(), "op5_licenses": _license_sql(), "op6_quality": _OP6, "op2_decontamination": _OP2}
+#: CRC-32 of the decimal digits of c, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+_OP13 = f"""
+WITH raw AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (SELECT *, md5(length(role) || ':' || role || text) AS t, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM raw),
+own AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, t) AS o, t, w FROM keyed),
+ids AS (SELECT c, c - c % 20 AS b, CAST({_CRC} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM own)),
+heads AS (SELECT ids.c, own.o, own.t, own.w FROM ids JOIN own ON own.c = ids.b AND own.o <= ids.h),
+led AS (SELECT ids.c, h, count(heads.o) AS k FROM ids LEFT JOIN heads ON heads.c = ids.c GROUP BY ids.c, h),
+turns AS (SELECT * FROM heads UNION ALL SELECT own.c, k + o - h, t, w FROM own JOIN led ON own.c = led.c WHERE o > h),
+pre AS (SELECT c, o AS d, md5(string_agg(t, ',') OVER (PARTITION BY c ORDER BY o)) AS k, w FROM turns UNION ALL SELECT c, 0, '', 0 FROM ids),
+linked AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS last FROM pre),
+node AS (SELECT d, k, any_value(up) AS up, any_value(w) AS w, min(c) AS m, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = last) AS ends FROM linked GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT p.d, p.k, sum((x.n - 1) * x.w) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+    FROM node x LEFT JOIN kids ON kids.d = x.d AND kids.k = x.k JOIN pre p ON p.c = x.m AND p.d <= x.d GROUP BY p.d, p.k)
+SELECT x.m AS conv_id, CAST(x.d AS BIGINT) AS depth, y.m AS parent_conv_id, x.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+    CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM node x LEFT JOIN node y ON y.d = x.d - 1 AND y.k = x.up LEFT JOIN kids ON kids.d = x.d AND kids.k = x.k JOIN below ON below.d = x.d AND below.k = x.k
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _OP13, "op1_warc_derivatives": _warc_sql(), "op5_licenses": _license_sql(), "op6_quality": _OP6, "op2_decontamination": _OP2}

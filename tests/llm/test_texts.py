@@ -15,7 +15,7 @@ from pacelake.llm.common import words_of
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_duckdb(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toArrow(), con.execute(queries.ORACLE_SQL[name]).to_arrow_table()
     names = sorted(want.column_names)
