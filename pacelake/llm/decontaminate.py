@@ -10,8 +10,10 @@ segments, nothing is shuffled, and each segment is searched on its own.
 ``search`` takes the phrases of a query set.  A segment that lacks one of a phrase's
 words is done with it at once; otherwise the list of its rarest word, less that word's
 offset, is intersected with the other offset-adjusted lists from rare to frequent.  With a
-slop, a word may stand that far from its place: these are proximity matches, of which the
-exact ones are a part.  Query sets go to the tasks in blocks of ``BLOCK_WORDS`` words, one after
+slop, the result has proximity matches too, of which the exact ones are a part: there is a start s such that
+each word of the phrase has a place of its own within the slop of s plus its offset, and the places
+ascend as the words do.  The rarest word only picks the starts that are tried, so which
+documents share a segment changes nothing.  Query sets go to the tasks in blocks of ``BLOCK_WORDS`` words, one after
 another: each block's matches are stored before the next block is sent, so
 what is broadcast and held has a fixed bound.
 
@@ -113,8 +115,8 @@ class Phrases:
             self.by_length.setdefault(len(p), []).append(p)
         self.owners = owners
 
-    def matches(self, seg: Segment, slop: int) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
-        """Each phrase that occurs with its exact starts and its starts within the slop."""
+    def matches(self, seg: Segment, slop: int) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]:
+        """Each phrase that occurs with its exact starts, and the first and last places of its matches within the slop."""
         if 2 * slop >= GAP:
             raise ValueError(f"a slop of {slop} reaches over the {GAP} places between documents")
         term = np.array([seg.number.get(w, -1) for w in self.words], np.int64)
@@ -123,37 +125,59 @@ class Phrases:
 
         def of(word: int) -> np.ndarray:
             if word not in lists:
-                lists[word] = seg.postings(term[word])
+                lists[word] = np.append(seg.postings(term[word]), 1 << 62)
             return lists[word]
 
         for length, phrases in self.by_length.items():
             all_words = np.array(phrases, np.int64)
             counts = df[all_words]
             for k in np.flatnonzero(counts.min(axis=1) > 0):
-                order = np.argsort(counts[k], kind="stable")
-                offset = int(order[0])
-                near = exact = of(int(all_words[k, offset])) - offset
-                wide = length + 2 * slop >= GAP  # might reach into the next document
-                low = high = None
-                if wide:
-                    d = seg.document(near + offset)
-                    low, high = seg.bounds[d], seg.bounds[d] + seg.n_words[d]
-                for offset in order[1:].tolist():
-                    postings = of(int(all_words[k, offset]))
-                    least = near + (offset - slop)
-                    found = np.append(postings, 1 << 62)[np.searchsorted(postings, np.maximum(least, low) if wide else least)]
-                    ok = found <= near + (offset + slop)
-                    if wide:
-                        ok &= found < high
-                        low, high = low[ok], high[ok]
-                    near = near[ok]
-                    if len(exact):
-                        i = np.searchsorted(postings, exact + offset)
-                        exact = exact[np.append(postings, -1)[i] == exact + offset]
-                    if not len(near):
+                lists_of = [of(w) for w in all_words[k].tolist()]
+                order = np.argsort(counts[k], kind="stable").tolist()
+                exact = lists_of[order[0]][:-1] - order[0]
+                starts, low, high = self._starts(seg, exact, order[0], slop, length + 2 * slop >= GAP) if slop else (exact, None, None)
+                for offset in order[1:]:
+                    postings = lists_of[offset]
+                    exact = exact[postings[np.searchsorted(postings, exact + offset)] == exact + offset]
+                    if slop:
+                        least = starts + (offset - slop)
+                        ok = postings[np.searchsorted(postings, least if low is None else np.maximum(least, low))] <= (starts + (offset + slop) if low is None else np.minimum(starts + (offset + slop), high - 1))
+                        starts, low, high = starts[ok], None if low is None else low[ok], None if low is None else high[ok]
+                    if not len(starts if slop else exact):
                         break
-                if len(near):
-                    yield phrases[k], exact, near
+                if not slop:
+                    first, last = exact, exact + (length - 1)
+                elif len(starts):
+                    first, last = self._in_order(lists_of, starts, low, high, slop)
+                else:
+                    continue
+                if len(first):
+                    yield phrases[k], exact, first, last
+
+    @staticmethod
+    def _starts(seg: Segment, anchors: np.ndarray, offset: int, slop: int, wide: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """All starts that have an anchor within the slop and, where a match might reach into the next document, the bounds of theirs."""
+        all_ = (anchors[:, None] + np.arange(-slop, slop + 1)).ravel()
+        starts, at = np.unique(all_, return_index=True)
+        if not wide:
+            return starts, None, None
+        d = seg.document(anchors[at // (2 * slop + 1)] + offset)
+        return starts, seg.bounds[d], seg.bounds[d] + seg.n_words[d]
+
+    @staticmethod
+    def _in_order(lists_of: list[np.ndarray], starts: np.ndarray, low: np.ndarray | None, high: np.ndarray | None, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of the matches whose words take the leftmost places that ascend."""
+        first = last = np.full(len(starts), -1) if low is None else low - 1
+        for offset, postings in enumerate(lists_of):
+            place = postings[np.searchsorted(postings, np.maximum(starts + (offset - slop), last + 1))]
+            ok = place <= starts + (offset + slop)
+            if high is not None:
+                ok &= place < high
+                high = high[ok]
+            starts, last = starts[ok], place[ok]
+            first = first[ok] if offset else last
+        both = np.unique(first << 32 | last)
+        return both >> 32, both & 0xFFFFFFFF
 
 
 def _search(block: Broadcast, slop: int, spans: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,19 +189,20 @@ def _search(block: Broadcast, slop: int, spans: bool, batches: Iterator[pa.Recor
             items: list[set[str]] = [set() for _ in seg.n_words]
             close: list[set[str]] = [set() for _ in seg.n_words]
             rows: list[tuple] = []
-            for phrase, exact, near in phrases.matches(seg, slop):
+            for phrase, exact, first, last in phrases.matches(seg, slop):
                 owners = phrases.owners[phrase]
                 np.add.at(steps, exact, 1)
                 np.add.at(steps, exact + len(phrase), -1)
                 for d in set(seg.document(exact).tolist()):
                     items[d] |= owners
-                for d in set(seg.document(near + slop).tolist()):
+                for d in set(seg.document(first).tolist()):
                     close[d] |= owners
                 if spans:
-                    whole = np.isin(near, exact)
-                    for at, d, e in zip(near.tolist(), seg.document(near + slop).tolist(), whole.tolist(), strict=True):
-                        start = max(at - int(seg.bounds[d]), 0)
-                        rows += [(row["segment"], d, seg.doc_ids[d] if seg.known[d] else None, o, start, start + len(phrase), e) for o in sorted(owners)]
+                    apart = last - first >= len(phrase)
+                    first, end = np.concatenate((exact, first[apart])), np.concatenate((exact + len(phrase), last[apart] + 1))
+                    for k, (at, to, d) in enumerate(zip(first.tolist(), end.tolist(), seg.document(first).tolist(), strict=True)):
+                        base = int(seg.bounds[d])
+                        rows += [(row["segment"], d, seg.doc_ids[d] if seg.known[d] else None, o, at - base, to - base, k < len(exact)) for o in sorted(owners)]
             if spans:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
                 names = [c.split()[0] for c in MATCHES.split(", ")]
@@ -252,7 +277,8 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
 
 
 def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """segment and place (of the document in it), doc_id, item_id, start and end word, exact: every exact and proximity match."""
+    """segment and place (of the document in it), doc_id, item_id, start and end word, exact: every exact match, and the proximity
+    matches, each with the leftmost places that its start allows."""
     return _block_matches(index, blocks(benchmark, size), slop).distinct()
 
 

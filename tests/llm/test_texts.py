@@ -73,15 +73,33 @@ def test_entities_like_the_standard_library(spark):
     assert spark.range(1).select(warc.text_of(F.lit(x)).alias("t")).first().t == "café 🙂 � a&#b &#12345678901;"
 
 
-def plain_hits(text, items):
+def plain_near(w, p, slop):
+    """Whether places of the words of p ascend in w, each within the slop of a common start and its offset."""
+    for s in range(-slop, len(w) + slop):
+        reached = {-1}
+        for i, word in enumerate(p):
+            reached = {x for x in range(max(0, s + i - slop), min(len(w), s + i + slop + 1)) if w[x] == word and any(y < x for y in reached)}
+            if not reached:
+                break
+        if reached:
+            return True
+    return False
+
+
+def plain_hits(text, items, slop=2):
     w = words_of(text)
+    known = set(w)
     hit, found, near = set(), set(), set()
     for item, phrase in items:
         for p in decontaminate.windows(phrase):
+            if not known.issuperset(p):
+                continue
             for i in range(len(w) - len(p) + 1):
                 if w[i : i + len(p)] == p:
                     hit |= set(range(i, i + len(p)))
                     found.add(item)
+            if item not in near and plain_near(w, p, slop):
+                near.add(item)
     return len(w), len(hit), sorted(found), sorted(near)
 
 
@@ -93,14 +111,14 @@ def test_decontamination_against_brute_force(spark, docs_of, monkeypatch):
     texts += [f"A {items[3][1].upper()}! {items[4][1]}", items[5][1], items[5][1]]
     bench = spark.createDataFrame(items + [(None, "w1")], "item_id string, text string")
     index = decontaminate.build(docs_of(texts))
-    want = {i: plain_hits(t, [x for x in items if x[1]])[:3] for i, t in enumerate(texts)}
-    near = []
+    want = {i: plain_hits(t, [x for x in items if x[1]]) for i, t in enumerate(texts)}
+    assert any(len(x[3]) > len(x[2]) for x in want.values())
     for words in (2_000_000, 40):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
-        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.search(index, bench, slop=0).collect()}
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in decontaminate.search(index, bench, slop=0).collect()}
+        assert got == {i: (*x[:3], x[2]) for i, x in want.items()}
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in decontaminate.search(index, bench).collect()}
         assert got == want
-        near.append({r.doc_id: (r["items"], r.near_items) for r in decontaminate.search(index, bench).collect()})
-    assert near[0] == near[1]
     repeated = decontaminate.search(decontaminate.build(docs_of([items[5][1]] * 3, [7, 7, None])), bench, slop=0).collect()
     assert sorted(map(str, (r.doc_id for r in repeated))) == ["7", "7", "None"] and len({(r.n_hit, str(r["items"])) for r in repeated}) == 1
     assert decontaminate.report(docs_of([]), bench).count() == 0
@@ -117,11 +135,30 @@ def test_proximity_and_spans(spark, docs_of):
     assert near == {0: ["q"], 1: ["q"], 2: [], 3: [], 4: [], 5: []}
 
 
+def test_no_layout_changes_a_proximity_match(spark, docs_of):
+    """Whatever else a segment holds: each word has one place of its own, and order counts."""
+    texts = ["a x b c x d", "a a a", "c c c", "d d d", "b a d c", "a b c d"]
+    bench = spark.createDataFrame([("q", "a b c d"), ("r", "a a a a")], "item_id string, text string")
+    for parts in (1, 6):
+        got = {r.doc_id: r.near_items for r in decontaminate.search(decontaminate.build(docs_of(texts).repartition(parts, "doc_id")), bench, slop=1).collect()}
+        assert got == {i: plain_hits(t, [("q", "a b c d"), ("r", "a a a a")], slop=1)[3] for i, t in enumerate(texts)} == {0: ["q"], 1: [], 2: [], 3: [], 4: [], 5: ["q"]}
+
+
+def test_whole_table_in_one_and_many_partitions(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(str(r.item_id), r.text) for r in bench.collect()]
+    want = {r.doc_id: plain_hits(r.text, items) for r in docs.collect()}
+    for parts in (1, 64):
+        got = decontaminate.search(decontaminate.build(docs.repartition(parts)), bench).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in got} == want
+
+
 def test_report_and_query_run_the_proximity_search(spark, sf, docs_of):
     item = "the quick brown fox jumps over the lazy dog today"
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
-    got = {r.doc_id: r for r in decontaminate.report(docs_of([f"so {item} indeed", item.replace("over", "right over"), item.replace("over", "a b c over"), "the dog"]), bench).collect()}
+    got = {r.doc_id: r for r in decontaminate.report(docs_of([f"so {item} indeed", item.replace("over", "right over"), item.replace("over", "a b c d e over"), "the dog", item.replace("over", "a b c over")]), bench).collect()}
     assert [(got[i].n_items, got[i].n_near_items, got[i].n_hit, got[i].contaminated) for i in range(4)] == [(1, 1, 10, True), (0, 1, 0, False), (0, 0, 0, False), (0, 0, 0, False)]
+    assert (got[4].n_items, got[4].n_near_items) == (0, 1)  # two places before a start and one behind it
     assert got[1].near_items_sha256 == got[0].items_sha256 != got[2].near_items_sha256
     rows = queries.QUERIES["op2_proximity"](spark, sf).collect()
     assert all(r.n_near_items >= r.n_items for r in rows) and any(r.n_near_items for r in rows)
