@@ -134,21 +134,19 @@ class Phrases:
             for k in np.flatnonzero(counts.min(axis=1) > 0):
                 lists_of = [of(w) for w in all_words[k].tolist()]
                 order = np.argsort(counts[k], kind="stable").tolist()
-                exact = lists_of[order[0]][:-1] - order[0]
-                starts, low, high = self._starts(seg, exact, order[0], slop, length + 2 * slop >= GAP) if slop else (exact, None, None)
+                near = exact = lists_of[order[0]][:-1] - order[0]
                 for offset in order[1:]:
                     postings = lists_of[offset]
-                    exact = exact[postings[np.searchsorted(postings, exact + offset)] == exact + offset]
-                    if slop:
-                        least = starts + (offset - slop)
-                        ok = postings[np.searchsorted(postings, least if low is None else np.maximum(least, low))] <= (starts + (offset + slop) if low is None else np.minimum(starts + (offset + slop), high - 1))
-                        starts, low, high = starts[ok], None if low is None else low[ok], None if low is None else high[ok]
-                    if not len(starts if slop else exact):
+                    if len(exact):
+                        exact = exact[postings[np.searchsorted(postings, exact + offset)] == exact + offset]
+                    if slop:  # two words of a match stand at most twice the slop from their distance
+                        near = near[postings[np.searchsorted(postings, near + (offset - 2 * slop))] <= near + (offset + 2 * slop)]
+                    if not len(near if slop else exact):
                         break
                 if not slop:
                     first, last = exact, exact + (length - 1)
-                elif len(starts):
-                    first, last = self._in_order(lists_of, starts, low, high, slop)
+                elif len(near):
+                    first, last = self._in_order(lists_of, *self._starts(seg, near, order[0], slop, length + 2 * slop >= GAP), slop)
                 else:
                     continue
                 if len(first):
