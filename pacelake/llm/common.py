@@ -2,15 +2,15 @@
 
 Scratch tables are Parquet below the folder that ``spark.checkpoint.dir`` names,
 which every executor reaches.  They cut lineage: a lost executor costs only the
-tasks it held, never a chain of stages.  ``clear_scratch`` removes what one
-application wrote, once no DataFrame that reads it is used any more.
+tasks it held, never a chain of stages.  ``step`` runs one step of a longer job, keeps its result and removes
+its other scratch tables; ``clear_scratch`` removes what one application wrote, once no DataFrame that reads it is used any more.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The thread's property that names the folder, within the application's, of the step it runs.
+_STEP = "pacelake.scratch.step"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/pacelake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    step = spark.sparkContext.getLocalProperty(_STEP)
+    return f"{shared_folder(spark)}/pacelake-{spark.sparkContext.applicationId}/{f'{step}/' if step else ''}{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,11 +59,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def step(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What ``make`` returns, as a scratch table, and its path; all other scratch tables of the step are gone, even if it fails."""
+    sc = spark.sparkContext
+    outer, path, folder = sc.getLocalProperty(_STEP), scratch_path(spark, name), f"step-{uuid.uuid4().hex[:12]}"
+    sc.setLocalProperty(_STEP, folder)
+    try:
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        sc.setLocalProperty(_STEP, outer)
+        remove(spark, f"{shared_folder(spark)}/pacelake-{sc.applicationId}/{folder}")
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes all scratch tables of this application."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pacelake-{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/pacelake-{spark.sparkContext.applicationId}")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

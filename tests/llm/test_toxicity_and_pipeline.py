@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pacelake.llm import decontaminate, line_dedup, queries, toxicity
+from pacelake.llm import common, decontaminate, line_dedup, queries, toxicity
 from pacelake.llm.common import words_of
 
 
@@ -140,6 +140,36 @@ def test_run_gives_the_last_stages_rows(spark, sf, stages):
     assert got == sorted(map(tuple, stages["byte_bpe"].collect()))
 
 
+def test_a_step_keeps_its_result_alone(spark):
+    import os
+
+    root = f"{common.shared_folder(spark)}/pacelake-{spark.sparkContext.applicationId}".removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+
+    def make():
+        inner = common.stored(spark.range(10), "inner")
+        assert inner.inputFiles()[0].split("/")[-3].startswith("step-")
+        return inner.where("id > 3")
+
+    df, path = common.step(spark, make, "kept")
+    assert df.count() == 6 and set(os.listdir(root)) - before == {path.split("/")[-1]}
+    with pytest.raises(ZeroDivisionError):
+        common.step(spark, lambda: common.stored(spark.range(3), "inner").where(str(1 / 0)), "lost")
+    assert set(os.listdir(root)) - before == {path.split("/")[-1]}
+    assert "step-" not in common.scratch_path(spark, "x")
+    common.remove(spark, path)
+    common.remove(spark, path)
+
+
+def test_run_leaves_its_last_table_alone(spark, sf):
+    import os
+
+    root = f"{common.shared_folder(spark)}/pacelake-{spark.sparkContext.applicationId}".removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before] == ["stage-byte_bpe"]
+
+
 def test_stages_take_odd_tables(spark, docs_of, sf):
     docs = docs_of([None, "", "some line that is long enough to be judged", "some line that is long enough to be judged", "x"], [None, 1, 2, 2, 3]).withColumnRenamed("source", "Doc")
     for name, stage in corpus_pipeline.STAGES:
