@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .windows import beside, cumulated
 
 
@@ -21,8 +22,8 @@ def spearman(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
 
     Rows are counted by both values; ranks are counted by value, in parts, and taken about their mean.
     """
-    pairs = df.groupBy(*by, y, p).agg(F.count("*").alias("n"))
-    size = df.groupBy(*by).agg(F.count("*").alias("__size"))
+    pairs = stored(df.groupBy(*by, y, p).agg(F.count("*").alias("n")), "rank-pairs")
+    size = pairs.groupBy(*by).agg(F.sum("n").alias("__size"))
 
     def ranks(x: str, name: str) -> DataFrame:
         c = cumulated(pairs.groupBy(*by, x).agg(F.sum("n").alias("n")), by, x)
@@ -36,7 +37,7 @@ def spearman(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
 
 def order_quantile(df: DataFrame, by: Sequence[str], x: str, q: float, name: str = "q") -> DataFrame:
     """The ceil((n + 1) q)-th smallest value of each group, within its range: no interpolation.  Values are counted, no group is gathered."""
-    counted = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+    counted = stored(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n")), "counted-values")
     size = counted.groupBy(*by).agg(F.sum("n").alias("__size"))
     c = beside(cumulated(counted, by, x), size, by)
     need = F.least(F.greatest(F.ceil((F.col("__size") + 1) * F.lit(q)), F.lit(1)), F.col("__size"))
@@ -72,7 +73,7 @@ def log_loss(y: str, p: str, floor: float = 1e-6) -> Column:
 
 def auc(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Area under the ROC curve by mean ranks within each group; null unless both classes are there.  Scores are counted, ranks are counted in parts."""
-    counted = df.groupBy(*by, p).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b"))
+    counted = stored(df.groupBy(*by, p).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b")), "counted-scores")
     rank = F.col("upto") - (F.col("n") - 1) / 2.0
     r = cumulated(counted, by, p).groupBy(*by).agg(F.sum(rank * F.col("a")).alias("s"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return r.select(*by, F.try_divide(F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0, (F.col("a") * F.col("b")).cast("double")).alias("auc"))
@@ -90,7 +91,7 @@ def conformal_radius(df: DataFrame, group: str, residual: str, coverage: float,
     Ranks come from a count below and at each value, so no group is gathered in one list.
     """
     r = df.select(group, F.abs(residual).alias("r"))
-    counted = r.groupBy(group, "r").agg(F.count("*").alias("n"))
+    counted = stored(r.groupBy(group, "r").agg(F.count("*").alias("n")), "counted-residuals")
 
     def at_rank(x: DataFrame, keys: list[str]) -> DataFrame:
         c = beside(cumulated(x, keys, "r"), x.groupBy(*keys).agg(F.sum("n").alias("total")), keys)

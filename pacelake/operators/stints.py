@@ -1,63 +1,109 @@
-"""Event-log reconstruction: who was on court from when to when.
+"""Event-log reconstruction: who was on court from when to when, and whether it can be believed.
 
-A side's substitutions are folded in order over the set on court.  The fold is one JVM-side
-expression on a side's few substitutions, so games spread over tasks by (game, side)
-and no Python worker runs.
+A player's instants of coming in and going out are one window over (game, side, player): each IN is
+paired with the next OUT, and an IN on court or an OUT off court breaks the rules.  Everything is dealt by game, so
+one shuffle serves all steps, and no Python worker runs.  The audit compares stints with box minutes and accepts or
+quarantines whole games; nothing is repaired.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .windows import islands
 
-STATE = "struct<reason:string, since:int, court:array<string>, made:array<struct<from:int, to:int, court:array<string>>>>"
+#: Seconds by which box minutes and stints may differ.
+TOLERANCE = 5
 
 
-def _fold(starters: Column, subs: Column, end: Column, size: int) -> Column:
-    zero = F.struct(
-        F.when(F.size(starters) != size, "STARTERS").alias("reason"), F.lit(0).alias("since"), starters.alias("court"), F.array().cast("array<struct<from:int, to:int, court:array<string>>>").alias("made"),
-    ).cast(STATE)
+def sides(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5) -> DataFrame:
+    """(game, side, reason, seconds, stints): each side with its players' stints (player, from, to), or none and the reason.
 
-    def step(s: Column, x: Column) -> Column:
-        ins, outs = F.array_except(x["ins"], x["outs"]), F.array_except(x["outs"], x["ins"])
-        reason = (
-            F.when(s["reason"].isNotNull(), s["reason"]).when(F.size(ins) != F.size(outs), "UNBALANCED").when(F.size(F.array_except(outs, s["court"])) > 0, "OUT_NOT_ON_COURT").when(F.arrays_overlap(ins, s["court"]), "IN_ALREADY_ON_COURT")
-        )
-        interval = F.array(F.struct(s["since"].alias("from"), x["at"].alias("to"), s["court"].alias("court")))
-        made = F.when((x["at"] > s["since"]) & (F.size(ins) > 0), F.concat(s["made"], interval)).otherwise(s["made"])
-        since = F.when(F.size(ins) > 0, x["at"]).otherwise(s["since"])
-        return F.struct(reason.alias("reason"), since.alias("since"), F.array_union(F.array_except(s["court"], outs), ins).alias("court"), made.alias("made")).cast(STATE)
+    subs: game, side, at (seconds from the start), player, action IN or OUT; starters: game, side, player;
+    length: game, seconds.  At one instant, players who go both out and in stay.  The reason is that of the first
+    instant that breaks a rule: UNBALANCED, OUT_NOT_ON_COURT, IN_ALREADY_ON_COURT, or STARTERS if there aren't ``size`` of them.  Rows with
+    a null instant, player or action are no moves; repeated rows count once; sides without starters are left out.
+    """
+    known = subs.where("player is not null and at is not null").select("game", "side", F.col("at").cast("int").alias("at"), "player", (F.col("action") == "IN").alias("in"), (F.col("action") == "OUT").alias("out"))
+    first = starters.where("player is not null").select("game", "side", F.lit(-1).alias("at"), "player", F.lit(True).alias("in"), F.lit(False).alias("out"))
+    moves = known.unionByName(first).repartition("game").groupBy("game", "side", "at", "player").agg((F.max("in").cast("int") - F.max("out").cast("int")).alias("step")).where("step <> 0")
+    own = Window.partitionBy("game", "side", "player").orderBy("at")
+    moves = moves.withColumn("net", F.sum("step").over(Window.partitionBy("game", "side", "at"))).withColumn("on", F.coalesce(F.sum("step").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("next", F.lead("at").over(own))
+    subbed = F.col("at") >= 0
+    rank = F.when(subbed & (F.col("net") != 0), 1).when(subbed & (F.col("step") < 0) & (F.col("on") < 1), 2).when(subbed & (F.col("step") > 0) & (F.col("on") > 0), 3)
+    came = F.when(F.col("step") > 0, F.struct("player", F.greatest("at", F.lit(0)).alias("from"), F.col("next").alias("to")))
+    side = moves.groupBy("game", "side").agg(F.count_if(~subbed).alias("first"), F.min(F.when(rank.isNotNull(), F.struct("at", rank.alias("rank")))).alias("broken"), F.collect_list(came).alias("came")).where("first > 0")
+    reason = F.when(F.col("first") != size, "STARTERS").otherwise(F.get(F.array(F.lit("UNBALANCED"), F.lit("OUT_NOT_ON_COURT"), F.lit("IN_ALREADY_ON_COURT")), F.col("broken.rank") - 1))
+    timed = side.withColumn("reason", reason).join(length.select("game", F.col("seconds").cast("int").alias("seconds")), "game")
+    closed = F.filter(F.transform("came", lambda x: F.struct(x["player"].alias("player"), x["from"].alias("from"), F.coalesce(x["to"], F.col("seconds")).alias("to"))), lambda x: x["from"] < x["to"])
+    return timed.select("game", "side", "reason", "seconds", F.when(F.col("reason").isNull(), closed).otherwise(F.filter(closed, lambda x: F.lit(False))).alias("stints"))
+
+
+def stints(known: DataFrame) -> DataFrame:
+    """(game, side, player, from, to) of the stints of ``sides``."""
+    return known.select("game", "side", F.explode("stints").alias("x")).select("game", "side", "x.player", "x.from", "x.to")
+
+
+def intervals(known: DataFrame) -> DataFrame:
+    """(game, side, reason, from, to, court) of every interval between changes of ``sides``; a side with a reason gives one row without an interval."""
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("stints", lambda x: x["from"]), F.transform("stints", lambda x: x["to"]))))
+    out = known.withColumn("edges", edges)
+    court = lambda a, z: F.array_sort(F.transform(F.filter("stints", lambda x: (x["from"] <= a) & (x["to"] >= z)), lambda x: x["player"]))
+    spans = F.transform(F.slice("edges", F.lit(1), F.size("edges") - 1), lambda a, i: F.struct(a.alias("from"), F.get("edges", i + 1).alias("to"), court(a, F.get("edges", i + 1)).alias("court")))
+    return out.select("game", "side", "reason", F.explode_outer(spans).alias("x")).select("game", "side", "reason", "x.from", "x.to", "x.court").where("reason is not null or from is not null")
 
-    def close(s: Column) -> Column:
-        last = F.array(F.struct(s["since"].alias("from"), end.alias("to"), s["court"].alias("court")))
-        return F.struct(s["reason"].alias("reason"), F.when(end > s["since"], F.concat(s["made"], last)).otherwise(s["made"]).alias("made"))
 
-    return F.aggregate(subs, zero, step, close)
+def lineups(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5) -> DataFrame:
+    """``intervals`` of ``sides``."""
+    return intervals(sides(subs, starters, length, size))
 
 
-def lineups(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5) -> DataFrame:
-    """(game, side, reason, from, to, court) of every interval between substitutions.
+def minute_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(game, player, official_seconds, reconstructed_seconds, difference_seconds, within_tolerance) of every box row of a game without a reason.
 
-    subs: game, side, at (seconds from the start), player, action IN or OUT; starters: game, side, player;
-    length: game, seconds.  At one instant, players who go both out and in stay.  A side that
-    breaks a rule gives one row with the reason and no interval.
+    box: game, player, seconds; a player without stints has 0, and repeated rows of a player count once, with the most seconds.
     """
-    by = subs.groupBy("game", "side", "at").agg(F.collect_set(F.when(F.col("action") == "IN", F.col("player"))).alias("ins"), F.collect_set(F.when(F.col("action") == "OUT", F.col("player"))).alias("outs"))
-    ordered = by.groupBy("game", "side").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "ins", "outs"))).alias("subs"))
-    first = starters.groupBy("game", "side").agg(F.sort_array(F.collect_set("player")).alias("starters"))
-    none = F.array().cast("array<struct<at:int, ins:array<string>, outs:array<string>>>")
-    both = first.join(ordered, ["game", "side"], "left").join(length, "game").withColumn("subs", F.coalesce("subs", none))
-    row = "array<struct<reason:string, from:int, to:int, court:array<string>>>"
-    none = F.array(F.struct(F.lit(None).alias("reason"), F.lit(None).alias("from"), F.lit(None).alias("to"), F.lit(None).alias("court"))).cast(row)
-
-    def rows(f: Column) -> Column:  # the folded side: one row with the reason, or its intervals
-        made = F.transform(f["made"], lambda m: F.struct(F.lit(None).alias("reason"), m["from"].alias("from"), m["to"].alias("to"), F.sort_array(m["court"]).alias("court"))).cast(row)
-        return F.when(f["reason"].isNotNull(), F.transform(none, lambda x: x.withField("reason", f["reason"]))).otherwise(made)
-
-    folded = F.transform(F.array(_fold(F.col("starters"), F.col("subs"), F.col("seconds").cast("int"), size)), rows)[0]  # computed once
-    return both.select("game", "side", F.explode(folded).alias("r")).select("game", "side", "r.*")
+    known = stored(known, "sides")
+    return _minutes(known, box, tolerance)
+
+
+def _minutes(known: DataFrame, box: DataFrame, tolerance: int) -> DataFrame:
+    games = known.groupBy("game").agg(F.max(F.col("reason").isNotNull()).alias("bad")).where("not bad").select("game")
+    good = known.join(games, "game", "left_semi")
+    played = stints(good).select("game", "player", (F.col("to") - F.col("from")).alias("played"), F.lit(None).cast("int").alias("official"))
+    listed = box.join(games, "game", "left_semi").select("game", "player", F.lit(0).alias("played"), F.col("seconds").cast("int").alias("official"))
+    g = played.unionByName(listed).groupBy("game", "player").agg(F.sum("played").cast("int").alias("reconstructed_seconds"), F.max("official").alias("official_seconds")).where("official_seconds is not null")
+    apart = F.col("reconstructed_seconds") - F.col("official_seconds")
+    return g.select("game", "player", "official_seconds", "reconstructed_seconds", apart.alias("difference_seconds"), (F.abs(apart) <= tolerance).alias("within_tolerance"))
+
+
+def game_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """One row for each game: whether it was reconstructed and is usable, the reasons of its quarantine (sorted, joined by |), how many box rows
+    agree exactly, within the tolerance and not, and the largest and total absolute error."""
+    known = stored(known, "sides")
+    return _game_audit(known, box, tolerance)
+
+
+def _game_audit(known: DataFrame, box: DataFrame, tolerance: int) -> DataFrame:
+    apart = F.abs(F.col("difference_seconds"))
+    rows = _minutes(known, box, tolerance).groupBy("game").agg(
+        F.count("*").alias("player_rows"), F.count_if(apart == 0).alias("exact_player_rows"), F.count_if("within_tolerance").alias("near_exact_player_rows"), F.count_if(~F.col("within_tolerance")).alias("outside_tolerance_player_rows"),
+        F.max(apart).cast("long").alias("maximum_absolute_error_seconds"), F.sum(apart).alias("total_absolute_error_seconds"),
+    )
+    game = known.groupBy("game").agg(F.collect_set("reason").alias("reasons")).join(rows, "game", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns if c != "game"}
+    outside = F.coalesce("outside_tolerance_player_rows", F.lit(0)) > 0
+    reasons = F.array_sort(F.when(outside, F.array_append("reasons", F.lit("PLAYER_MINUTES_OUTSIDE_TOLERANCE"))).otherwise(F.col("reasons")))
+    whole = F.size("reasons") == 0
+    return game.select("game", whole.alias("structurally_reconstructed"), (whole & ~outside).alias("rotation_usable"), F.when(F.size(reasons) > 0, F.array_join(reasons, "|")).alias("quarantine_reason"), *zero.values())
+
+
+def accepted(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """``sides`` of the usable games alone."""
+    known = stored(known, "sides")
+    return known.join(_game_audit(known, box, tolerance).where("rotation_usable").select("game"), "game", "left_semi")
 
 
 def player_stints(intervals: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 DAY = 86_400_000_000
 
 
@@ -99,13 +101,28 @@ def _before_part(parted: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
     return sizes.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
 
 
+def in_order(df: DataFrame, *order: Column, name: str = "__at") -> DataFrame:
+    """Rows with their place, from 0, in the order of the whole table, stored.
+
+    The table is sorted in ranges of the order, tie-breakers included, so that neither one frequent value nor nulls gather
+    in a task; a row's place is its place in its range plus the rows of the ranges before.
+    """
+    inner = F.col(name).bitwiseAND((1 << 33) - 1)  # an id has the range's number above bit 33
+    table = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "in-order")
+    sizes = table.groupBy(F.shiftright(name, 33).alias("__range")).agg((F.max(inner) + 1).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offsets = F.broadcast(sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before")))
+    return table.withColumn("__range", F.shiftright(name, 33)).join(offsets, "__range").withColumn(name, inner + F.col("__before")).drop("__range", "__before")
+
+
 def numbered(df: DataFrame, by: Sequence[str], x: str, tie: str, name: str, descending: bool = False) -> DataFrame:
-    """Row numbers from 1 within each group by x (nulls last) and tie, sorted in parts."""
-    parted = in_parts(df, by, x, descending)
+    """Row numbers from 1 within each group by x (nulls last) and tie; groups, frequent values and nulls of any size spread over ranges of the order."""
     order = F.desc_nulls_last(x) if descending else F.asc_nulls_last(x)
-    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order, tie))
-    out = beside(parted.withColumn("__inside", inside), _before_part(parted, by, F.count("*")), [*by, "__part"])
-    return out.withColumn(name, F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__part")
+    out = in_order(df, *[F.col(c) for c in by], order, F.col(tie), name=name)
+    if not by:
+        return out.withColumn(name, F.col(name) + 1)
+    first = out.groupBy(*by).agg(F.min(name).alias("__first"))
+    return beside(out, first, by).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
 
 
 def cumulated(counted: DataFrame, by: Sequence[str], x: str, n: str = "n") -> DataFrame:

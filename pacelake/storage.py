@@ -23,6 +23,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pacelake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The DataFrame written below the shared folder and read again: what several branches of a plan need is computed once."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """The Parquet sink: ZSTD, replacing what is there."""
     writer = df.write.mode("overwrite").option("compression", "zstd")

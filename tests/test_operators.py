@@ -14,6 +14,7 @@ from pacelake.operators import allocation as A
 from pacelake.operators import evaluation as E
 from pacelake.operators import quality as Q
 from pacelake.operators import temporal as T
+from pacelake.operators import stints as S
 from pacelake.operators.stints import lineups, player_stints
 from pacelake.operators import windows as W
 from pacelake.operators.windows import History, elo, ewma
@@ -85,6 +86,58 @@ def test_reasons_and_same_clock_no_op(spark, subs, starters, reason):
     assert [(r["from"], r["to"]) for r in rows] == ([(0, 2400)] if reason is None else [(None, None)])
 
 
+def audited(spark, subs, box, starters=None):
+    s = spark.createDataFrame(subs or [("x", "H", 0, "p", "IN")], "game string, side string, at int, player string, action string")
+    known = S.sides(s, spark.createDataFrame(starters or side(5), "game string, side string, player string"), spark.createDataFrame([("g", 2400)], "game string, seconds int"))
+    b = spark.createDataFrame([("g", p, n) for p, n in box.items()], "game string, player string, seconds int")
+    return S.game_audit(known, b).first(), {r.player: r.difference_seconds for r in S.minute_audit(known, b).collect()}, S.accepted(known, b).count()
+
+
+def test_games_are_accepted_by_box_minutes(spark):
+    swap = [("g", "H", 300, "S1", "OUT"), ("g", "H", 300, "B1", "IN"), ("g", "H", 600, "B1", "OUT"), ("g", "H", 600, "S1", "IN")]
+    full = {f"S{i}": 2400 for i in range(2, 6)}
+    game, rows, kept = audited(spark, swap, full | {"S1": 2100, "B1": 300})
+    assert game.rotation_usable and game.exact_player_rows == 6 and game.maximum_absolute_error_seconds == 0 and kept == 1
+    game, rows, kept = audited(spark, swap, full | {"S1": 2105, "B1": 295, "N": 0})  # within five seconds
+    assert game.rotation_usable and (game.exact_player_rows, game.near_exact_player_rows) == (5, 7) and rows["S1"] == -5 and rows["N"] == 0
+    game, rows, kept = audited(spark, [], full | {"S1": 2460})
+    assert game.structurally_reconstructed and not game.rotation_usable and game.outside_tolerance_player_rows == 1 and kept == 0
+    assert game.quarantine_reason == "PLAYER_MINUTES_OUTSIDE_TOLERANCE" and game.total_absolute_error_seconds == 60
+    game, rows, kept = audited(spark, [("g", "H", 300, "S1", "OUT")], full)  # no minutes of a game that breaks a rule
+    assert (game.quarantine_reason, game.player_rows, rows, kept) == ("UNBALANCED", 0, {}, 0) and not game.structurally_reconstructed
+
+
+def test_stints_against_a_fold_over_the_set_on_court(spark):
+    rng = random.Random(5)
+    subs, want, reasons = [], set(), {}
+    for g in range(150):
+        court, since, made, reason = {f"S{i}" for i in range(1, 6)}, dict.fromkeys([f"S{i}" for i in range(1, 6)], 0), set(), None
+        for at in sorted(rng.sample(range(0, 2401), rng.randrange(6))):
+            pool = sorted(court) if rng.random() < 0.93 else ["S1", "B1", "B2"]
+            out, come = rng.choice(pool), rng.choice([x for x in ("S1", "S2", "B1", "B2", "B3") if x not in court or rng.random() < 0.07])
+            outs, ins = {out} - {come}, {come} - {out} if rng.random() < 0.95 else set()
+            subs += [(str(g), "H", at, out, "OUT")] + [(str(g), "H", at, come, "IN")] * (2 if ins or out == come else 0)
+            if out == come:
+                continue
+            if reason is None:
+                reason = "UNBALANCED" if len(ins) != len(outs) else "OUT_NOT_ON_COURT" if not outs <= court else "IN_ALREADY_ON_COURT" if ins & court else None
+            if reason is None:
+                made |= {(str(g), p, since.pop(p), at) for p in outs}
+                since |= dict.fromkeys(ins, at)
+                court = court - outs | ins
+        reasons[str(g)] = reason
+        if reason is None:
+            want |= {x for x in made if x[2] < x[3]} | {(str(g), p, a, 2400) for p, a in since.items() if a < 2400}
+    starters = [(str(g), "H", f"S{i}") for g in range(150) for i in range(1, 6)]
+    known = S.sides(spark.createDataFrame(subs + [("0", "H", None, "S1", "OUT"), ("0", "H", 5, None, "OUT")], "game string, side string, at int, player string, action string"), spark.createDataFrame(starters + starters[:7], "game string, side string, player string"), spark.createDataFrame([(str(g), 2400) for g in range(150)], "game string, seconds int"))
+    assert {r.game: r.reason for r in known.collect()} == reasons and len(set(reasons.values())) == 4
+    assert {(r.game, r.player, r["from"], r["to"]) for r in S.stints(known).collect()} == want
+    courts = S.intervals(known).where("reason is null").collect()
+    assert all(len(r.court) == 5 for r in courts)
+    inside = {(r.game, p, k) for r in courts for p in r.court for k in range(r["from"], r["to"], 60)}
+    assert inside == {(g, p, k) for g, p, a, z in want for r in courts if r.game == g and a <= r["from"] and r["to"] <= z for k in range(r["from"], r["to"], 60)}
+
+
 def test_elo_first_games(spark):
     g = spark.createDataFrame([(1, 1, "a", "b", True), (1, 2, "b", "a", True)], "season int, n int, h string, v string, won boolean")
     r = {x.n: (x.home_elo, x.away_elo) for x in elo(g, "season", ["n"], "h", "v", "won").collect()}
@@ -177,6 +230,12 @@ def test_ranks_in_parts_are_those_of_a_whole_sort(spark):
             own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, (-r[2] if descending else r[2]) if r[2] is not None else 0, r[1]))
             want |= {r[1]: k for k, r in enumerate(own, 1)}
         assert got == want
+    for hot in (None, 7):  # one value or null in nine rows of ten spreads by the tie
+        many = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(hot)).alias("x"))
+        out = W.numbered(many, [], "x", "id", "k")
+        per = [spark.read.parquet(f).count() for f in out.inputFiles() if "in-order" in f]
+        assert len(per) >= 4 and max(per) < 0.5 * sum(per)
+        assert out.groupBy().agg(F.min("k"), F.max("k"), F.count_distinct("k")).first() == (1, 40_000, 40_000)
     counted = df.where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
     known = sorted(r[2] for r in rows if r[2] is not None)
     assert {r.x: r.upto for r in W.cumulated(counted, [], "x").collect()} == {x: sum(v <= x for v in known) for x in set(known)}
