@@ -230,12 +230,14 @@ def test_ranks_in_parts_are_those_of_a_whole_sort(spark):
             own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, (-r[2] if descending else r[2]) if r[2] is not None else 0, r[1]))
             want |= {r[1]: k for k, r in enumerate(own, 1)}
         assert got == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small ranges are put together
     for hot in (None, 7):  # one value or null in nine rows of ten spreads by the tie
         many = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(hot)).alias("x"))
         out = W.numbered(many, [], "x", "id", "k")
         per = [spark.read.parquet(f).count() for f in out.inputFiles() if "in-order" in f]
         assert len(per) >= 4 and max(per) < 0.5 * sum(per)
         assert out.groupBy().agg(F.min("k"), F.max("k"), F.count_distinct("k")).first() == (1, 40_000, 40_000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     counted = df.where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
     known = sorted(r[2] for r in rows if r[2] is not None)
     assert {r.x: r.upto for r in W.cumulated(counted, [], "x").collect()} == {x: sum(v <= x for v in known) for x in set(known)}
@@ -332,3 +334,34 @@ def test_a_drained_stream_resumes(spark, tmp_path, mode):
     seen.append(run())
     last = [(1, 2), (2, 3)] if mode == "complete" else [(1, 1), (1, 2), (2, 3)]
     assert seen == [[], [(1, 1)], [(1, 1)], last]
+
+
+def test_official_name_variants_and_strong_names(spark):
+    from pacelake.operators import identity as I
+
+    rows = spark.createDataFrame([("BALDWIN IV, WADE",), ("BRISSETT, O'SHAE J",), ("Plain Name",), (None,), ("",)], "n string").select("n", I.official_variants(F.col("n")).alias("v")).collect()
+    got = {r.n: set(r.v or ()) for r in rows}
+    assert "wade baldwin" in got["BALDWIN IV, WADE"] and "baldwin wade" not in got["BALDWIN IV, WADE"]
+    assert "oshae brissett" in got["BRISSETT, O'SHAE J"] and got["Plain Name"] == {"plain name"} and got[""] == set() and not got[None]
+    pairs = [("Oshae Brissett", "BRISSETT, O'SHAE J", True), ("Nikos Rogkavopoulos", "ROGKAVOPOULOS, NIKOLAOS", True), ("Chiek Diallo", "RADZEVICIUS, GYTIS", False), ("Gur Lavy", "LAVI, GUR", False), ("Wade", "BALDWIN, WADE", False), (None, "A, B", False), ("Al Bo", "BO, AL", True), ("A Bo", "BO, AL", False), ("x y", None, False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", I.strong_names(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_tiers_pass_leftovers_on_and_are_unique_on_both_sides(spark):
+    from pacelake.operators import identity as I
+
+    persons = spark.createDataFrame([(1, "DOE, JOHN", "t", "7"), (2, "ROE, JANE", "t", "8"), (3, "ROE, JANE", "u", "8"), (4, "POE, NIKOLAOS", "t", "09"), (5, "LONE, A", "v", None), (1, "DOE, JOHN", "t", "7")], "person int, official string, team string, jersey string")
+    entries = spark.createDataFrame(
+        [("a", "John Doe", "t", "7"), ("b", "Jane Roe", "u", "08"), ("c", "Nikos Poe", "t", "9"), ("d", "Other Man", "t", "8"), ("e", None, None, None), ("f", "A Lone", "v", "1"), ("g", "a lone", "v", "2"), ("h", "x", "t", "7"), ("a", "John Doe", "t", "7")],
+        "entry string, name string, team string, jersey string",
+    )
+    number = F.array(I.jersey_key(F.col("team"), F.col("jersey")))
+    tiers = [I.Tier("NAME", F.array(F.array_join(I._plain(F.col("name")), " ")), I.official_variants(F.col("official"))), I.Tier("TEAM_JERSEY", number, number, agree=True)]
+    got = {r.entry: (r.person, r.tier, r.status) for r in I.resolve(entries, persons, tiers).collect()}
+    assert got == {
+        "a": (1, "NAME", "MATCHED"), "b": (3, "TEAM_JERSEY", "MATCHED"), "c": (4, "TEAM_JERSEY", "MATCHED"), "d": (None, None, "INCOMPATIBLE"), "e": (None, None, "UNMATCHED"),
+        "f": (None, None, "CONTESTED"), "g": (None, None, "CONTESTED"), "h": (None, None, "UNMATCHED"),
+    }
+    assert I.resolve(entries.where("false"), persons, tiers).count() == 0
+    assert {r.status for r in I.resolve(entries, persons.where("false"), tiers).collect()} == {"UNMATCHED"}
