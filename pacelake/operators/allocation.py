@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,55 +30,6 @@ def project_to_total(df: DataFrame, group: Sequence[str], member: str, raw: str,
     return g.where("shift is not null").select(*group, "shift", F.explode("m").alias("x")).select(*group, F.col(f"x.{member}").alias(member), F.least(F.greatest(F.col("x.raw") + F.col("shift"), F.lit(low)), F.lit(high)).alias(name))
 
 
-def best_roster(pool: pd.DataFrame, counts: dict[str, int], budget: float, club_limit: int) -> list[int]:
-    """Row numbers of the roster of largest value: exact counts by position, credits in tenths within the budget, and
-    at most ``club_limit`` of a club; empty if there is none.
-
-    Dynamic programming over players with states (counts, credits).  A club that the best roster
-    overfills gets a counter of its own and the search runs again; every optimum of the last run is legal.
-    """
-    cost = np.rint(pool["credits"].to_numpy(float) * 10).astype(int)
-    value, spots, clubs = pool["value"].to_numpy(float), list(counts), pool["club"].to_numpy()
-    room = int(round(budget * 10))
-    limited: list = []
-    while True:
-        shape = tuple(counts[s] + 1 for s in spots) + (club_limit + 1,) * len(limited) + (room + 1,)
-        best = np.full(shape, -np.inf)
-        best[(0,) * len(shape)] = 0.0
-        taken = np.zeros((len(pool), *shape), bool)
-        for i in range(len(pool)):
-            if pool["position"].iloc[i] not in spots or cost[i] > room:
-                continue
-            step = [0] * len(shape)
-            step[spots.index(pool["position"].iloc[i])] = 1
-            for k, club in enumerate(limited):
-                step[len(spots) + k] = int(clubs[i] == club)
-            step[-1] = int(cost[i])
-            to = tuple(slice(s, None) for s in step)
-            frm = tuple(slice(None, n - s) for n, s in zip(shape, step, strict=True))
-            with_i = best[frm] + value[i]
-            better = with_i > best[to]
-            taken[i][to] = better
-            best[to] = np.where(better, with_i, best[to])
-        full = best[tuple(counts[s] for s in spots)]
-        if not np.isfinite(full).any():
-            return []
-        at = [*(counts[s] for s in spots), *(int(x) for x in np.unravel_index(np.argmax(full), full.shape))]
-        chosen = []
-        for i in reversed(range(len(pool))):
-            if taken[i][tuple(at)]:
-                chosen.append(i)
-                at[spots.index(pool["position"].iloc[i])] -= 1
-                for k, club in enumerate(limited):
-                    at[len(spots) + k] -= int(clubs[i] == club)
-                at[-1] -= int(cost[i])
-        names, sizes = np.unique(clubs[chosen], return_counts=True)
-        over = [c for c, n in zip(names, sizes, strict=True) if n > club_limit]
-        if not over:
-            return sorted(chosen)
-        limited += over
-
-
 def contenders(pool: DataFrame, slate: str, counts: dict[str, int]) -> DataFrame:
     """The pool without players that no best roster needs.
 
@@ -102,9 +52,11 @@ def rosters(pool: DataFrame, slate: str, counts: dict[str, int], budget: float,
     size that positions, clubs and prices bound, not the pool."""
     schema = pool.select(slate, "player", "position", "club", "credits", "value").schema
 
+    from .lineups import best_players
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("player").reset_index(drop=True)
-        return pdf.iloc[best_roster(pdf, counts, budget, club_limit)]
+        return pdf.iloc[best_players(pdf, counts, budget, club_limit)]
 
     return contenders(pool.select(*schema.names), slate, counts).groupBy(slate).applyInPandas(solve, schema)
 

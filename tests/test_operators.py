@@ -1,6 +1,7 @@
 """Hand-computed values, invariants and brute force for operators."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -14,6 +15,7 @@ from pacelake.operators import allocation as A
 from pacelake.operators import evaluation as E
 from pacelake.operators import quality as Q
 from pacelake.operators import temporal as T
+from pacelake.operators import lineups as L
 from pacelake.operators import stints as S
 from pacelake.operators.stints import lineups, player_stints
 from pacelake.operators import windows as W
@@ -188,7 +190,7 @@ def test_best_roster_against_all_combinations():
     rng = random.Random(4)
     for _ in range(6):
         pool = pd.DataFrame([{"player": i, "position": "GFC"[i % 3], "club": rng.choice("xyz"), "credits": rng.randrange(20, 60) / 10, "value": rng.random() * 10} for i in range(12)])
-        best, got = -1.0, A.best_roster(pool, {"G": 2, "F": 2, "C": 1}, 20.0, 2)
+        best, got = -1.0, L.best_players(pool, {"G": 2, "F": 2, "C": 1}, 20.0, 2)
         for c in itertools.combinations(range(12), 5):
             x = pool.iloc[list(c)]
             if x.position.value_counts().to_dict() == {"G": 2, "F": 2, "C": 1} and x.credits.sum() <= 20.0001 and x.club.value_counts().max() <= 2:
@@ -208,14 +210,14 @@ def test_contenders_hold_a_best_roster(spark):
     for slate, x in got.groupby("slate"):
         whole = pool[pool.slate == slate].reset_index(drop=True)
         assert x.position.value_counts().to_dict() == counts and x.credits.sum() < 100.0001 and x.club.value_counts().max() <= 6
-        assert abs(x.value.sum() - whole.iloc[A.best_roster(whole, counts, 100.0, 6)].value.sum()) < 1e-6
+        assert abs(x.value.sum() - whole.iloc[L.best_players(whole, counts, 100.0, 6)].value.sum()) < 1e-6
     rng = random.Random(6)
     rows = [(0, i, "GFC"[i % 3], rng.choice("xyz"), rng.randrange(40, 60) / 10, float(rng.randrange(6))) for i in range(60)]
     df = spark.createDataFrame(rows, "slate int, player int, position string, club string, credits double, value double")
     kept, small = A.contenders(df, "slate", {"G": 2, "F": 2, "C": 1}).toPandas(), df.toPandas()
     assert len(kept) < 55
     for limit in (2, 3):
-        values = [pool.iloc[A.best_roster(pool, {"G": 2, "F": 2, "C": 1}, 25.0, limit)].value.sum() for pool in (small, kept)]
+        values = [pool.iloc[L.best_players(pool, {"G": 2, "F": 2, "C": 1}, 25.0, limit)].value.sum() for pool in (small, kept)]
         assert values[0] == values[1] > 0
 
 
@@ -365,3 +367,68 @@ def test_tiers_pass_leftovers_on_and_are_unique_on_both_sides(spark):
     }
     assert I.resolve(entries.where("false"), persons, tiers).count() == 0
     assert {r.status for r in I.resolve(entries, persons.where("false"), tiers).collect()} == {"UNMATCHED"}
+
+
+def small_pool(rng, n=13):
+    pool = pd.DataFrame([{"slate": 0, "player": f"p{i:02d}", "position": "GFC"[i % 3], "club": rng.choice("xyz"), "credits": rng.randrange(20, 60) / 10, "value": float(rng.randrange(1, 90))} for i in range(n)])
+    coaches = pd.DataFrame([{"slate": 0, "coach": f"c{i}", "credits": rng.randrange(10, 40) / 10, "value": float(rng.randrange(-5, 25))} for i in range(3)])
+    return pool, coaches
+
+
+SMALL = L.Rules({"G": 2, "F": 2, "C": 1}, ((1, 1, 1), (2, 1, 0), (1, 2, 0)), 24.0, 2)
+
+
+def every_lineup(pool, coaches, rules, forced=()):
+    """The best objective over all rosters, formations, roles and coaches."""
+    best = -math.inf
+    spots = list(rules.counts)
+    for c in itertools.combinations(range(len(pool)), sum(rules.counts.values())):
+        x = pool.iloc[list(c)]
+        if x.position.value_counts().reindex(spots, fill_value=0).to_dict() != rules.counts or x.club.value_counts().max() > rules.club_limit or not {f for f in forced if f[0] == "p"} <= set(x.player):
+            continue
+        lead = max((h.value for h in coaches.itertuples() if x.credits.sum() + h.credits <= rules.budget + 1e-9 and (not any(f[0] == "c" for f in forced) or h.coach in forced)), default=None)
+        if lead is None:
+            continue
+        for s in itertools.combinations(c, sum(rules.formations[0])):
+            if tuple(sum(pool.position[i] == p for i in s) for p in spots) in rules.formations:
+                rest = [i for i in c if i not in s]
+                base = sum(pool.value[i] for i in s) + rules.bench * sum(pool.value[i] for i in rest)
+                best = max(best, base + max(pool.value[i] for i in s) * (rules.captain - 1) + max(pool.value[i] for i in rest) * (rules.sixth - rules.bench) + lead)
+    return best
+
+
+def test_joint_optimum_against_all_lineups(spark):
+    rng = random.Random(8)
+    feasible = 0
+    for k in range(6):
+        pool, coaches = small_pool(rng)
+        forced = [[], ["p03"], ["p00", "c1"], ["p02", "p05", "p08"]]  # the last: three centers of one place
+        asked = spark.createDataFrame([(0, str(i), f) for i, f in enumerate(forced)], "slate long, request string, entities array<string>")
+        out = L.optimum(spark.createDataFrame(pool), spark.createDataFrame(coaches), "slate", SMALL, asked).toPandas()
+        for i, f in enumerate(forced):
+            got, want = out[out.request == str(i)], every_lineup(pool, coaches, SMALL, f)
+            assert len(got) == (0 if want == -math.inf else 6)
+            if len(got):
+                feasible += 1
+                weight = got.role.map({"CAPTAIN": 2, "STARTER": 1, "SIXTH": 1, "BENCH": 0.5, "COACH": 1})
+                assert abs(got.objective.iloc[0] - want) < 1e-9 and abs((got.value * weight).sum() - want) < 1e-9
+                assert got.credits.sum() <= 24.0001 and got.club.value_counts().max() <= 2 and set(f) <= set(got.entity)
+                start = got[got.role.isin(["CAPTAIN", "STARTER"])]
+                assert tuple((start.position == s).sum() for s in "GFC") in SMALL.formations and sorted(got.role)[1:] == ["CAPTAIN", "COACH", "SIXTH", "STARTER", "STARTER"]
+    assert feasible >= 12
+
+
+def test_combinations_are_unranked(spark):
+    got = [tuple(r.c) for r in spark.range(math.comb(7, 3)).select(L.combination(F.col("id"), 7, 3).alias("c")).collect()]
+    assert len(set(got)) == 35 and set(got) == set(itertools.combinations(range(7), 3))
+
+
+def test_every_legal_lineup_is_enumerated(spark):
+    people = [(f"p{i}", "GFC"[i % 3]) for i in range(6)]
+    df = spark.createDataFrame([(1, people), (2, people[:5]), (3, None)], "g int, players array<struct<player: string, position: string>>")
+    got = [(frozenset(p.player for p in r.starters), r.sixth.player, r.captain.player) for r in L.enumerated(df, "g", 6, SMALL, block=4).collect()]
+    want = set()
+    for s in itertools.combinations(people, 3):
+        if tuple(sum(p[1] == x for p in s) for x in "GFC") in SMALL.formations:
+            want |= {(frozenset(p[0] for p in s), b[0], c[0]) for b in people if b not in s for c in s}
+    assert len(got) == len(set(got)) and set(got) == want
