@@ -252,8 +252,10 @@ def enumerated(rosters: DataFrame, group: str, size: int, rules: Rules = CLASSIC
     k = sum(rules.formations[0])
     total = math.comb(size, k)
     blocks = rosters.where(F.size("players") == size).select(group, "players", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // block))).alias("block")).repartition(group, "block")
-    ranks = blocks.select(group, "players", F.explode(F.sequence(F.col("block") * block, F.least(F.col("block") * block + (block - 1), F.lit(total - 1)))).alias("rank")).withColumn("places", combination(F.col("rank"), size, k))
-    starters = ranks.withColumn("starters", F.transform("places", lambda i: F.get("players", i)))
+    ranks = blocks.select(group, "players", F.explode(F.sequence(F.col("block") * block, F.least(F.col("block") * block + (block - 1), F.lit(total - 1)))).alias("rank"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generated column is computed once, whatever filters and columns use it
+    placed = ranks.select(group, "players", "rank", once(combination(F.col("rank"), size, k)).alias("places"))
+    starters = placed.select(group, "players", "rank", "places", once(F.transform("places", lambda i: F.get("players", i))).alias("starters"))
     at = lambda spot: F.size(F.filter("starters", lambda p: p["position"] == spot))
     counts = F.array(*map(at, rules.counts))
     legal = starters.where(counts.isin(*[F.array(*[F.lit(x) for x in f]) for f in rules.formations]))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE_SQL, QUERIES
 
-for _name in ("histories", "player_table", "pointintime", "aggregates", "scalars", "relational", "reconstruction", "features", "evaluating", "decisions", "protocols", "integrity", "streams", "feeds", "live", "rich", "identities", "rosters"):
+for _name in ("histories", "player_table", "pointintime", "aggregates", "scalars", "relational", "reconstruction", "features", "evaluating", "decisions", "protocols", "integrity", "streams", "feeds", "live", "rich", "identities", "rosters", "calibration"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -432,3 +432,52 @@ def test_every_legal_lineup_is_enumerated(spark):
         if tuple(sum(p[1] == x for p in s) for x in "GFC") in SMALL.formations:
             want |= {(frozenset(p[0] for p in s), b[0], c[0]) for b in people if b not in s for c in s}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def plain_isotonic(points):
+    """points: x to list of y; pooled one after another."""
+    out = []
+    for x in sorted(points):
+        out.append([[x], len(points[x]), sum(points[x])])
+        while len(out) > 1 and out[-2][2] / out[-2][1] >= out[-1][2] / out[-1][1]:
+            b = out.pop()
+            out[-1] = [out[-1][0] + b[0], out[-1][1] + b[1], out[-1][2] + b[2]]
+    return {x: s / w for xs, w, s in out for x in xs}
+
+
+@pytest.mark.parametrize("kind", ["noise", "falling", "rising", "one"])
+def test_isotonic_pooled_in_ranges(spark, kind):
+    from pacelake.operators import isotonic as I
+
+    rng = random.Random(3)
+    rows = []
+    for g in ("a", None):
+        for _ in range(400):
+            x = rng.randrange(150) if kind != "one" else 5
+            y = {"noise": x / 100 + rng.random(), "falling": -x, "rising": x, "one": rng.random()}[kind]
+            rows.append((g, float(x), float(y)))
+    df = spark.createDataFrame([*rows, ("a", None, 1.0), ("a", 3.0, None)], "g string, x double, y double")
+    for chunk in (4, 1000):
+        got = {(r.g, r.x): r.fitted for r in I.fitted(df, ["g"], "x", "y", chunk=chunk).collect()}
+        want = {}
+        for g in ("a", None):
+            points = {}
+            for h, x, y in rows:
+                if h == g:
+                    points.setdefault(x, []).append(y)
+            want |= {(g, x): v for x, v in plain_isotonic(points).items()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert I.fitted(df.where("false"), ["g"], "x", "y").count() == 0
+
+
+def test_marginals_have_the_mean_they_are_matched_to(spark):
+    from pacelake.operators import isotonic as I
+
+    levels = [0.1, 0.25, 0.5, 0.9]
+    cases = [([1.0, 3.0, 5.0, 20.0], 8.0), ([0.0, 0.0, 1.0, 2.0], 0.1), ([-5.0, 0.0, 1.0, 2.0], 4.0), ([1.0, 1.0, 1.0, 1.0], 0.0), ([1.0, 2.0, 3.0, 4.0], -1.0)]
+    df = spark.createDataFrame(cases, "q array<double>, m double").withColumn("l", F.array(*map(F.lit, levels)))
+    for r in df.withColumn("new", I.matched(F.col("l"), F.col("q"), F.col("m"), 0.0)).withColumn("mean", I.curve_mean(F.col("l"), F.col("new"))).collect():
+        if r.m < 0:
+            assert r.new is None
+        else:
+            assert abs(r["mean"] - r.m) < 1e-6 and min(r.new) >= 0 and r.new == sorted(r.new)
