@@ -481,3 +481,77 @@ def test_marginals_have_the_mean_they_are_matched_to(spark):
             assert r.new is None
         else:
             assert abs(r["mean"] - r.m) < 1e-6 and min(r.new) >= 0 and r.new == sorted(r.new)
+
+
+def test_joint_scenarios_against_the_whole_product(spark):
+    from pacelake.operators import models as M
+
+    rng = random.Random(1)
+    rows = [(g, f"m{i}", rng.choice([rng.random(), 0.0, 1.0, None])) for g in range(12) for i in range(rng.randrange(1, 9))]
+    out = M.joint_scenarios(spark.createDataFrame([*rows, (3, None, 0.5)], "g int, m string, p double"), ["g"], "m", "p", 5).collect()
+    for g in range(12):
+        team = sorted((m, p or 0.0) for h, m, p in rows if h == g)
+        every = []
+        for flags in itertools.product((0, 1), repeat=len(team)):
+            q = math.prod(p if f else 1 - p for f, (_, p) in zip(flags, team))
+            if q > 0:
+                every.append((q, [m for f, (m, _) in zip(flags, team) if f]))
+        every.sort(key=lambda x: -x[0])
+        got = sorted((r for r in out if r.g == g), key=lambda r: r.scenario)
+        assert np.allclose([r.probability for r in got], [x[0] for x in every[:5]]) and got[0].outs == every[0][1]
+        assert abs(got[0].left_out - (1 - sum(x[0] for x in every[:5]))) < 1e-9
+
+
+def test_walk_forward_ridge_is_that_of_the_seasons_before(spark):
+    from pacelake.operators import models as M
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(size=200)
+    season = np.repeat([1, 2, 3, 4], 50)
+    pdf = pd.DataFrame({"season": season, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(2, None, 1.0, 1.0, 1.0)], "season long, a double, b double, c double, y double"))
+    fits = {r.season: r for r in M.walk_forward_ridge(df, "season", ["a", "b", "c"], "y", 0.3).collect()}
+    assert fits[1].weights is None and fits[1].trained == 0
+    for s in (2, 3, 4):
+        old = season < s
+        z, t = x[old] - x[old].mean(0), y[old] - y[old].mean()
+        w = np.linalg.solve(z.T @ z / old.sum() + 0.3 * np.eye(3), z.T @ t / old.sum())
+        assert np.allclose(fits[s].weights, w) and abs(fits[s].intercept - (y[old].mean() - w @ x[old].mean(0))) < 1e-9 and fits[s].trained == old.sum()
+    p = M.predicted(df, spark.createDataFrame(list(fits.values()), "season long, trained long, intercept double, weights array<double>"), "season", ["a", "b", "c"]).where("season = 3 and a is not null").toPandas()
+    assert np.allclose(p.predicted, p[["a", "b", "c"]] @ fits[3].weights + fits[3].intercept)
+
+
+def test_all_pairs_find_near_duplicates(spark):
+    from pacelake.operators import models as M
+
+    df = spark.range(100).select(F.col("id").alias("a"), (F.col("id") * 2.0 + F.when(F.col("id") == 3, 1).otherwise(0)).alias("b"), (F.col("id") % 7).alias("c"), F.lit(1).alias("d"), F.when(F.col("id") < 50, F.col("id")).alias("e"))
+    got = {(r.a, r.b): r for r in M.correlations(df, ["a", "b", "c", "d", "e"]).collect()}
+    assert len(got) == 10 and got["a", "b"].near_duplicate and got["a", "e"].n == 50 and got["a", "e"].near_duplicate
+    assert got["a", "d"].r is None and not got["a", "d"].near_duplicate and abs(got["a", "c"].r) < 0.3
+
+
+def test_stages_fail_in_part_and_resume(spark, tmp_path):
+    from pacelake.operators import staged as G
+
+    folder, made = f"file://{tmp_path}/state", []
+
+    def stage(name, needs=(), optional=False, fails=False):
+        def make(r):
+            made.append(name)
+            if fails:
+                raise ValueError("no\nmore")
+            return spark.range(3 + sum(r[n].count() for n in needs))
+
+        return G.Stage(name, make, needs, optional)
+
+    assert G.last_valid(spark, folder) == {}
+    assert G.run(spark, folder, "r1", [stage("a"), stage("b", ["a"], optional=True, fails=True), stage("c", ["b"]), stage("d", ["a"])]) == "PARTIAL"
+    rows = {r.stage: (r.status, r.error) for r in G.latest(spark, folder, "r1").collect()}
+    assert rows == {"a": ("SUCCEEDED", None), "b": ("FAILED", "ValueError: no"), "c": ("SKIPPED", "needs b"), "d": ("SUCCEEDED", None), "*": ("PARTIAL", None)}
+    assert made == ["a", "b", "d"] and {k: v.count() for k, v in G.last_valid(spark, folder).items()} == {"a": 3, "d": 6}
+    assert G.run(spark, folder, "r2", [stage("a", fails=True), stage("d", ["a"])]) == "FAILED"
+    assert {k: v.count() for k, v in G.last_valid(spark, folder).items()} == {"a": 3, "d": 6}  # the state before is untouched
+    made.clear()
+    assert G.run(spark, folder, "r1", [stage("a"), stage("b", ["a"], optional=True), stage("c", ["b"]), stage("d", ["a"])]) == "SUCCEEDED"
+    assert made == ["b", "c"] and {k: v.count() for k, v in G.last_valid(spark, folder).items()} == {"a": 3, "b": 6, "c": 9, "d": 6}
