@@ -86,4 +86,4 @@ def correlations(df: DataFrame, columns: Sequence[str], near: float = 0.98) -> D
     r = lambda a, b: F.try_divide(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")), spread(a, a, b) * spread(b, a, b))
     agg = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(known(a, b)).alias("n"), r(a, b).alias("r")).alias(f"pair_{i}") for i, (a, b) in enumerate(pairs)])
     rows = agg.select(F.explode(F.array(*[f"pair_{i}" for i in range(len(pairs))])).alias("x")).select("x.*")
-    return rows.select("a", "b", "n", "r", F.coalesce(F.abs(r) >= near, F.lit(False)).alias("near_duplicate"))
+    return rows.select("a", "b", "n", "r", F.coalesce(F.abs("r") >= near, F.lit(False)).alias("near_duplicate"))
