@@ -36,3 +36,19 @@ def streamed_state(t):
 def streamed_dedup(t):
     out = S.drain(S.distinct(S.event_stream(t.spark, t.folder).select("user_id", "event_type", "ts"), "user_id", "event_type", "ts"), "append", "dedup")
     return out.select("user_id", "event_type", F.unix_micros("ts").alias("us"))
+
+
+@query("k07_streamed_outcomes", """WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'), o AS (SELECT user_id, ts AS seen, event_id AS outcome_id FROM events WHERE event_type = 'purchase')
+    SELECT p.event_id, min_by(o.outcome_id, (o.seen, o.outcome_id)) AS outcome_id, count(o.outcome_id) AS n FROM p LEFT JOIN o ON p.user_id = o.user_id AND o.seen > p.ts AND o.seen <= p.ts + INTERVAL 7 DAY GROUP BY p.event_id""")
+def streamed_outcomes(t):
+    """Signups with their first purchase of the seven days after, by a join of two streams; a signup without one keeps a row.
+
+    The delay is the table's own time span, so no row is late.
+    """
+    span = t("events").agg(F.max("ts").alias("z"), F.min("ts").alias("a")).selectExpr("cast(ceil((unix_micros(cast(z as timestamp)) - unix_micros(cast(a as timestamp))) / 1e6) as long) as s").first()  # one row
+    e = S.event_stream(t.spark, t.folder)
+    made = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("made"))
+    seen = S.event_stream(t.spark, t.folder).where("event_type = 'purchase'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("outcome_id"))
+    pairs = S.drain(S.outcomes(made, seen, "user_id", "made", "seen", "7 DAYS", f"{(span.s or 0) + 1} seconds").select("event_id", "seen", "outcome_id"), "append", "outcomes")
+    first = pairs.groupBy("event_id").agg(F.min_by("outcome_id", F.struct("seen", "outcome_id")).alias("outcome_id"), F.count("*").alias("n"))
+    return t("events").where("event_type = 'signup'").select("event_id").join(first, "event_id", "left").select("event_id", "outcome_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -66,3 +66,13 @@ def distinct(stream: DataFrame, *keys: str) -> DataFrame:
 def current_state(stream: DataFrame, key: str, time: str, tie: str, *values: str) -> DataFrame:
     """The newest row of each key so far (state of one row for each key)."""
     return stream.groupBy(key).agg(F.max_by(F.struct(tie, *values), F.struct(time, tie)).alias("s")).select(key, "s.*")
+
+
+def outcomes(predictions: DataFrame, seen: DataFrame, key: str, made: str, time: str, within: str, late: str) -> DataFrame:
+    """Pairs of a prediction and an outcome of its key that comes later, up to ``within`` after it: an inner join of two streams.
+
+    Both sides wait in the state for each other, whichever comes first, and are dropped once the watermark (``late`` behind the newest row of
+    either stream) says that no partner can come.  Rows later than that are lost, so ``late`` has to cover the disorder of the input.
+    """
+    p, o = predictions.withWatermark(made, late), seen.withWatermark(time, late).withColumnRenamed(key, "__key")
+    return p.join(o, (F.col(key) == F.col("__key")) & (F.col(time) > F.col(made)) & (F.col(time) <= F.col(made) + F.expr(f"INTERVAL {within}"))).drop("__key")

@@ -555,3 +555,22 @@ def test_stages_fail_in_part_and_resume(spark, tmp_path):
     made.clear()
     assert G.run(spark, folder, "r1", [stage("a"), stage("b", ["a"], optional=True), stage("c", ["b"]), stage("d", ["a"])]) == "SUCCEEDED"
     assert made == ["b", "c"] and {k: v.count() for k, v in G.last_valid(spark, folder).items()} == {"a": 3, "b": 6, "c": 9, "d": 6}
+
+
+def test_streamed_outcomes_find_late_and_unordered_files(spark, tmp_path):
+    from pacelake.queries import QUERIES
+
+    rng = random.Random(4)
+    base = 1_700_000_000
+    rows = [(i, rng.randrange(6), rng.choice(["signup", "purchase", "view"]), base + rng.randrange(20 * 86_400)) for i in range(240)]
+    table = tmp_path / "events.parquet"
+    for k in range(12):  # files in the reverse order of time
+        part = sorted(rows, key=lambda r: -r[3])[k * 20 : (k + 1) * 20]
+        spark.createDataFrame(part, "event_id long, user_id long, event_type string, s long").select("event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(table))
+    got = {r.event_id: (r.outcome_id, r.n) for r in QUERIES["k07_streamed_outcomes"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, u, kind, s in rows:
+        if kind == "signup":
+            later = sorted((z, o) for o, v, other, z in rows if other == "purchase" and v == u and s < z <= s + 7 * 86_400)
+            want[i] = (later[0][1] if later else None, len(later))
+    assert got == want
