@@ -1,9 +1,7 @@
-"""Distributions as arrays: quantile functions, monotone fits, seeded simulation."""
+"""Distributions as arrays: quantile functions and monotone fits."""
 
 from __future__ import annotations
 
-from math import pi
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,25 +10,6 @@ from pyspark.sql import functions as F
 from .exprs import interpolated
 
 
-def uniform(seed: int, *keys: Column | str) -> Column:
-    """A uniform draw in (0, 1) that follows from its keys: the same on every run and partitioning."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
-    return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
-
-
-def normal(seed: int, *keys: Column | str) -> Column:
-    """A standard normal draw (Box-Muller) that follows from its keys."""
-    return F.sqrt(-2 * F.ln(uniform(seed, *keys))) * F.cos(2 * pi * uniform(seed + 1, *keys))
-
-
-def normal_cdf(z: Column) -> Column:
-    """The standard normal distribution function (Abramowitz and Stegun 26.2.17, error below 1e-7)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / (2 * pi) ** 0.5 * poly
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
-
-
 def inverse_cdf(u: Column, levels: Column, quantiles: Column) -> Column:
     return interpolated(u, levels, quantiles)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ from .registry import GAMES, query, r4
 @query("a20_registered_relation", "SELECT o_orderstatus, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT o_orderstatus, o_orderkey % 7 AS k FROM orders) GROUP BY 1")
 def registered(t):
     """A frame under a name for SQL; the name goes, the plan stays."""
-    t("orders").withColumn("k", F.col("o_orderkey") % 7).createOrReplaceTempView("__frame")
-    out = t.spark.sql("SELECT o_orderstatus, count(*) AS n, sum(k) AS k FROM __frame GROUP BY 1")
-    t.spark.catalog.dropTempView("__frame")
+    name = f"frame_{uuid4().hex}"  # no caller's view has it
+    t("orders").withColumn("k", F.col("o_orderkey") % 7).createTempView(name)
+    out = t.spark.sql(f"SELECT o_orderstatus, count(*) AS n, sum(k) AS k FROM {name} GROUP BY 1")
+    t.spark.catalog.dropTempView(name)
     return out
 
 
@@ -111,12 +114,13 @@ def diagnostics(t):
     SELECT o.period, count(*) AS timeouts, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s WHERE s.period = o.period AND s.clock = o.clock)) AS with_any, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s WHERE s.period = o.period AND s.clock = o.clock AND s.team = o.team)) AS with_same_team,
     count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s WHERE s.period = o.period AND s.clock = o.clock AND s.n IN (o.n - 1, o.n + 1))) AS adjacent FROM o GROUP BY 1""")
 def same_clock(t):
-    """Timeouts beside substitutions of the same clock: counts over the clock's window and the rows next to each, no self-join."""
-    sub = F.col("event_type").isin("click", "purchase")
+    """Timeouts beside substitutions of the same clock: rows are numbered in ranges of the order, and a timeout asks by keys, so no day is sorted in one task."""
     e = t("events").select("event_id", "ts", "event_type", F.to_date("ts").alias("period"), F.floor("value").alias("clock"), (F.col("user_id") % 3).alias("team"))
-    clock, own, order = Window.partitionBy("period", "clock"), Window.partitionBy("period", "clock", "team"), Window.partitionBy("period").orderBy("ts", "event_id")
-    near = lambda f: F.coalesce(f(F.when(sub, F.col("clock"))).over(order) == F.col("clock"), F.lit(False))
-    e = e.withColumns({"any": F.count_if(sub).over(clock) > 0, "own": F.count_if(sub).over(own) > 0, "next": near(F.lag) | near(F.lead)}).where("event_type = 'error'")
+    e = numbered(e, ["period"], "ts", "event_id", "n")
+    subs, timeouts = e.where(F.col("event_type").isin("click", "purchase")), e.where("event_type = 'error'")
+    there = lambda name, *keys: subs.select(*keys).distinct().withColumn(name, F.lit(True))
+    beside = timeouts.select("event_id", "period", "clock", F.explode(F.array(F.col("n") - 1, F.col("n") + 1)).alias("n")).join(subs.select("period", "clock", "n"), ["period", "clock", "n"], "left_semi").select("event_id").distinct().withColumn("next", F.lit(True))
+    e = timeouts.join(there("any", "period", "clock"), ["period", "clock"], "left").join(there("own", "period", "clock", "team"), ["period", "clock", "team"], "left").join(beside, "event_id", "left")
     return e.groupBy("period").agg(F.count("*").alias("timeouts"), F.count_if("any").alias("with_any"), F.count_if("own").alias("with_same_team"), F.count_if("next").alias("adjacent"))
 
 
