@@ -8,7 +8,6 @@ its other scratch tables; ``clear_scratch`` removes what one application wrote,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: Separators of the plain word class: everything that is not 0-9, a letter or above 0x7F.
 _WORD_TABLE = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -31,17 +32,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_WORD_TABLE).split() if text else []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, one of our own, which only a local session can share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="pacelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 #: The thread's property that names the folder, within the application's, of the step it runs.
 _STEP = "pacelake.scratch.step"
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pacelake.llm import byte_bpe, token_counts, token_file
+from pacelake.llm import byte_bpe, queries, token_counts, token_file
 from pacelake.llm.encode import Encoder, load_ranks, merges_of, tokenizer_from_ranks
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -156,3 +156,19 @@ def test_a_repeated_id_is_dealt_over_shards(spark, docs_of):
     got = files.documents().orderBy("start").collect()
     assert files.blocks.select("shard").distinct().count() > 1
     assert [r.doc_id for r in got] == [None] * 40 + [7] * 3000 and got[-1].start + got[-1].n_tokens == sum(r.n_tokens for r in got)
+
+
+def test_whole_table_as_the_library_counts_and_encodes(spark, sf):
+    """op7 and op9 on every document against one call of the library for each text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    bpe = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op7_token_counts(spark, sf).collect()}
+    want = {d: (len(t.encode()), n, n > 512) for d, t in docs for n in [len(bpe.encode(t, add_special_tokens=False).ids)]}
+    assert got == want
+    word = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows, start = {}, 0
+    for d, t in sorted(docs):
+        ids = [*word.encode(t, add_special_tokens=False).ids, 1]
+        rows[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op9_token_file(spark, sf).collect()} == rows
