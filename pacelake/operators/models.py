@@ -80,10 +80,9 @@ def joint_scenarios(df: DataFrame, group: Sequence[str], member: str, out_probab
 
 def correlations(df: DataFrame, columns: Sequence[str], near: float = 0.98) -> DataFrame:
     """(a, b, n, r, near_duplicate) of all pairs of columns, from one aggregate; nulls are left out pair by pair, and r is null without two different values."""
-    pairs = list(combinations(columns, 2))
     known = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    spread = lambda c, a, b: F.stddev_pop(F.when(known(a, b), F.col(c).cast("double")))
-    r = lambda a, b: F.try_divide(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")), spread(a, a, b) * spread(b, a, b))
-    agg = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(known(a, b)).alias("n"), r(a, b).alias("r")).alias(f"pair_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = agg.select(F.explode(F.array(*[f"pair_{i}" for i in range(len(pairs))])).alias("x")).select("x.*")
+    own = lambda c, a, b: F.when(known(a, b), F.col(c).cast("double"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), own(a, a, b).alias("x"), own(b, a, b).alias("y")) for a, b in combinations(columns, 2)])
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("x").alias("n"), r.alias("r"))
     return rows.select("a", "b", "n", "r", F.coalesce(F.abs("r") >= near, F.lit(False)).alias("near_duplicate"))
