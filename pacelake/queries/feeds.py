@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import boxscores as B
+from ..sources import html as H
+from ..sources import providers as V
 from ..sources.files import xml_rows
 from .registry import query, r4
 
@@ -81,3 +83,43 @@ def xml_roster(t):
     documents = _lines(t).select("game_id", F.expr(f"concat('<club>', array_join(transform(m, {item}), ''), '</club>')").alias("raw"))
     rows = xml_rows(documents, "raw", "player", "code string, position string, height double")
     return rows.groupBy("game_id").agg(F.count("*").alias("players"), r4(F.avg("height")).alias("mean_height"), F.count_if(F.col("position") == "Guard").alias("guards"))
+
+
+@query("a14_html_tables", """SELECT l_orderkey AS game_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 + 2 AS INTEGER) AS row_no, 'Order ' || l_orderkey AS game, 'P' || l_partkey AS part, CAST(floor(l_quantity) AS INTEGER) AS quantity, l_returnflag AS flag FROM lineitem""")
+def html_tables(t):
+    """Tables with a header of two rows, a cell over all rows of an order and a cell over two columns."""
+    line = "(x, i) -> concat('<tr>', if(i = 0, concat('<td rowspan=\"', size(m), '\">Order <b>', game_id, '</b>'), ''), '<td>P', x.l_partkey, '</td><td>', int(x.l_quantity), '<td> ', x.l_returnflag, '\\n</td></tr>')"
+    head = "<p>x</p><table><tr><th rowspan=2>game</th><th rowspan=2>part</th><th colspan=2>line</th></tr><tr><th>quantity</th><th>flag</th></tr>"
+    documents = _lines(t).select("game_id", F.expr(f"concat('{head}', array_join(transform(m, {line}), ''), '</table>')").alias("raw"))
+    c = lambda n: H.cell(n)
+    return H.table_rows(documents).select("game_id", "row_no", c("game").alias("game"), c("part").alias("part"), c("line quantity").cast("int").alias("quantity"), c("line flag").alias("flag"))
+
+
+def _provider_boxes(t):
+    """A box score of each order in one of five layouts; odd lines are the home side."""
+    html = lambda cells, width: "concat('<tr>', array_join(transform(array(" + ", ".join(cells.get(k, "''") for k in range(width)) + "), v -> concat('<td>', v, '</td>')), ''), '</tr>')"
+    name, points, assists, three = "concat('N', x.l_partkey)", "string(int(x.l_quantity))", "string(int(x.l_suppkey % 7))", "concat(x.l_linenumber, '/', x.l_linenumber + 2)"
+    clock = "if(x.l_returnflag = 'R', '', concat(int(x.l_quantity), ':30'))"
+    seconds = "if(x.l_returnflag = 'R', NULL, int(x.l_quantity) * 60 + 30)"
+    side = lambda k, f: f"transform(filter(m, x -> x.l_linenumber % 2 = {k}), (x, i) -> {f})"
+    table = lambda k, head, f: f"concat('<table><tr>{head}</tr>', array_join({side(k, f)}, ''), '</table>')"
+    acb = html({0: f"concat(x.l_linenumber, ' ', {name})", 1: clock, 2: points, 5: three, 12: assists}, 22)
+    rincon = html({0: name, 1: clock, 2: points, 4: three, 8: assists}, 15)
+    fiba = f"struct(string(i), named_struct('firstName', 'F', 'familyName', {name}, 'sMinutes', {clock}, 'starter', int(x.l_linenumber <= 4), 'sPoints', int({points}), 'sAssists', int({assists}), 'sThreePointersMade', x.l_linenumber, 'sThreePointersAttempted', x.l_linenumber + 2))"
+    lba = f"named_struct('player_id', i + 1, 'player_name', 'F', 'player_surname', {name}, 'sec', {seconds}, 'sf', int(x.l_linenumber <= 4), 'pun', int({points}), 'ass', int({assists}), 't3_r', x.l_linenumber, 't3_t', x.l_linenumber + 2)"
+    numbers = f"array_join(array({points}, '-', if({assists} = '0', '-', {assists}), {clock}, '', '', '-', '-', string(x.l_linenumber), string(x.l_linenumber + 2), '-', '-', '-', '-', '-', '-', '-', '-', '-', '-', '-'), '|')"
+    flash = lambda k: f"concat('PJ÷', {name}, ' F.¬PK÷/player/', lower({name}), '-fay/', i, 's{k}/¬PN÷{'AH'[k]}¬PC÷', {numbers}, '¬')"
+    documents = f"""CASE game_id % 5 WHEN 0 THEN concat({table(1, '<th>Jugador</th>', acb)}, {table(0, '<th>Jugador</th>', acb)}) WHEN 1 THEN concat({table(1, '<th>Jugador</th><th>Min</th><th>Val</th>', rincon)}, {table(0, '<th>Jugador</th><th>Min</th><th>Val</th>', rincon)})
+        WHEN 2 THEN to_json(named_struct('tm', map('1', named_struct('pl', map_from_entries({side(1, fiba)})), '2', named_struct('pl', map_from_entries({side(0, fiba)})))))
+        WHEN 3 THEN to_json(named_struct('scores', named_struct('ht', named_struct('rows', {side(1, lba)}), 'vt', named_struct('rows', {side(0, lba)})))) ELSE array_join(concat({side(1, flash(1))}, {side(0, flash(0))}), '~') END"""
+    kind = "element_at(array('acb', 'rincon', 'fiba', 'lba', 'flashscore'), int(game_id % 5) + 1)"
+    d = _lines(t).select("game_id", F.expr(kind).alias("provider"), F.expr(documents).alias("raw"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"), F.lit("H").alias("home_source_code"), F.lit("A").alias("away_source_code"))
+    return V.boxes(d, "game_id")
+
+
+@query("a16_provider_boxes", """SELECT l_orderkey AS game_id, ['acb', 'rincon', 'fiba', 'lba', 'flashscore'][l_orderkey % 5 + 1] AS provider, CASE WHEN l_linenumber % 2 = 1 THEN 'home' ELSE 'away' END AS side, CASE WHEN l_linenumber % 2 = 1 THEN 'Home' ELSE 'Away' END AS team_name_raw,
+    CASE l_orderkey % 5 WHEN 2 THEN 'F ' WHEN 3 THEN 'F ' WHEN 4 THEN 'Fay ' ELSE '' END || 'N' || l_partkey AS player_name_raw, CASE WHEN l_returnflag <> 'R' THEN round(floor(l_quantity) + 0.5::DOUBLE, 4) END AS minutes, CASE l_orderkey % 5 WHEN 0 THEN false WHEN 2 THEN l_linenumber <= 4 WHEN 3 THEN l_linenumber <= 4 END AS starter,
+    CAST(floor(l_quantity) AS BIGINT) AS points, CAST(l_suppkey % 7 AS BIGINT) AS assists, CAST(l_linenumber AS BIGINT) AS three_points_made, CAST(l_linenumber + 2 AS BIGINT) AS three_points_attempted, CASE WHEN l_orderkey % 5 = 4 THEN 0::BIGINT END AS blocks FROM lineitem""")
+def provider_boxes(t):
+    rows = V.player_rows(_provider_boxes(t), "game_id")
+    return rows.select("game_id", "provider", "side", "team_name_raw", "player_name_raw", r4("minutes").alias("minutes"), "starter", "points", "assists", "three_points_made", "three_points_attempted", "blocks")
