@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +13,7 @@ ROW = "struct<cells: array<string>, heads: array<boolean>, marks: array<string>>
 TABLES = f"array<struct<names: array<string>, rows: array<{ROW}>>>"
 #: The largest spans that the HTML standard allows.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+_TABLE = re.compile("<table", re.I)
 
 
 class _Table:
@@ -125,8 +127,8 @@ def _names(rows: list) -> list[str]:
 def _tables(text: str | None, spread: bool) -> list[dict] | None:
     if text is None:
         return None
-    found = []
-    for t in _Reader(text).tables:
+    start, found = _TABLE.search(text), []
+    for t in _Reader(text[start.start() :]).tables if start else ():
         rows = _spread(t.rows) if spread else [([c[:2] for c in cells], marks) for cells, marks in t.rows]
         found.append({"names": _names(rows), "rows": [{"cells": [c for c, _ in line], "heads": [h for _, h in line], "marks": marks} for line, marks in rows]})
     return found

@@ -248,7 +248,7 @@ def boxes(documents: DataFrame, *keys: str, raw: str = "raw", provider: str = "p
 
 def player_rows(read: DataFrame, *keys: str) -> DataFrame:
     """A row for each player of ``boxes``, with the name and code of the side."""
-    p = read.select(*keys, "provider", "home_team", "away_team", "home_code", "away_code", F.coalesce("reversed", F.lit(False)).alias("reversed"), F.explode("players").alias("p"))
+    p = read.select(*keys, "provider", "home_team", "away_team", "home_code", "away_code", F.coalesce("reversed", F.lit(False)).alias("reversed"), F.explode_outer("players").alias("p")).where("p is not null")  # explode would have its array made twice, for a filter of its size
     home = (F.col("p.side") == "home") != F.col("reversed")
     by_side: dict[str, Column] = {"side": F.when(home, "home").otherwise("away"), "team_name_raw": F.when(home, F.col("home_team")).otherwise(F.col("away_team")), "team_code": F.when(home, F.col("home_code")).otherwise(F.col("away_code"))}
     return p.select(*keys, "provider", *[c.alias(n) for n, c in by_side.items()], *[f"p.{c}" for c in ("player_name_raw", "source_player_id", "minutes", "starter", *STATISTICS)])
