@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import temporal as T
 from ..operators.stints import possessions
+from ..plans import shot_features as S
 from .player_table import _sql, features
 from .reconstruction import EVENTS, _intervals, _lines, lineup_shares, on_off, rotation
 from .registry import query, r4
@@ -97,3 +98,60 @@ def current_slate(t):
     next_day = F.broadcast(g.agg((F.max("game_time") + F.expr("INTERVAL 1 DAY")).alias("game_time")))  # one row
     slate = g.select("player_id").distinct().crossJoin(next_day).select((-1 - F.col("player_id")).alias("game_id"), "player_id", "game_time", F.year("game_time").alias("season"))
     return features(g.unionByName(slate, allowMissingColumns=True)).where("game_id < 0")
+
+
+_SHOTS = """o AS (SELECT o_orderkey AS game, o_custkey AS cust, xor(o_custkey, o_orderkey % 8) AS opponent, o_orderdate AS t, year(o_orderdate) AS season FROM orders),
+    places AS (SELECT l_orderkey AS game, 'S' || (l_linenumber % 5 + 1) AS player, (l_partkey * 37 + l_linenumber * 11) % 1500 - 750 AS x, (l_suppkey * 53 + l_partkey * 7) % 1000 - 100 AS y, 2 + (l_partkey % 3 = 0)::INTEGER AS points, l_returnflag <> 'R' AS made FROM lineitem),
+    far AS (SELECT *, sqrt((x * x + y * y)::DOUBLE) AS d FROM places),
+    shots AS (SELECT *, CASE WHEN points = 2 THEN CASE WHEN d <= 125 THEN 'rim' WHEN abs(x) <= 245 AND y <= 423 THEN 'paint' ELSE 'midrange' END WHEN abs(x) >= 660 AND y <= 142 THEN 'corner3' ELSE 'above_break3' END AS zone FROM far
+        WHERE NOT (x = -1 AND y = -1) AND abs(x) <= 750 AND y BETWEEN -150 AND 1400 AND NOT (points = 2 AND d > 800) AND NOT (points = 3 AND d < 550))"""
+_ZONES = ("rim", "paint", "midrange", "corner3", "above_break3")
+
+
+def _shot_sql(seen: str, match: str, prefix: str, allowed: str, more: str, core: str) -> str:
+    """A join of each row with all observations before it, in place of windows."""
+    sums = ", ".join(f"sum(n_{z}) FILTER (WHERE h.season = core_season) AS a_{z}, sum(m_{z}) FILTER (WHERE h.season = core_season) AS k_{z}, sum(n_{z}) FILTER (WHERE r <= 5) AS l_{z}" for z in _ZONES)
+    counts = ", ".join(f"count(*) FILTER (WHERE zone = '{z}') AS n_{z}, count(*) FILTER (WHERE zone = '{z}' AND made) AS m_{z}" for z in _ZONES)
+    out = ", ".join(f"CAST(a_{z} AS BIGINT) AS {prefix}season_{z}_attempts{allowed}, round(a_{z} / nullif(att, 0)::DOUBLE, 6) AS {prefix}season_{z}_attempt_rate{allowed}, round(l_{z} / nullif(l5, 0)::DOUBLE, 6) AS {prefix}last5_{z}_attempt_rate{allowed}, round(k_{z} / nullif(a_{z}, 0)::DOUBLE, 6) AS {prefix}{z}_fg{allowed or '_pct'}" for z in _ZONES)
+    return f"""WITH {_SHOTS}, obs AS (SELECT {seen}, o.game, o.season, o.t, count(*) AS n, sum(points) FILTER (WHERE made) AS p, count(*) FILTER (WHERE points = 2) AS p2, count(*) FILTER (WHERE points = 3) AS p3, sum(d / 100) AS dist, {counts} FROM shots s JOIN o ON o.game = s.game GROUP BY ALL), {core},
+        h AS (SELECT c_game, c_player, core.season AS core_season, obs.*, row_number() OVER (PARTITION BY c_game, c_player ORDER BY obs.t DESC, obs.game DESC) AS r FROM core JOIN obs ON {match} AND obs.t < core.t),
+        a AS (SELECT c_game, c_player, count(*) AS g, count(*) FILTER (WHERE r <= 5) AS g5, count(*) FILTER (WHERE r <= 10) AS g10, sum(n) AS alln, sum(n) FILTER (WHERE h.season = core_season) AS att, coalesce(sum(p) FILTER (WHERE h.season = core_season), 0) AS pts, sum(p2) FILTER (WHERE h.season = core_season) AS two, sum(p3) FILTER (WHERE h.season = core_season) AS three,
+            sum(dist) FILTER (WHERE h.season = core_season) AS dist, sum(n) FILTER (WHERE r <= 5) AS l5, sum(n) FILTER (WHERE r <= 10) AS l10, max(epoch_us(t)) AS us, {sums} FROM h GROUP BY ALL)
+        SELECT core.c_game AS game, core.c_player AS player, coalesce(g, 0) AS {prefix}games_before, coalesce(g5, 0) AS {prefix}last5_games_n, CAST(alln AS BIGINT) AS {prefix}attempts_before, {out}, round(dist / nullif(att, 0), 6) AS {prefix}avg_distance{allowed}_m, us AS {prefix}source_max_game_time_us{more} FROM core LEFT JOIN a ON a.c_game = core.c_game AND a.c_player = core.c_player"""
+
+
+def _shots(t):
+    place = lambda e: F.expr(e).cast("double")
+    return t("lineitem").select(
+        F.col("l_orderkey").alias("game"), F.expr("concat('S', l_linenumber % 5 + 1)").alias("player"), place("(l_partkey * 37 + l_linenumber * 11) % 1500 - 750").alias("x"), place("(l_suppkey * 53 + l_partkey * 7) % 1000 - 100").alias("y"),
+        F.expr("if(l_partkey % 3 = 0, 3, 2)").alias("points"), (F.col("l_returnflag") != "R").alias("made"),
+    )
+
+
+def _shot_games(t):
+    return t("orders").select(F.col("o_orderkey").alias("game"), F.col("o_custkey").alias("cust"), F.expr("o_custkey ^ (o_orderkey % 8)").alias("opponent"), F.col("o_orderdate").alias("t"), F.year("o_orderdate").alias("season"))
+
+
+def _six(df):
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+_MORE = ", coalesce(g10, 0) AS shot_last10_games_n, CAST(l5 AS BIGINT) AS shot_last5_attempts_n, CAST(l10 AS BIGINT) AS shot_last10_attempts_n, round(three / nullif(att, 0)::DOUBLE, 6) AS shot_3pa_share, round(two / nullif(att, 0)::DOUBLE, 6) AS shot_2pa_share, round(pts / nullif(att, 0)::DOUBLE, 6) AS shot_points_per_shot, round(" + " + ".join(f"pow(a_{z} / nullif(att, 0)::DOUBLE, 2)" for z in _ZONES) + ", 6) AS shot_zone_concentration, round(CASE WHEN att > 0 THEN 0 - (" + " + ".join(f"CASE WHEN a_{z} > 0 THEN a_{z} / att::DOUBLE * ln(a_{z} / att::DOUBLE) ELSE 0 END" for z in _ZONES) + ") END, 6) AS shot_profile_entropy, round((" + " + ".join(f"abs(l_{z} / nullif(l5, 0)::DOUBLE - a_{z} / nullif(att, 0)::DOUBLE)" for z in _ZONES) + ") / 2, 6) AS shot_recent_vs_season_mix_change"
+
+
+@query("j12_shot_features", _shot_sql("o.cust, s.player", "obs.cust = core.cust AND obs.player = core.c_player", "shot_", "", _MORE, "core AS (SELECT game AS c_game, cust, t, season, unnest(['S1', 'S2', 'S3', 'S4', 'S5']) AS c_player FROM o)"))
+def shot_features(t):
+    """Each starter of an order with the shot profile of the starter's games before it."""
+    games = _shot_games(t)
+    core = games.select("game", "cust", "t", "season", F.explode(F.array(*[F.lit(f"S{k}") for k in range(1, 6)])).alias("player"))
+    seen = S.profiles(_shots(t), "game", "player").join(games, "game")
+    return _six(S.rates(S.carried(core, seen, ["cust", "player"], "season", "t", "game"), "game", "player"))
+
+
+@query("j12_opponent_shot_features", _shot_sql("o.opponent", "obs.opponent = core.opponent", "opp_shot_", "_allowed", "", "core AS (SELECT game AS c_game, opponent, t, season, 'ALL' AS c_player FROM o)"))
+def opponent_shot_features(t):
+    """Each order with what its opponent allowed in the opponent's games before it."""
+    games = _shot_games(t)
+    seen = S.profiles(_shots(t), "game").join(games, "game")
+    core = games.select("game", "opponent", "t", "season", F.lit("ALL").alias("player"))
+    return _six(S.rates(S.carried(core, seen, ["opponent"], "season", "t", "game", last=(5,)), "game", "player", prefix="opp_shot_", allowed="_allowed", own=False))
