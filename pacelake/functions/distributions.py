@@ -43,3 +43,32 @@ def decreasing(values: Column | str, weights: Column | str) -> Column:
         return pd.Series([None if a is None or b is None else pool_adjacent(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(v, w, strict=True)])
 
     return pooled(values, weights)
+
+
+def shifted_curve(probabilities: Column | str, thresholds: list[float], delta: Column, falling: bool = True) -> Column:
+    """Probabilities at fixed rising thresholds (two or more) of a curve that moves by delta: P(X + delta >= t) from P(X >= t).
+
+    Linear between thresholds, and beyond the outer ones along the outer pieces, in log odds; odds stay within one in a million.  The result
+    falls (a survival curve) or rises (a CDF).  A null, of the curve or of its delta, gives null.
+    """
+    p = F.col(probabilities) if isinstance(probabilities, str) else probabilities
+    at = F.array(*[F.lit(float(t)) for t in thresholds])
+    clipped = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
+
+    def moved(odds: Column) -> Column:
+        values = []
+        for t in thresholds:
+            x = F.lit(float(t)) - delta
+            i = F.lit(0)
+            for k in range(1, len(thresholds) - 1):
+                i = F.when(x >= thresholds[k], k).otherwise(i)
+            slope = (F.get(odds, i + 1) - F.get(odds, i)) / (F.get(at, i + 1) - F.get(at, i))
+            values.append(1 / (1 + F.exp(-(F.get(odds, i) + slope * (x - F.get(at, i))))))
+        return F.array(*values)
+
+    # odds and shifted values stand in arrays of one element, so that each is computed once
+    odds = F.transform(F.array(p), lambda a: F.transform(a, lambda x: F.ln(clipped(x) / (1 - clipped(x)))))
+    values = F.transform(odds, moved)
+    kept = F.array_min if falling else F.array_max
+    out = F.get(F.transform(values, lambda v: F.transform(v, lambda _, j: kept(F.slice(v, F.lit(1), j + 1)))), F.lit(0))
+    return F.when(~F.exists(p, lambda x: x.isNull()) & delta.isNotNull(), out)

@@ -1,4 +1,4 @@
-"""Isotonic calibration and mean-matched marginals (survey J36, J45), all pairs of columns (E25), joint availability (J28), walk-forward ridge (J34), stages with partial failure (K8)."""
+"""Isotonic calibration and mean-matched marginals (survey J36, J45), all pairs of columns (E25), joint availability (J28), walk-forward ridge (J34), stages with partial failure (K8), schema migrations (A2)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import isotonic as I
 from ..operators import models as M
+from ..operators.migrations import Migration, log, migrate, tables
 from ..operators.staged import RUN, Stage, last_valid, latest, run
 from ..operators.windows import History
 from ..storage import new_path
@@ -94,3 +95,18 @@ def staged_run(t):
     state = last_valid(spark, folder)
     counts = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in state.items()])
     return spark.createDataFrame(first, "stage string, first_status string").join(kept, "stage").join(counts, "stage")
+
+
+@query("a02_migrated_tables", """SELECT player, games, spent, 'v' || (games >= 3)::INTEGER AS tier, 3 AS schema_version, 'created,spent_renamed,tiers' AS applied, '' AS applied_again
+    FROM (SELECT o_custkey AS player, count(*) AS games, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS spent FROM orders GROUP BY 1)""")
+def migrated_tables(t):
+    """A table created, changed and extended by three migrations in two calls; a third call applies nothing."""
+    spark, folder = t.spark, new_path(t.spark, "migrations")
+    created = Migration(1, "created", lambda _: {"players": t("orders").groupBy(F.col("o_custkey").alias("player")).agg(F.count("*").alias("games"), F.sum(F.round(F.col("o_totalprice") * 100)).alias("total")), "staging": t("orders").select("o_orderkey")})
+    renamed = Migration(2, "spent_renamed", lambda now: {"players": now["players"].select("player", "games", F.col("total").cast("long").alias("spent")), "staging": None})
+    tiers = Migration(3, "tiers", lambda now: {"players": now["players"].withColumn("tier", F.concat(F.lit("v"), (F.col("games") >= 3).cast("int").cast("string")))})
+    applied = migrate(spark, folder, [created]) + migrate(spark, folder, [tiers, renamed, created])
+    again = migrate(spark, folder, [created, renamed, tiers])
+    version = log(spark, folder).agg(F.max("version")).first()[0]  # one row
+    (name,) = now = tables(spark, folder)
+    return now[name].select("*", F.lit(version).alias("schema_version"), F.lit(",".join(applied)).alias("applied"), F.lit(",".join(again)).alias("applied_again"))

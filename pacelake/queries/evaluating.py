@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import shifted_curve
 from ..functions.exprs import band
 from ..operators import evaluation as E
 from ..operators.windows import History
@@ -153,3 +154,20 @@ def folds(t):
     n = t.games().groupBy("season").agg(F.count("*").alias("n"))  # a row for each season
     before = F.sum("n").over(Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1))
     return n.select(F.col("season").alias("test_season"), before.alias("n_train"), F.col("n").alias("n_test")).where("n_train > 0")
+
+
+_THRESHOLDS = [40, 80, 120, 160, 200]
+
+
+@query("j65_shifted_survival", f"""WITH {PRED}, s AS (SELECT game_id, [{", ".join(f"avg((units >= {x})::INTEGER) OVER w" for x in _THRESHOLDS)}] AS chances FROM games WINDOW w AS {_L10}), x AS (SELECT pred.game_id, p - q50 AS delta, chances FROM pred JOIN s ON s.game_id = pred.game_id),
+    u AS (SELECT game_id, delta, unnest({_THRESHOLDS})::DOUBLE AS t, least(greatest(unnest(chances), 1e-6), 1 - 1e-6) AS c FROM x), l AS (SELECT game_id, delta, t, ln(c / (1 - c)) AS odds FROM u),
+    pieces AS (SELECT a.game_id, a.delta, a.t AS t0, b.t AS t1, a.odds AS o0, b.odds AS o1 FROM l a JOIN l b ON b.game_id = a.game_id AND b.t = a.t + 40), q AS (SELECT unnest({_THRESHOLDS})::DOUBLE AS t),
+    v AS (SELECT game_id, q.t, 1 / (1 + exp(0 - (o0 + (o1 - o0) / (t1 - t0) * (q.t - delta - t0)))) AS moved FROM pieces JOIN q ON (q.t - delta >= t0 OR t0 = 40) AND (q.t - delta < t1 OR t1 = 200)),
+    f AS (SELECT game_id, t, round(min(moved) OVER (PARTITION BY game_id ORDER BY t), 4) AS p FROM v) SELECT game_id, list(p ORDER BY t) AS survival FROM f GROUP BY 1""")
+def shifted_survival(t):
+    """Shares of the last ten games above each threshold, moved by how far the mean is from the median."""
+    w = History("player_id", "game_time", "game_id").last(10)
+    chances = F.array(*[F.avg((F.col("units") >= x).cast("int")).over(w) for x in _THRESHOLDS])
+    q50 = r4(F.percentile("units", 0.5).over(w))
+    rows = t.games().select("game_id", chances.alias("chances"), (r4(F.avg("units").over(w)) - q50).alias("delta")).where("delta is not null")
+    return rows.select("game_id", F.transform(shifted_curve("chances", _THRESHOLDS, F.col("delta")), lambda x: F.round(x, 4)).alias("survival"))
