@@ -11,10 +11,17 @@ from ..storage import stored
 from .windows import beside, cumulated
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over rows where both are known; null where one is constant, for which ``corr`` divides by zero."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def error_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mae, rmse, bias, pearson of each group."""
     e = F.col(p) - F.col(y)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.corr(y, p).alias("pearson"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), correlation(y, p).alias("pearson"))
 
 
 def spearman(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:

@@ -127,7 +127,7 @@ def stability(t):
 @query("e25_correlations", "SELECT round(corr(l_quantity, l_extendedprice), 4) AS qty_price, round(corr(l_quantity, l_discount), 4) AS qty_disc, round(corr(l_discount, l_tax), 4) AS disc_tax FROM lineitem")
 def correlations(t):
     pairs = (("l_quantity", "l_extendedprice", "qty_price"), ("l_quantity", "l_discount", "qty_disc"), ("l_discount", "l_tax", "disc_tax"))
-    return t("lineitem").agg(*[r4(F.corr(a, b)).alias(n) for a, b, n in pairs])
+    return t("lineitem").agg(*[r4(E.correlation(a, b)).alias(n) for a, b, n in pairs])
 
 
 @query("e25_duplicate_columns", "SELECT 'l_quantity' AS a, 'l_quantity_copy' AS b, bool_and(l_quantity IS NOT DISTINCT FROM q2) AS same FROM (SELECT l_quantity, l_quantity * 1.0::DOUBLE AS q2, l_tax FROM lineitem) UNION ALL SELECT 'l_quantity', 'l_tax', bool_and(l_quantity IS NOT DISTINCT FROM l_tax) FROM lineitem")

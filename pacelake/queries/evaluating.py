@@ -137,7 +137,7 @@ def shortfall(t):
 
 @query("j81_group_correlation", f"WITH {PRED} SELECT player_id, round(corr(p, y), 4) AS r FROM pred GROUP BY 1 HAVING count(*) >= 5 AND stddev_pop(p) > 0 AND stddev_pop(y) > 0")
 def group_correlation(t):
-    g = predictions(t).groupBy("player_id").agg(F.corr("p", "y").alias("r"), F.count("*").alias("n"), F.stddev_pop("p").alias("sp"), F.stddev_pop("y").alias("sy"))
+    g = predictions(t).groupBy("player_id").agg(E.correlation("p", "y").alias("r"), F.count("*").alias("n"), F.stddev_pop("p").alias("sp"), F.stddev_pop("y").alias("sy"))
     return g.where("n >= 5 and sp > 0 and sy > 0").select("player_id", r4("r").alias("r"))
 
 

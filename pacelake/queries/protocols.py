@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions import exprs as X
+from ..operators import evaluation as E
 from ..operators.windows import beside, numbered
 from .evaluating import PRED, predictions
 from .registry import GAMES, LOG, query, r4
@@ -111,7 +112,7 @@ def competition(t):
 def near_duplicates(t):
     line = t("lineitem").withColumn("double_quantity", 2 * F.col("l_quantity") + 1)
     pairs = (("l_extendedprice", "l_quantity"), ("double_quantity", "l_quantity"))
-    c = line.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    c = line.agg(*[E.correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 3).alias("r")) for i, (a, b) in enumerate(pairs)])
     return c.select(F.explode(rows).alias("x")).select("x.*").where(F.abs("r") >= 0.98)
 
