@@ -48,3 +48,9 @@ def test_correlation_of_a_constant_group(spark, orders_of):
 def test_metrics_of_a_constant_group_have_no_correlation(spark, orders_of):
     (row,) = own.QUERIES["e19_error_metrics"](spark, orders_of({1: [7, 7, 7]})).collect()
     assert (row.n, row.mae, row.pearson) == (2, 0.0, None)
+
+
+def test_quantiles_of_equal_values_are_monotone(spark, orders_of):
+    folder = orders_of({1: [53, 53, 53], 2: [106, 106, 106], 3: [1, 5, 2], 4: [9]})
+    got, want = both(spark, folder, "m08_monotone")
+    assert got == want == ["['monotone_quantiles', 0]"]
