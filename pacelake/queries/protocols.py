@@ -80,7 +80,7 @@ def walk_forward(t):
     return j.groupBy("fold", F.col("n").alias("n_train")).agg(F.count("*").alias("n_test"), r4(F.avg(F.abs(F.col("a") * F.col("p") + F.col("b") - F.col("y")))).alias("mae"))
 
 
-@query("j65_location_shift", f"WITH {PRED} SELECT game_id, [round(q10 + (p - q50), 4), round(q50 + (p - q50), 4), round(q90 + (p - q50), 4)] AS shifted FROM pred")
+@query("j65_location_shift", f"WITH {PRED} SELECT game_id, [round(q10 + (p - q50), 4) + 0.0::DOUBLE, round(q50 + (p - q50), 4) + 0.0::DOUBLE, round(q90 + (p - q50), 4) + 0.0::DOUBLE] AS shifted FROM pred")  # + 0.0: no negative zero
 def location_shift(t):
     q = F.array("q10", "q50", "q90")
     return predictions(t).select("game_id", F.transform(q, lambda x: F.round(x + (F.col("p") - F.col("q50")), 4)).alias("shifted"))

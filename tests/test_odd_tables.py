@@ -54,3 +54,11 @@ def test_quantiles_of_equal_values_are_monotone(spark, orders_of):
     folder = orders_of({1: [53, 53, 53], 2: [106, 106, 106], 3: [1, 5, 2], 4: [9]})
     got, want = both(spark, folder, "m08_monotone")
     assert got == want == ["['monotone_quantiles', 0]"]
+
+
+def test_shifted_quantiles_have_no_negative_zero(spark, orders_of):
+    folder = orders_of({1: [49, 16, 124, 129, 116, 71], 2: [140, 92, 119, 90, 88, 16, 79, 15, 94, 27, 111, 17]})
+    got, want = both(spark, folder, "j65_location_shift")
+    assert got == want
+    assert "[6, [0.0, 86.8, 97.8]]" in got
+    assert not any("-0.0" in row for row in want)
