@@ -18,31 +18,49 @@ from .windows import islands
 TOLERANCE = 5
 
 
-def sides(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5) -> DataFrame:
-    """(game, side, reason, seconds, stints): each side with its players' stints (player, from, to), or none and the reason.
+def _dealt(df: DataFrame, parts: int | None) -> DataFrame:
+    """Rows dealt by game, in as many parts as asked for."""
+    return df.repartition(parts, "game") if parts else df.repartition("game")
+
+
+def spans(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5, parts: int | None = None) -> DataFrame:
+    """(game, side, reason, seconds, player, from, to): a row for each time a player comes in, of sides that break a rule too.
 
     subs: game, side, at (seconds from the start), player, action IN or OUT; starters: game, side, player;
     length: game, seconds.  At one instant, players who go both out and in stay.  The reason is that of the first
     instant that breaks a rule: UNBALANCED, OUT_NOT_ON_COURT, IN_ALREADY_ON_COURT, or STARTERS if there aren't ``size`` of them.  Rows with
     a null instant, player or action are no moves; repeated rows count once; sides without starters are left out.
+    All is dealt once by game, in ``parts``: a number that grows with the table bounds what a task holds.
     """
     known = subs.where("player is not null and at is not null").select("game", "side", F.col("at").cast("int").alias("at"), "player", (F.col("action") == "IN").alias("in"), (F.col("action") == "OUT").alias("out"))
     first = starters.where("player is not null").select("game", "side", F.lit(-1).alias("at"), "player", F.lit(True).alias("in"), F.lit(False).alias("out"))
-    moves = known.unionByName(first).repartition("game").groupBy("game", "side", "at", "player").agg((F.max("in").cast("int") - F.max("out").cast("int")).alias("step")).where("step <> 0")
-    own = Window.partitionBy("game", "side", "player").orderBy("at")
+    moves = _dealt(known.unionByName(first), parts).groupBy("game", "side", "at", "player").agg((F.max("in").cast("int") - F.max("out").cast("int")).alias("step")).where("step <> 0")
+    own, side = Window.partitionBy("game", "side", "player").orderBy("at"), Window.partitionBy("game", "side")
     moves = moves.withColumn("net", F.sum("step").over(Window.partitionBy("game", "side", "at"))).withColumn("on", F.coalesce(F.sum("step").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("next", F.lead("at").over(own))
     subbed = F.col("at") >= 0
     rank = F.when(subbed & (F.col("net") != 0), 1).when(subbed & (F.col("step") < 0) & (F.col("on") < 1), 2).when(subbed & (F.col("step") > 0) & (F.col("on") > 0), 3)
-    came = F.when(F.col("step") > 0, F.struct("player", F.greatest("at", F.lit(0)).alias("from"), F.col("next").alias("to")))
-    side = moves.groupBy("game", "side").agg(F.count_if(~subbed).alias("first"), F.min(F.when(rank.isNotNull(), F.struct("at", rank.alias("rank")))).alias("broken"), F.collect_list(came).alias("came")).where("first > 0")
-    reason = F.when(F.col("first") != size, "STARTERS").otherwise(F.get(F.array(F.lit("UNBALANCED"), F.lit("OUT_NOT_ON_COURT"), F.lit("IN_ALREADY_ON_COURT")), F.col("broken.rank") - 1))
-    timed = side.withColumn("reason", reason).join(length.select("game", F.col("seconds").cast("int").alias("seconds")), "game")
-    closed = F.filter(F.transform("came", lambda x: F.struct(x["player"].alias("player"), x["from"].alias("from"), F.coalesce(x["to"], F.col("seconds")).alias("to"))), lambda x: x["from"] < x["to"])
-    return timed.select("game", "side", "reason", "seconds", F.when(F.col("reason").isNull(), closed).otherwise(F.filter(closed, lambda x: F.lit(False))).alias("stints"))
+    broken = F.col("at").cast("long") * 4 + rank  # the first instant, then the least rank
+    moves = moves.withColumns({"first": F.count_if(~subbed).over(side), "broken": F.min(broken).over(side)}).where("first > 0 and step > 0")
+    reason = F.when(F.col("first") != size, "STARTERS").otherwise(F.get(F.array(F.lit("UNBALANCED"), F.lit("OUT_NOT_ON_COURT"), F.lit("IN_ALREADY_ON_COURT")), (F.col("broken") % 4 - 1).cast("int")))
+    timed = moves.select("game", "side", reason.alias("reason"), "player", F.greatest("at", F.lit(0)).alias("from"), "next").join(length.select("game", F.col("seconds").cast("int").alias("seconds")), "game")
+    return timed.select("game", "side", "reason", "seconds", "player", "from", F.coalesce("next", "seconds").alias("to"))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """``sides`` of ``spans``."""
+    came = F.when(F.col("reason").isNull() & (F.col("from") < F.col("to")), F.struct("player", "from", "to"))
+    return rows.groupBy("game", "side").agg(F.max("reason").alias("reason"), F.max("seconds").alias("seconds"), F.collect_list(came).alias("stints"))
+
+
+def sides(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5, parts: int | None = None) -> DataFrame:
+    """(game, side, reason, seconds, stints): each side with its players' stints (player, from, to), or none and the reason; inputs as for ``spans``."""
+    return gathered(spans(subs, starters, length, size, parts))
 
 
 def stints(known: DataFrame) -> DataFrame:
-    """(game, side, player, from, to) of the stints of ``sides``."""
+    """(game, side, player, from, to) of the stints of ``sides`` or ``spans``."""
+    if "stints" not in known.columns:
+        return known.where("reason is null and from < to").select("game", "side", "player", "from", "to")
     return known.select("game", "side", F.explode("stints").alias("x")).select("game", "side", "x.player", "x.from", "x.to")
 
 
@@ -60,35 +78,36 @@ def lineups(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int =
     return intervals(sides(subs, starters, length, size))
 
 
-def minute_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def minute_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE, parts: int | None = None) -> DataFrame:
     """(game, player, official_seconds, reconstructed_seconds, difference_seconds, within_tolerance) of every box row of a game without a reason.
 
-    box: game, player, seconds; a player without stints has 0, and repeated rows of a player count once, with the most seconds.
+    known: ``sides`` or ``spans``; box: game, player, seconds; a player without stints has 0, and repeated rows of a player count once, with the most seconds.
     """
-    known = stored(known, "sides")
-    return _minutes(known, box, tolerance)
-
-
-def _minutes(known: DataFrame, box: DataFrame, tolerance: int) -> DataFrame:
-    games = known.groupBy("game").agg(F.max(F.col("reason").isNotNull()).alias("bad")).where("not bad").select("game")
-    good = known.join(games, "game", "left_semi")
-    played = stints(good).select("game", "player", (F.col("to") - F.col("from")).alias("played"), F.lit(None).cast("int").alias("official"))
-    listed = box.join(games, "game", "left_semi").select("game", "player", F.lit(0).alias("played"), F.col("seconds").cast("int").alias("official"))
-    g = played.unionByName(listed).groupBy("game", "player").agg(F.sum("played").cast("int").alias("reconstructed_seconds"), F.max("official").alias("official_seconds")).where("official_seconds is not null")
+    return _minutes(stored(known, "sides"), box, tolerance, parts)
+
+
+def _minutes(known: DataFrame, box: DataFrame, tolerance: int, parts: int | None) -> DataFrame:
+    """Stints, box rows and a row for each known game are one union, dealt once by game."""
+    row = lambda player, played, official, bad: [F.col(player) if player else F.lit(None).cast("string").alias("player"), played.alias("played"), official.alias("official"), bad.alias("bad")]
+    none, zero = F.lit(None).cast("int"), F.lit(0)
+    games = known.groupBy("game").agg(F.max(F.col("reason").isNotNull()).alias("bad")).select("game", *row(None, zero, none, F.col("bad")))
+    played = stints(known).select("game", *row("player", F.col("to") - F.col("from"), none, F.lit(None).cast("boolean")))
+    listed = box.select("game", *row("player", zero, F.col("seconds").cast("int"), F.lit(None).cast("boolean")))
+    g = _dealt(games.unionByName(played).unionByName(listed), parts).groupBy("game", "player").agg(F.sum("played").cast("int").alias("reconstructed_seconds"), F.max("official").alias("official_seconds"), F.max("bad").alias("bad"))
+    g = g.withColumn("bad", F.max("bad").over(Window.partitionBy("game"))).where("not bad and official_seconds is not null")
     apart = F.col("reconstructed_seconds") - F.col("official_seconds")
     return g.select("game", "player", "official_seconds", "reconstructed_seconds", apart.alias("difference_seconds"), (F.abs(apart) <= tolerance).alias("within_tolerance"))
 
 
-def game_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def game_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE, parts: int | None = None) -> DataFrame:
     """One row for each game: whether it was reconstructed and is usable, the reasons of its quarantine (sorted, joined by |), how many box rows
     agree exactly, within the tolerance and not, and the largest and total absolute error."""
-    known = stored(known, "sides")
-    return _game_audit(known, box, tolerance)
+    return _game_audit(stored(known, "sides"), box, tolerance, parts)
 
 
-def _game_audit(known: DataFrame, box: DataFrame, tolerance: int) -> DataFrame:
+def _game_audit(known: DataFrame, box: DataFrame, tolerance: int, parts: int | None) -> DataFrame:
     apart = F.abs(F.col("difference_seconds"))
-    rows = _minutes(known, box, tolerance).groupBy("game").agg(
+    rows = _minutes(known, box, tolerance, parts).groupBy("game").agg(
         F.count("*").alias("player_rows"), F.count_if(apart == 0).alias("exact_player_rows"), F.count_if("within_tolerance").alias("near_exact_player_rows"), F.count_if(~F.col("within_tolerance")).alias("outside_tolerance_player_rows"),
         F.max(apart).cast("long").alias("maximum_absolute_error_seconds"), F.sum(apart).alias("total_absolute_error_seconds"),
     )
@@ -100,10 +119,10 @@ def _game_audit(known: DataFrame, box: DataFrame, tolerance: int) -> DataFrame:
     return game.select("game", whole.alias("structurally_reconstructed"), (whole & ~outside).alias("rotation_usable"), F.when(F.size(reasons) > 0, F.array_join(reasons, "|")).alias("quarantine_reason"), *zero.values())
 
 
-def accepted(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """``sides`` of the usable games alone."""
+def accepted(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE, parts: int | None = None) -> DataFrame:
+    """``sides`` or ``spans`` of the usable games alone."""
     known = stored(known, "sides")
-    return known.join(_game_audit(known, box, tolerance).where("rotation_usable").select("game"), "game", "left_semi")
+    return known.join(_game_audit(known, box, tolerance, parts).where("rotation_usable").select("game"), "game", "left_semi")
 
 
 def player_stints(intervals: DataFrame) -> DataFrame:

@@ -23,21 +23,21 @@ def _lines(t):
     return t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
 
 
-def _sides(t):
+def _spans(t):
     line = _lines(t).select(F.col("l_orderkey").alias("game"), (F.col("l_linenumber") * 300 + F.floor("l_quantity")).cast("int").alias("at"), F.concat(F.lit("S"), (F.col("l_partkey") % 5 + 1).cast("string")).alias("o"), F.concat(F.lit("B"), F.col("l_suppkey").cast("string")).alias("i"))
     moves = F.array(F.struct(F.col("o").alias("player"), F.lit("OUT").alias("action")), F.struct(F.col("i").alias("player"), F.lit("IN").alias("action")))
     subs = line.select("game", F.lit("H").alias("side"), "at", F.explode(moves).alias("m")).select("game", "side", "at", "m.player", "m.action")
     games = t("lineitem").select(F.col("l_orderkey").alias("game")).distinct()
     starters = games.select("game", F.lit("H").alias("side"), F.explode(F.array(*[F.lit(f"S{k}") for k in range(1, 6)])).alias("player"))
-    return S.sides(subs, starters, games.withColumn("seconds", F.lit(2400)))
+    return S.spans(subs, starters, games.withColumn("seconds", F.lit(2400)), parts=t.parts("lineitem"))
 
 
 def _intervals(t):
-    return S.intervals(_sides(t))
+    return S.intervals(S.gathered(_spans(t)))
 
 
 def _stints(t):
-    return S.stints(_sides(t))
+    return S.stints(_spans(t))
 
 
 def _box(t):
@@ -53,7 +53,7 @@ def _box(t):
 
 @query("j07_audit", f"WITH {EVENTS} SELECT game, reason FROM bad")
 def audit(t):
-    return _sides(t).where("reason is not null").select("game", "reason")
+    return _spans(t).where("reason is not null").groupBy("game", "side").agg(F.max("reason").alias("reason")).select("game", "reason")
 
 
 @query("j07_player_stints", f"WITH {EVENTS} SELECT game, player, CAST(a AS INTEGER) AS from_s, CAST(z AS INTEGER) AS to_s FROM st WHERE z > a")
@@ -70,7 +70,7 @@ _BOX = f"""{EVENTS}, every AS (SELECT DISTINCT game, unnest(['S1', 'S2', 'S3', '
 
 @query("j07_minute_audit", f"WITH {_BOX} SELECT game, player, CAST(official AS INTEGER) AS official_seconds, CAST(rebuilt AS INTEGER) AS reconstructed_seconds, CAST(e AS INTEGER) AS difference_seconds, abs(e) <= 5 AS within_tolerance FROM err")
 def minute_audit(t):
-    return S.minute_audit(_sides(t), _box(t))
+    return S.minute_audit(_spans(t), _box(t), parts=t.parts("lineitem"))
 
 
 @query("j07_game_audit", f"""WITH {_BOX}, a AS (SELECT game, count(*) AS n, count(*) FILTER (WHERE e = 0) AS exact, count(*) FILTER (WHERE abs(e) <= 5) AS near, count(*) FILTER (WHERE abs(e) > 5) AS outside, max(abs(e)) AS most, sum(abs(e)) AS total FROM err GROUP BY 1)
@@ -78,12 +78,12 @@ def minute_audit(t):
         coalesce(near, 0) AS near_exact_player_rows, coalesce(outside, 0) AS outside_tolerance_player_rows, CAST(coalesce(most, 0) AS BIGINT) AS maximum_absolute_error_seconds, CAST(coalesce(total, 0) AS BIGINT) AS total_absolute_error_seconds
     FROM (SELECT DISTINCT game FROM ev) g LEFT JOIN bad ON bad.game = g.game LEFT JOIN a ON a.game = g.game""")
 def game_audit(t):
-    return S.game_audit(_sides(t), _box(t))
+    return S.game_audit(_spans(t), _box(t), parts=t.parts("lineitem"))
 
 
 @query("j07_accepted_stints", f"WITH {_BOX} SELECT game, player, CAST(a AS INTEGER) AS from_s, CAST(z AS INTEGER) AS to_s FROM st WHERE z > a AND game NOT IN (SELECT game FROM err WHERE abs(e) > 5)")
 def accepted_stints(t):
-    return S.stints(S.accepted(_sides(t), _box(t))).select("game", "player", F.col("from").alias("from_s"), F.col("to").alias("to_s"))
+    return S.stints(S.accepted(_spans(t), _box(t), parts=t.parts("lineitem"))).select("game", "player", F.col("from").alias("from_s"), F.col("to").alias("to_s"))
 
 
 @query("j08_rotation", f"WITH {EVENTS} SELECT game, player, CAST(sum(z - a) AS BIGINT) AS seconds, count(*) AS stints, CAST(sum(greatest(0, z - greatest(a, 2280))) AS BIGINT) AS closing, min(a) = 0 AS started FROM st WHERE z > a GROUP BY ALL")

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table behind one part, and how few of them are still worth a part where cores are idle.
+PART_ROWS, SMALL_ROWS = 100_000, 20_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -34,6 +37,11 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def parts(self, name: str) -> int:
+        """Into how many parts rows that follow a table's are dealt, so that a task's share stays the same however large the table; the rows are counted from the file's metadata."""
+        n = self(name).count()
+        return max(1, -(-n // PART_ROWS), min(self.spark.sparkContext.defaultParallelism, n // SMALL_ROWS))
+
     def games(self) -> DataFrame:
         """A row for each order: the player-game facts (player = customer, season = year)."""
         lines = self("lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(

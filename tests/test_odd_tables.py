@@ -8,6 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import pacelake.queries as own
+from pacelake.operators import stints as S
+from pacelake.queries import registry
 
 
 @pytest.fixture
@@ -62,3 +64,37 @@ def test_shifted_quantiles_have_no_negative_zero(spark, orders_of):
     assert got == want
     assert "[6, [0.0, 86.8, 97.8]]" in got
     assert not any("-0.0" in row for row in want)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins by shuffle, as on tables too large to broadcast."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("name", ["j07_accepted_stints", "j07_game_audit", "j07_minute_audit"])
+def test_audits_joined_by_shuffle(spark, no_broadcast, name):
+    got, want = both(spark, "/root/testdata/sf0.001", name)
+    assert list(got) == list(want)
+
+
+def test_stints_are_dealt_in_as_many_parts_as_asked(spark):
+    subs = spark.createDataFrame([(g, "H", 300, p, a) for g in range(40) for p, a in (("S1", "OUT"), ("B1", "IN"))], "game long, side string, at int, player string, action string")
+    starters = spark.createDataFrame([(g, "H", f"S{k}") for g in range(40) for k in range(1, 6)], "game long, side string, player string")
+    length = spark.createDataFrame([(g, 2400) for g in range(40)], "game long, seconds int")
+    few, many = (S.spans(subs, starters, length, parts=n) for n in (2, 7))
+    assert many.rdd.getNumPartitions() == 7
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert few.count() == 240
+
+
+def test_parts_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "PART_ROWS", 10)
+    for n in (1, 100, 1000):
+        spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        assert registry.Tables(spark, str(tmp_path)).parts("lineitem") == max(1, n // 10)
