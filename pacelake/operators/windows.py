@@ -57,6 +57,11 @@ def micros(time: str | Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
+def dealt(df: DataFrame, parts: int | None, by: Sequence[str]) -> DataFrame:
+    """Rows dealt by their keys in this many parts, which the windows and groups behind it keep; without a number, as they are."""
+    return df.repartition(parts, *by) if parts else df
+
+
 def trend(x: str, history: History, k: int = 3) -> Column:
     """Mean of the last k less that of the k before them, if both are full."""
     near, far = history.last(k), history.displaced(2 * k, k + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..operators.windows import DAY, History, average_rank, elo, ewma, islands, micros, sessions, top_k, trend
+from ..operators.windows import DAY, History, average_rank, dealt, elo, ewma, islands, micros, sessions, top_k, trend
 from .registry import GAMES, LOG, query, r4
 
 H = History("player_id", "game_time", "game_id")
@@ -206,7 +206,8 @@ def pair_history(t):
     sets = t("lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("m"))  # a game's few members
     pairs = sets.select("g", F.explode("m").alias("s1"), "m").select("g", "s1", F.explode(F.filter("m", lambda x: x > F.col("s1"))).alias("s2"))
     h = History(["s1", "s2"], "o_orderdate", "g")
-    return pairs.join(t("orders").select(F.col("o_orderkey").alias("g"), "o_orderdate"), "g").select("g", "s1", "s2", F.count("*").over(h.before()).alias("shared_before"))
+    dated = pairs.join(t("orders").select(F.col("o_orderkey").alias("g"), "o_orderdate"), "g")
+    return dealt(dated, 3 * t.parts("lineitem"), ["s1", "s2"]).select("g", "s1", "s2", F.count("*").over(h.before()).alias("shared_before"))
 
 
 @query("f27_sessions_by_gap", """WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 6 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
