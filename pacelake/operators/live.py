@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, ratio
+from .windows import dealt
 
 #: Weights of games outside the competition, the half-life of a game in days, and the largest share they have.
 GAME_WEIGHTS = {"FRIENDLY": 0.20, "PRESEASON_TOURNAMENT": 0.30, "SUPERCUP": 0.65, "DOMESTIC_OFFICIAL": 0.75}
@@ -96,9 +97,9 @@ def threshold(low: Column, high: Column, acts: Callable[[Column], Column], steps
     return F.when(acts(low) & ~acts(high), found)
 
 
-def outside_lineups(actors: DataFrame, intervals: DataFrame, game: Sequence[str] = ("game", "side")) -> DataFrame:
+def outside_lineups(actors: DataFrame, intervals: DataFrame, game: Sequence[str] = ("game", "side"), parts: int | None = None) -> DataFrame:
     """Actors (game, side, at, player) with ``inside``: whether the player is on court up to this instant or from it on; a game's few intervals
     come as one array."""
     courts = intervals.where("reason is null").groupBy(*game).agg(F.collect_list(F.struct("from", "to", "court")).alias("__courts"))
     there = F.exists("__courts", lambda c: (c["from"] <= F.col("at")) & (F.col("at") <= c["to"]) & F.array_contains(c["court"], F.col("player")))
-    return actors.join(courts, list(game)).withColumn("inside", there).drop("__courts")
+    return dealt(actors, parts, game).join(dealt(courts, parts, game), list(game)).withColumn("inside", there).drop("__courts")

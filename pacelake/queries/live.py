@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allocation as A
 from ..operators import live as L
-from ..operators.windows import micros, numbered
+from ..operators.windows import dealt, micros, numbered
 from .decisions import CAPPED
 from .reconstruction import EVENTS, _intervals, _lines
 from .registry import GAMES, query, r4
@@ -105,7 +105,7 @@ def diagnostics(t):
     """Lines in the order of their ship dates; quantity stands for the clock that should only fall."""
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     same = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    e = t("lineitem").withColumns({"n0": F.lag("l_linenumber").over(w), "q0": F.lag("l_quantity").over(w), "same": F.count("*").over(same)})
+    e = dealt(t("lineitem"), t.parts("lineitem"), ["l_orderkey"]).withColumns({"n0": F.lag("l_linenumber").over(w), "q0": F.lag("l_quantity").over(w), "same": F.count("*").over(same)})
     numbers = F.count_distinct("l_linenumber")
     return e.groupBy("l_orderkey").agg(F.count("*").alias("events"), F.count_if(F.col("l_linenumber") < F.col("n0")).alias("inversions"), (F.count("*") - numbers).alias("duplicate_numbers"), (F.max("l_linenumber").cast("long") - F.min("l_linenumber") + 1 - numbers).alias("gaps"), F.count_if(F.col("same") > 1).alias("duplicate_events"), F.count_if(F.col("l_quantity") > F.col("q0")).alias("clock_increases"))
 
@@ -129,7 +129,7 @@ def actor_boundaries(t):
     """Event actors who are in the lineup neither before nor after the instant of their event."""
     player = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("B"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("S"), (F.col("l_partkey") % 4 + 1).cast("string")))
     actors = _lines(t).select(F.col("l_orderkey").alias("game"), F.lit("H").alias("side"), (F.col("l_linenumber") * 300 + F.floor("l_quantity")).cast("int").alias("at"), player.alias("player"))
-    return L.outside_lineups(actors, _intervals(t)).groupBy("game").agg(F.count("*").alias("actors"), F.count_if(~F.col("inside")).alias("outside"))
+    return L.outside_lineups(actors, _intervals(t), parts=t.parts("lineitem")).groupBy("game").agg(F.count("*").alias("actors"), F.count_if(~F.col("inside")).alias("outside"))
 
 
 @query("j77_decision_threshold", "WITH r AS (SELECT l_orderkey, max(l_quantity) AS captain, min(l_quantity) AS worst, quantile_disc(l_quantity, 0.5) AS bench FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN worst - 30 < bench / 1.1::DOUBLE AND captain + 30 >= bench / 1.1::DOUBLE THEN round(bench / 1.1::DOUBLE, 2) END AS threshold FROM r")
