@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..operators.windows import History, micros, trend
+from ..operators.windows import History, dealt, micros, trend
 from .registry import GAMES, query, r4
 
 STATS = ("units", "n_lines", "returned", "pending", "spend")
@@ -49,12 +49,12 @@ def _sql(source: str = "games", more: str = "") -> str:
 
 @query("j02_player_features", _sql())
 def player_features(t):
-    return features(t.games())
+    return features(t.games(), t.parts("lineitem"))
 
 
-def features(games):
-    """The table for player-games; rows without stats (games to come) get theirs from the same frames."""
-    g = games.withColumn("spend", F.floor("price"))
+def features(games, parts=None):
+    """The table for player-games; rows without stats (games to come) get theirs from the same frames.  ``parts`` that grow with the table bound what a task sorts."""
+    g = dealt(games, parts, ["player_id"]).withColumn("spend", F.floor("price"))
     h, s = History("player_id", "game_time", "game_id"), History(["player_id", "season"], "game_time", "game_id")
     cols = {}
     for x in STATS:
@@ -71,7 +71,7 @@ def features(games):
     cols["baseline"] = r4(F.coalesce(F.avg("units").over(s.before()), F.avg("units").over(h.before()), F.lit(START)))
     cols["rookie_season"] = F.col("season") == F.min("season").over(Window.partitionBy("player_id"))
     f = g.select("game_id", "player_id", "season", "game_time", F.col("units").alias("target"), *[c.alias(n) for n, c in cols.items()])
-    day = g.groupBy("season", F.to_date("game_time").alias("d")).agg(F.sum("units").alias("u"), F.sum("n_lines").alias("l"), F.count("*").alias("n"))
+    day = games.groupBy("season", F.to_date("game_time").alias("d")).agg(F.sum("units").alias("u"), F.sum("n_lines").alias("l"), F.count("*").alias("n"))
     w = Window.partitionBy("season").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)  # a season's days
     league = day.select("season", "d", r4(ratio(F.sum("u").over(w), F.sum("n").over(w))).alias("league_units"), r4(ratio(F.sum("u").over(w), F.sum("l").over(w))).alias("league_per_line"))
     out = f.withColumn("d", F.to_date("game_time")).join(league, ["season", "d"]).drop("d")
