@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import micros, top_k
+from .windows import dealt, micros, top_k
 
 
 def as_of(facts: DataFrame, observed: DataFrame, entity: Sequence[str], fact_time: str, seen_time: str, tie: str, values: Sequence[str], strict: bool = True) -> DataFrame:
@@ -35,16 +35,16 @@ def next_after(facts: DataFrame, observed: DataFrame, entity: Sequence[str], fac
     return both.where(F.col(side) == 1).select(*facts.columns, *[F.col(seen)[v].alias(v) for v in values])
 
 
-def recent_observations(facts: DataFrame, observed: DataFrame, entity: Sequence[str], key: str, fact_time: str, seen_time: str, tie: str, values: Sequence[str], k: int) -> DataFrame:
+def recent_observations(facts: DataFrame, observed: DataFrame, entity: Sequence[str], key: str, fact_time: str, seen_time: str, tie: str, values: Sequence[str], k: int, parts: int | None = None) -> DataFrame:
     """(fact key, recency 1..k, values): the last k observations strictly before each fact.
 
     One window over the union of both sides carries the last k observations along, so what is
-    built is facts times k at most.
+    built is facts times k at most.  ``parts`` that grow with the table bound what a task sorts.
     """
     side, at, seen = "__side", "__at", "__seen"
     f = facts.select(*entity, key, micros(fact_time).alias(at), F.lit(0).alias(side), F.lit(None).cast(observed.select(F.struct(*dict.fromkeys([tie, *values])).alias("s")).schema["s"].dataType).alias(seen))
     o = observed.select(*entity, micros(seen_time).alias(at), F.lit(1).alias(side), F.struct(*dict.fromkeys([tie, *values])).alias(seen))
-    both = f.unionByName(o, allowMissingColumns=True)
+    both = dealt(f.unionByName(o, allowMissingColumns=True), parts, entity)
     order = Window.partitionBy(*entity).orderBy(at, side, F.col(seen)[tie])
     # observations are numbered; the window looks back over the rows between and keeps k of them
     numbered = both.withColumn("__n", F.count(seen).over(order.rowsBetween(Window.unboundedPreceding, 0)))

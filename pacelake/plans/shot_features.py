@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators.windows import micros
+from ..operators.windows import dealt, micros
 
 #: Zones and their column names.
 ZONES = {"RIM": "rim", "PAINT": "paint", "MIDRANGE": "midrange", "CORNER3": "corner3", "ABOVE_BREAK3": "above_break3"}
@@ -28,16 +28,16 @@ def profiles(shots: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def carried(facts: DataFrame, observed: DataFrame, entity: Sequence[str], season: str, time: str, tie: str, last: Sequence[int] = (5, 10)) -> DataFrame:
+def carried(facts: DataFrame, observed: DataFrame, entity: Sequence[str], season: str, time: str, tie: str, last: Sequence[int] = (5, 10), parts: int | None = None) -> DataFrame:
     """Each fact with sums of the entity's observations strictly before it: all, of its season, and of the last k games.
 
     Facts and observations are one union that is shuffled once by the entity; at one instant facts stand before observations.  An entity's games
-    stay in one task.  Sums are null without observations, their numbers zero.  Facts keep their columns; those of COUNTS must not be among them.
+    stay in one task; ``parts`` that grow with the table bound what a task sorts.  Sums are null without observations, their numbers zero.  Facts keep their columns; those of COUNTS must not be among them.
     """
     of_facts = [c for c in facts.columns if c not in (*entity, season, time)]
     f = facts.select(*entity, season, micros(time).alias("__at"), F.lit(0).alias("__side"), F.struct(time, *of_facts).alias("__fact"))
     o = observed.select(*entity, season, micros(time).alias("__at"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), *COUNTS)
-    rows = f.unionByName(o, allowMissingColumns=True)
+    rows = dealt(f.unionByName(o, allowMissingColumns=True), parts, entity)
     w = Window.partitionBy(*entity).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     in_season = Window.partitionBy(*entity, season).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", F.count("attempts").over(w).alias("games_before"), F.sum("attempts").over(w).alias("all_attempts"), F.max(F.when(F.col("__side") == 1, F.col("__at"))).over(w).alias("source_max_us"), *[F.sum(c).over(in_season).alias(f"season_{c}") for c in COUNTS])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import temporal as T
 from ..operators.stints import possessions
+from ..operators.windows import dealt
 from ..plans import shot_features as S
 from .player_table import _sql, features
 from .reconstruction import EVENTS, _intervals, _lines, lineup_shares, on_off, rotation
@@ -41,11 +42,12 @@ def _core(t):
     return o, o.select("*", F.explode(F.array(*[F.lit(f"S{k}") for k in range(1, 6)])).alias("player"))
 
 
-def _family(core, observed, values, k=6):
+def _family(t, core, observed, values, k=6):
     """Each core row's last k observations strictly before it, as rows with their recency."""
+    parts = t.parts("lineitem")
     facts = core.withColumn("key", F.concat_ws("|", F.col("game").cast("string"), "player"))
-    recent = T.recent_observations(facts, observed, ["cust", "player"], "key", "t", "t", "game", values, k)
-    return facts.select("key", "game", "player"), recent
+    recent = T.recent_observations(facts, observed, ["cust", "player"], "key", "t", "t", "game", values, k, parts)
+    return facts.select("key", "game", "player"), dealt(recent, parts, ["key"])
 
 
 def _mean(c, k):
@@ -59,7 +61,7 @@ def _mean(c, k):
 def rotation_features(t):
     o, core = _core(t)
     seen = rotation(t).join(o, "game").select("cust", "player", "game", "t", "seconds", "stints", (F.col("closing") > 0).cast("int").alias("closing"))
-    facts, h = _family(core, seen, ["seconds", "stints", "closing"])
+    facts, h = _family(t, core, seen, ["seconds", "stints", "closing"])
     near = F.col("recency") <= 5
     minutes = F.col("seconds") / 60
     a = h.groupBy("key").agg(
@@ -75,7 +77,7 @@ def rotation_features(t):
 def onoff_features(t):
     o, core = _core(t)
     seen = on_off(t).join(o, "game").select("cust", "player", "game", "t", "on_points", "off_points", (F.col("on_points") - F.col("off_points")).alias("split"))
-    facts, h = _family(core, seen, ["on_points", "off_points", "split"])
+    facts, h = _family(t, core, seen, ["on_points", "off_points", "split"])
     a = h.groupBy("key").agg(F.count_if(F.col("recency") <= 5).alias("last_5_n"), r4(_mean("on_points", 5)).alias("last_5_on"), r4(_mean("off_points", 5)).alias("last_5_off"), r4(_mean("split", 5)).alias("last_5_split"), r4(_mean("split", 3)).alias("last_3_split"))
     return facts.join(a, "key").drop("key")
 
@@ -86,7 +88,7 @@ def onoff_features(t):
 def lineup_features(t):
     o, _ = _core(t)
     seen = lineup_shares(t).join(o, "game").select("cust", F.lit("ALL").alias("player"), "game", "t", "lineups", "entropy", "top1")
-    facts, h = _family(o.withColumn("player", F.lit("ALL")), seen, ["lineups", "entropy", "top1"])
+    facts, h = _family(t, o.withColumn("player", F.lit("ALL")), seen, ["lineups", "entropy", "top1"])
     a = h.groupBy("key").agg(F.count_if(F.col("recency") <= 5).alias("last_5_n"), r4(_mean("lineups", 5)).alias("last_5_lineups"), F.round(_mean("entropy", 5), 8).alias("last_5_entropy"), F.max(F.when(F.col("recency") <= 5, F.col("top1"))).alias("last_5_top1"))
     return facts.join(a, "key").drop("key", "player")
 
@@ -97,7 +99,7 @@ def current_slate(t):
     g = t.games()
     next_day = F.broadcast(g.agg((F.max("game_time") + F.expr("INTERVAL 1 DAY")).alias("game_time")))  # one row
     slate = g.select("player_id").distinct().crossJoin(next_day).select((-1 - F.col("player_id")).alias("game_id"), "player_id", "game_time", F.year("game_time").alias("season"))
-    return features(g.unionByName(slate, allowMissingColumns=True)).where("game_id < 0")
+    return features(g.unionByName(slate, allowMissingColumns=True), t.parts("lineitem")).where("game_id < 0")
 
 
 _SHOTS = """o AS (SELECT o_orderkey AS game, o_custkey AS cust, xor(o_custkey, o_orderkey % 8) AS opponent, o_orderdate AS t, year(o_orderdate) AS season FROM orders),
@@ -145,7 +147,7 @@ def shot_features(t):
     games = _shot_games(t)
     core = games.select("game", "cust", "t", "season", F.explode(F.array(*[F.lit(f"S{k}") for k in range(1, 6)])).alias("player"))
     seen = S.profiles(_shots(t), "game", "player").join(games, "game")
-    return _six(S.rates(S.carried(core, seen, ["cust", "player"], "season", "t", "game"), "game", "player"))
+    return _six(S.rates(S.carried(core, seen, ["cust", "player"], "season", "t", "game", parts=t.parts("lineitem")), "game", "player"))
 
 
 @query("j12_opponent_shot_features", _shot_sql("o.opponent", "obs.opponent = core.opponent", "opp_shot_", "_allowed", "", "core AS (SELECT game AS c_game, opponent, t, season, 'ALL' AS c_player FROM o)"))
@@ -154,4 +156,4 @@ def opponent_shot_features(t):
     games = _shot_games(t)
     seen = S.profiles(_shots(t), "game").join(games, "game")
     core = games.select("game", "opponent", "t", "season", F.lit("ALL").alias("player"))
-    return _six(S.rates(S.carried(core, seen, ["opponent"], "season", "t", "game", last=(5,)), "game", "player", prefix="opp_shot_", allowed="_allowed", own=False))
+    return _six(S.rates(S.carried(core, seen, ["opponent"], "season", "t", "game", last=(5,), parts=t.parts("lineitem")), "game", "player", prefix="opp_shot_", allowed="_allowed", own=False))

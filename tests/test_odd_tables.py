@@ -9,6 +9,7 @@ import pytest
 
 import pacelake.queries as own
 from pacelake.operators import stints as S
+from pacelake.operators import temporal as T
 from pacelake.queries import registry
 
 
@@ -98,3 +99,19 @@ def test_parts_follow_the_rows(spark, tmp_path, monkeypatch):
     for n in (1, 100, 1000):
         spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
         assert registry.Tables(spark, str(tmp_path)).parts("lineitem") == max(1, n // 10)
+
+
+def test_histories_are_dealt_in_as_many_parts_as_asked(spark):
+    rows = [(i, i % 30, datetime.datetime(1997, 1, 1) + datetime.timedelta(i), float(i)) for i in range(300)]
+    seen = spark.createDataFrame(rows, "g long, cust long, t timestamp, v double")
+    plain, many = (T.recent_observations(seen, seen, ["cust"], "g", "t", "t", "g", ["v"], 3, n) for n in (None, 7))
+    assert many.rdd.getNumPartitions() == 7
+    assert sorted(plain.collect()) == sorted(many.collect())
+
+
+@pytest.mark.parametrize("name", ["j71_event_diagnostics", "f26_pair_history", "j02_player_features", "j12_opponent_shot_features"])
+def test_windows_follow_the_rows(spark, monkeypatch, name):
+    """A part for each 500 of 6,000 lines, where the session has four."""
+    monkeypatch.setattr(registry, "PART_ROWS", 500)
+    plan = own.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert f"{36 if name == 'f26_pair_history' else 12}), REPARTITION_BY_NUM" in plan
