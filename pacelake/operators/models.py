@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +79,53 @@ def joint_scenarios(df: DataFrame, group: Sequence[str], member: str, out_probab
     return rows.select(*group, (F.col("place") + 1).alias("scenario"), (-F.col("s.less")).alias("probability"), "s.outs", "left_out")
 
 
+def _moments(columns: Sequence[str]):
+    """Tables of columns to a row for each pair: n, means and sums of squares and products about them, lows and highs, over rows that know both."""
+    pairs = list(combinations(range(len(columns)), 2))
+
+    def read(tables):
+        total = None
+        for table in tables:
+            x = np.column_stack([np.array(table[c].to_numpy(zero_copy_only=False), dtype=float) for c in columns]) if table.num_rows else np.empty((0, len(columns)))
+            null = np.column_stack([table[c].is_null().to_numpy(zero_copy_only=False) for c in columns]) if table.num_rows else np.empty((0, len(columns)), bool)
+            rows = []
+            for i, j in pairs:
+                known = ~(null[:, i] | null[:, j])
+                a, b = (x[:, i], x[:, j]) if known.all() else (x[known, i], x[known, j])
+                if not len(a):
+                    rows.append([0.0] * 6 + [np.inf, -np.inf] * 2)
+                    continue
+                ma, mb = a[0] + (a - a[0]).mean(), b[0] + (b - b[0]).mean()
+                da, db = a - ma, b - mb
+                rows.append([len(a), ma, mb, da @ da, db @ db, da @ db, a.min(), a.max(), b.min(), b.max()])
+            total = np.array(rows) if total is None else _merged(total, np.array(rows))
+        if total is not None:
+            names = ["a", "b", "n", "ma", "mb", "saa", "sbb", "sab", "la", "ha", "lb", "hb"]
+            yield pa.RecordBatch.from_arrays([pa.array([columns[i] for i, _ in pairs]), pa.array([columns[j] for _, j in pairs]), pa.array(total[:, 0].astype("int64")), *map(pa.array, total[:, 1:].T)], names=names)
+
+    return read
+
+
+def _merged(s, t):
+    """Moments of two sets of rows as those of their union."""
+    n = s[:, 0] + t[:, 0]
+    part = np.divide(t[:, 0], n, out=np.zeros_like(n), where=n > 0)
+    d = t[:, 1:3] - s[:, 1:3]
+    across = (s[:, 0] * part)[:, None] * np.column_stack([d[:, 0] * d[:, 0], d[:, 1] * d[:, 1], d[:, 0] * d[:, 1]])
+    return np.column_stack([n, s[:, 1:3] + d * part[:, None], s[:, 3:6] + t[:, 3:6] + across, np.minimum(s[:, 6], t[:, 6]), np.maximum(s[:, 7], t[:, 7]), np.minimum(s[:, 8], t[:, 8]), np.maximum(s[:, 9], t[:, 9])])
+
+
 def correlations(df: DataFrame, columns: Sequence[str], near: float = 0.98) -> DataFrame:
-    """(a, b, n, r, near_duplicate) of all pairs of columns, from one aggregate; nulls are left out pair by pair, and r is null without two different values."""
-    known = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    own = lambda c, a, b: F.when(known(a, b), F.col(c).cast("double"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), own(a, a, b).alias("x"), own(b, a, b).alias("y")) for a, b in combinations(columns, 2)])
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    rows = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("x").alias("n"), r.alias("r"))
-    return rows.select("a", "b", "n", "r", F.coalesce(F.abs("r") >= near, F.lit(False)).alias("near_duplicate"))
+    """(a, b, n, r, near_duplicate) of all pairs of columns; nulls are left out pair by pair, and r is null without two different values.
+
+    Each task gives the moments of its own rows, a row for each pair; those few rows are merged about their common mean.
+    """
+    kinds = "a string, b string, n long, ma double, mb double, saa double, sbb double, sab double, la double, ha double, lb double, hb double"
+    own = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(lambda batches: _moments(list(columns))(batches), kinds)
+    w = Window.partitionBy("a", "b")  # a row for each task
+    mean = lambda m: F.try_divide(F.sum(F.col("n") * F.col(m)).over(w), F.sum("n").over(w))
+    parts = own.withColumns({"da": F.col("ma") - mean("ma"), "db": F.col("mb") - mean("mb")})
+    total = lambda s, x, y: F.sum(F.when(F.col("n") > 0, F.col(s) + F.col("n") * F.col(x) * F.col(y)))
+    sums = parts.groupBy("a", "b").agg(F.sum("n").alias("n"), total("saa", "da", "da").alias("saa"), total("sbb", "db", "db").alias("sbb"), total("sab", "da", "db").alias("sab"), ((F.min("la") < F.max("ha")) & (F.min("lb") < F.max("hb"))).alias("apart"))
+    r = F.when(F.col("apart"), F.try_divide(F.col("sab"), F.sqrt("saa") * F.sqrt("sbb")))
+    return sums.select("a", "b", "n", r.alias("r")).withColumn("near_duplicate", F.coalesce(F.abs("r") >= near, F.lit(False)))

@@ -6,8 +6,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import pacelake.queries as own
+from pacelake.operators import models as M
 from pacelake.operators import stints as S
 from pacelake.operators import temporal as T
 from pacelake.queries import registry
@@ -115,3 +117,14 @@ def test_windows_follow_the_rows(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "PART_ROWS", 500)
     plan = own.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert f"{36 if name == 'f26_pair_history' else 12}), REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_of_columns_need_a_row_a_task(spark):
+    rows = [(float(i % 17), float(i % 5), 0.1, None if i % 3 else float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    got = {(r.a, r.b): r for r in M.correlations(df, ["a", "b", "c", "d"]).collect()}
+    want = df.agg(*[F.corr(x, y).alias(x + y) for x, y in ("ab", "ad", "bd")]).first()
+    assert all(abs(got[x, y].r - want[x + y]) < 1e-12 for x, y in ("ab", "ad", "bd"))
+    assert [got[x, y].r for x, y in ("ac", "bc", "cd")] == [None] * 3
+    assert (got["a", "d"].n, got["a", "b"].n) == (334, 1000)
+    assert "Generate" not in M.correlations(df, ["a", "b"])._jdf.queryExecution().toString()
