@@ -18,8 +18,14 @@ from .windows import islands
 TOLERANCE = 5
 
 
+#: As a number of parts: the inputs are dealt by game already, all in as many parts, and stay so.
+AS_DEALT = 0
+
+
 def _dealt(df: DataFrame, parts: int | None) -> DataFrame:
     """Rows dealt by game, in as many parts as asked for."""
+    if parts == AS_DEALT:
+        return df
     return df.repartition(parts, "game") if parts else df.repartition("game")
 
 
@@ -30,7 +36,8 @@ def spans(subs: DataFrame, starters: DataFrame, length: DataFrame, size: int = 5
     length: game, seconds.  At one instant, players who go both out and in stay.  The reason is that of the first
     instant that breaks a rule: UNBALANCED, OUT_NOT_ON_COURT, IN_ALREADY_ON_COURT, or STARTERS if there aren't ``size`` of them.  Rows with
     a null instant, player or action are no moves; repeated rows count once; sides without starters are left out.
-    All is dealt once by game, in ``parts``: a number that grows with the table bounds what a task holds.
+    All is dealt once by game, in ``parts``: a number that grows with the table bounds what a task holds.  With AS_DEALT inputs that are
+    dealt by game, all in as many parts, stay where they are.
     """
     known = subs.where("player is not null and at is not null").select("game", "side", F.col("at").cast("int").alias("at"), "player", (F.col("action") == "IN").alias("in"), (F.col("action") == "OUT").alias("out"))
     first = starters.where("player is not null").select("game", "side", F.lit(-1).alias("at"), "player", F.lit(True).alias("in"), F.lit(False).alias("out"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import stints as S
+from ..operators.windows import dealt
 from .registry import query
 
 EVENTS = """ev AS (SELECT l_orderkey AS game, l_linenumber AS n, CAST(l_linenumber * 300 + floor(l_quantity) AS INTEGER) AS sec, 'S' || (l_partkey % 5 + 1) AS o, 'B' || l_suppkey AS i, floor(l_quantity) AS points FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
@@ -19,17 +20,18 @@ EVENTS = """ev AS (SELECT l_orderkey AS game, l_linenumber AS n, CAST(l_linenumb
 
 
 def _lines(t):
-    """A line for each number of an order."""
-    return t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    """A line for each number of an order; dealt by order before anything is grouped, so that all that follows by game stays in its part."""
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return dealt(lines, t.parts("lineitem"), ["l_orderkey"]).groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
 
 
 def _spans(t):
     line = _lines(t).select(F.col("l_orderkey").alias("game"), (F.col("l_linenumber") * 300 + F.floor("l_quantity")).cast("int").alias("at"), F.concat(F.lit("S"), (F.col("l_partkey") % 5 + 1).cast("string")).alias("o"), F.concat(F.lit("B"), F.col("l_suppkey").cast("string")).alias("i"))
     moves = F.array(F.struct(F.col("o").alias("player"), F.lit("OUT").alias("action")), F.struct(F.col("i").alias("player"), F.lit("IN").alias("action")))
     subs = line.select("game", F.lit("H").alias("side"), "at", F.explode(moves).alias("m")).select("game", "side", "at", "m.player", "m.action")
-    games = t("lineitem").select(F.col("l_orderkey").alias("game")).distinct()
+    games = dealt(t("lineitem").select(F.col("l_orderkey").alias("game")), t.parts("lineitem"), ["game"]).distinct()
     starters = games.select("game", F.lit("H").alias("side"), F.explode(F.array(*[F.lit(f"S{k}") for k in range(1, 6)])).alias("player"))
-    return S.spans(subs, starters, games.withColumn("seconds", F.lit(2400)), parts=t.parts("lineitem"))
+    return S.spans(subs, starters, games.withColumn("seconds", F.lit(2400)), parts=S.AS_DEALT)
 
 
 def _intervals(t):

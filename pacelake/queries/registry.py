@@ -32,15 +32,17 @@ class Tables:
     """Tables of a folder by name, and what several queries derive from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._parts = spark, folder, {}
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def parts(self, name: str) -> int:
         """Into how many parts rows that follow a table's are dealt, so that a task's share stays the same however large the table; the rows are counted from the file's metadata."""
-        n = self(name).count()
-        return max(1, -(-n // PART_ROWS), min(self.spark.sparkContext.defaultParallelism, n // SMALL_ROWS))
+        if name not in self._parts:
+            n = self(name).count()
+            self._parts[name] = max(1, -(-n // PART_ROWS), min(self.spark.sparkContext.defaultParallelism, n // SMALL_ROWS))
+        return self._parts[name]
 
     def games(self) -> DataFrame:
         """A row for each order: the player-game facts (player = customer, season = year)."""

@@ -128,3 +128,12 @@ def test_pairs_of_columns_need_a_row_a_task(spark):
     assert [got[x, y].r for x, y in ("ac", "bc", "cd")] == [None] * 3
     assert (got["a", "d"].n, got["a", "b"].n) == (334, 1000)
     assert "Generate" not in M.correlations(df, ["a", "b"])._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["j07_audit", "j07_player_stints", "j07_possessions", "j08_rotation", "j09_on_off", "j10_lineup_shares"])
+def test_games_are_dealt_once(spark, no_broadcast, monkeypatch, name):
+    """Lines and games are dealt before they are grouped; no step behind goes back to the session's number of tasks."""
+    monkeypatch.setattr(registry, "PART_ROWS", 500)
+    plan = own.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "12), REPARTITION_BY_NUM" in plan
+    assert "ENSURE_REQUIREMENTS" not in plan
