@@ -90,46 +90,44 @@ def minute_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE, p
 
     known: ``sides`` or ``spans``; box: game, player, seconds; a player without stints has 0, and repeated rows of a player count once, with the most seconds.
     """
-    return _minutes(stored(known, "sides"), box, tolerance, parts)
-
-
-def _minutes(known: DataFrame, box: DataFrame, tolerance: int, parts: int | None) -> DataFrame:
-    """Stints, box rows and a row for each known game are one union, dealt once by game."""
-    row = lambda player, played, official, bad: [F.col(player) if player else F.lit(None).cast("string").alias("player"), played.alias("played"), official.alias("official"), bad.alias("bad")]
-    none, zero = F.lit(None).cast("int"), F.lit(0)
-    games = known.groupBy("game").agg(F.max(F.col("reason").isNotNull()).alias("bad")).select("game", *row(None, zero, none, F.col("bad")))
-    played = stints(known).select("game", *row("player", F.col("to") - F.col("from"), none, F.lit(None).cast("boolean")))
-    listed = box.select("game", *row("player", zero, F.col("seconds").cast("int"), F.lit(None).cast("boolean")))
-    g = _dealt(games.unionByName(played).unionByName(listed), parts).groupBy("game", "player").agg(F.sum("played").cast("int").alias("reconstructed_seconds"), F.max("official").alias("official_seconds"), F.max("bad").alias("bad"))
-    g = g.withColumn("bad", F.max("bad").over(Window.partitionBy("game"))).where("not bad and official_seconds is not null")
+    game = Window.partitionBy("game")
+    g = _compared(known, box, parts).withColumns({"known": F.max("known").over(game), "reasons": F.count("reason").over(game)}).where("known and reasons = 0 and official_seconds is not null")
     apart = F.col("reconstructed_seconds") - F.col("official_seconds")
     return g.select("game", "player", "official_seconds", "reconstructed_seconds", apart.alias("difference_seconds"), (F.abs(apart) <= tolerance).alias("within_tolerance"))
 
 
+def _compared(known: DataFrame, box: DataFrame, parts: int | None) -> DataFrame:
+    """(game, player, reason, reconstructed_seconds, official_seconds, known): stints and box rows by one union, dealt once by game.
+
+    A player of a side with a reason has a row of its own for it; box rows stand with those without one."""
+    if "stints" in known.columns:
+        known = known.select("game", "reason", F.explode_outer("stints").alias("x")).select("game", "reason", "x.player", "x.from", "x.to")
+    seconds = F.when(F.col("reason").isNull() & (F.col("from") < F.col("to")), F.col("to") - F.col("from")).otherwise(0)
+    played = known.select("game", "player", "reason", seconds.alias("played"), F.lit(None).cast("int").alias("official"), F.lit(True).alias("known"))
+    listed = box.select("game", "player", F.lit(None).cast("string").alias("reason"), F.lit(0).alias("played"), F.col("seconds").cast("int").alias("official"), F.lit(False).alias("known"))
+    return _dealt(played.unionByName(listed), parts).groupBy("game", "player", "reason").agg(F.sum("played").cast("int").alias("reconstructed_seconds"), F.max("official").alias("official_seconds"), F.max("known").alias("known"))
+
+
 def game_audit(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE, parts: int | None = None) -> DataFrame:
     """One row for each game: whether it was reconstructed and is usable, the reasons of its quarantine (sorted, joined by |), how many box rows
     agree exactly, within the tolerance and not, and the largest and total absolute error."""
-    return _game_audit(stored(known, "sides"), box, tolerance, parts)
-
-
-def _game_audit(known: DataFrame, box: DataFrame, tolerance: int, parts: int | None) -> DataFrame:
-    apart = F.abs(F.col("difference_seconds"))
-    rows = _minutes(known, box, tolerance, parts).groupBy("game").agg(
-        F.count("*").alias("player_rows"), F.count_if(apart == 0).alias("exact_player_rows"), F.count_if("within_tolerance").alias("near_exact_player_rows"), F.count_if(~F.col("within_tolerance")).alias("outside_tolerance_player_rows"),
-        F.max(apart).cast("long").alias("maximum_absolute_error_seconds"), F.sum(apart).alias("total_absolute_error_seconds"),
-    )
-    game = known.groupBy("game").agg(F.collect_set("reason").alias("reasons")).join(rows, "game", "left")
-    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns if c != "game"}
-    outside = F.coalesce("outside_tolerance_player_rows", F.lit(0)) > 0
-    reasons = F.array_sort(F.when(outside, F.array_append("reasons", F.lit("PLAYER_MINUTES_OUTSIDE_TOLERANCE"))).otherwise(F.col("reasons")))
+    apart = F.abs(F.col("reconstructed_seconds") - F.col("official_seconds"))
+    figures = {
+        "player_rows": F.count("official_seconds"), "exact_player_rows": F.count_if(apart == 0), "near_exact_player_rows": F.count_if(apart <= tolerance), "outside_tolerance_player_rows": F.count_if(apart > tolerance),
+        "maximum_absolute_error_seconds": F.max(apart).cast("long"), "total_absolute_error_seconds": F.sum(apart),
+    }
+    game = _compared(known, box, parts).groupBy("game").agg(F.max("known").alias("known"), F.collect_set("reason").alias("reasons"), *[x.alias(c) for c, x in figures.items()]).where("known")
     whole = F.size("reasons") == 0
-    return game.select("game", whole.alias("structurally_reconstructed"), (whole & ~outside).alias("rotation_usable"), F.when(F.size(reasons) > 0, F.array_join(reasons, "|")).alias("quarantine_reason"), *zero.values())
+    game = game.withColumns({c: F.coalesce(F.when(whole, F.col(c)), F.lit(0).cast("long")) for c in figures})  # a game with a reason isn't compared
+    outside = F.col("outside_tolerance_player_rows") > 0
+    reasons = F.array_sort(F.when(outside, F.array_append("reasons", F.lit("PLAYER_MINUTES_OUTSIDE_TOLERANCE"))).otherwise(F.col("reasons")))
+    return game.select("game", whole.alias("structurally_reconstructed"), (whole & ~outside).alias("rotation_usable"), F.when(F.size(reasons) > 0, F.array_join(reasons, "|")).alias("quarantine_reason"), *figures)
 
 
 def accepted(known: DataFrame, box: DataFrame, tolerance: int = TOLERANCE, parts: int | None = None) -> DataFrame:
     """``sides`` or ``spans`` of the usable games alone."""
     known = stored(known, "sides")
-    return known.join(_game_audit(known, box, tolerance, parts).where("rotation_usable").select("game"), "game", "left_semi")
+    return known.join(game_audit(known, box, tolerance, parts).where("rotation_usable").select("game"), "game", "left_semi")
 
 
 def player_stints(intervals: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ _BOX = f"""{EVENTS}, every AS (SELECT DISTINCT game, unnest(['S1', 'S2', 'S3', '
 
 @query("j07_minute_audit", f"WITH {_BOX} SELECT game, player, CAST(official AS INTEGER) AS official_seconds, CAST(rebuilt AS INTEGER) AS reconstructed_seconds, CAST(e AS INTEGER) AS difference_seconds, abs(e) <= 5 AS within_tolerance FROM err")
 def minute_audit(t):
-    return S.minute_audit(_spans(t), _box(t), parts=t.parts("lineitem"))
+    return S.minute_audit(_spans(t), _box(t), parts=S.AS_DEALT)
 
 
 @query("j07_game_audit", f"""WITH {_BOX}, a AS (SELECT game, count(*) AS n, count(*) FILTER (WHERE e = 0) AS exact, count(*) FILTER (WHERE abs(e) <= 5) AS near, count(*) FILTER (WHERE abs(e) > 5) AS outside, max(abs(e)) AS most, sum(abs(e)) AS total FROM err GROUP BY 1)
@@ -80,7 +80,7 @@ def minute_audit(t):
         coalesce(near, 0) AS near_exact_player_rows, coalesce(outside, 0) AS outside_tolerance_player_rows, CAST(coalesce(most, 0) AS BIGINT) AS maximum_absolute_error_seconds, CAST(coalesce(total, 0) AS BIGINT) AS total_absolute_error_seconds
     FROM (SELECT DISTINCT game FROM ev) g LEFT JOIN bad ON bad.game = g.game LEFT JOIN a ON a.game = g.game""")
 def game_audit(t):
-    return S.game_audit(_spans(t), _box(t), parts=t.parts("lineitem"))
+    return S.game_audit(_spans(t), _box(t), parts=S.AS_DEALT)
 
 
 @query("j07_accepted_stints", f"WITH {_BOX} SELECT game, player, CAST(a AS INTEGER) AS from_s, CAST(z AS INTEGER) AS to_s FROM st WHERE z > a AND game NOT IN (SELECT game FROM err WHERE abs(e) > 5)")

@@ -130,10 +130,22 @@ def test_pairs_of_columns_need_a_row_a_task(spark):
     assert "Generate" not in M.correlations(df, ["a", "b"])._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["j07_audit", "j07_player_stints", "j07_possessions", "j08_rotation", "j09_on_off", "j10_lineup_shares"])
+@pytest.mark.parametrize("name", ["j07_audit", "j07_player_stints", "j07_minute_audit", "j07_game_audit", "j07_possessions", "j08_rotation", "j09_on_off", "j10_lineup_shares"])
 def test_games_are_dealt_once(spark, no_broadcast, monkeypatch, name):
     """Lines and games are dealt before they are grouped; no step behind goes back to the session's number of tasks."""
     monkeypatch.setattr(registry, "PART_ROWS", 500)
     plan = own.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "12), REPARTITION_BY_NUM" in plan
     assert "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_audit_of_sides_and_spans_alike(spark):
+    """A game broken on one side, a good one, one without a box and a box without a game."""
+    subs = spark.createDataFrame([("g", "H", 300, "B9", "OUT"), ("g", "H", 300, "B1", "IN"), ("h", "H", 600, "S1", "OUT"), ("h", "H", 600, "B1", "IN")], "game string, side string, at int, player string, action string")
+    starters = spark.createDataFrame([(g, s, f"{s}{k}" if s == "A" else f"S{k}") for g in "ghi" for s in "HA" for k in range(1, 6)], "game string, side string, player string")
+    length = spark.createDataFrame([(g, 2400) for g in "ghi"], "game string, seconds int")
+    box = spark.createDataFrame([("g", "S1", 2400), ("h", "S1", 603), ("h", "B1", 1800), ("h", "N", 9), ("h", "N", 2), ("x", "S1", 5)], "game string, player string, seconds int")
+    want = [("g", False, False, "OUT_NOT_ON_COURT", 0, 0, 0, 0, 0, 0), ("h", True, False, "PLAYER_MINUTES_OUTSIDE_TOLERANCE", 3, 1, 2, 1, 9, 12), ("i", True, True, None, 0, 0, 0, 0, 0, 0)]
+    for known in (S.sides(subs, starters, length), S.spans(subs, starters, length, parts=3)):
+        assert sorted(tuple(r) for r in S.game_audit(known, box, parts=3).collect()) == want
+        assert sorted(tuple(r) for r in S.minute_audit(known, box).collect()) == [("h", "B1", 1800, 1800, 0, True), ("h", "N", 9, 0, -9, False), ("h", "S1", 603, 600, -3, True)]
