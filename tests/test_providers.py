@@ -89,3 +89,17 @@ def test_html_tables(spark):
     assert H._tables("İ" * 50 + "<table><tr><td>x", True) == [{"names": [], "rows": [{"cells": ["x"], "heads": [False], "marks": []}]}]
     wide = H._tables(f"<table><tr><td colspan=99999>x</td></tr><tr><td>{'y' * 2_000_000}</td></tr></table>", True)
     assert len(wide[0]["rows"][0]["cells"]) == 1000 and len(wide[0]["rows"][1]["cells"][0]) == 2_000_000
+
+
+def test_plain_tags_need_no_parser(monkeypatch):
+    """Texts of plain tags are split; with anything else in them the parser reads the whole text, and both give the same."""
+    texts = ["<table><tr><TH rowspan=2 class='a b'>x</th><th colspan=\"2\">y &amp; z<tr><td checked>1<br>2</table>", "<table><tr><td>a<table><tr><td>b</table>c</td></tr>d > e"]
+    odd = ["<table><tr><td>a<!-- <td> --><td/>b", "<table><tr><td>a<script><td></script>b", "<table><tr><td>1 < 2</td>", "<table><tr><td a='<'>x"]
+    plain = lambda x: H._Reader._plain(H._Reader(""), x)
+    assert [plain(x) for x in texts + odd] == [True] * 2 + [False] * 4
+    read = [H._tables(x, True) for x in texts + odd]
+    monkeypatch.setattr(H._Reader, "_plain", lambda self, text: False)
+    assert [H._tables(x, True) for x in texts + odd] == read
+    monkeypatch.undo()
+    monkeypatch.setattr(H, "_Parser", None)
+    assert [H._tables(x, True) for x in texts] == read[:2]
