@@ -41,8 +41,20 @@ def recent_observations(facts: DataFrame, observed: DataFrame, entity: Sequence[
     One window over the union of both sides carries the last k observations along, so what is
     built is facts times k at most.  ``parts`` that grow with the table bound what a task sorts.
     """
+    out = _looking_back(facts, observed, entity, [key], fact_time, seen_time, tie, values, k, parts).select(key, "__n", F.explode("__last").alias("x"))
+    return out.select(key, (F.col("__n") - F.col("x.n") + 1).cast("int").alias("recency"), *[F.col("x.s")[v].alias(v) for v in values])
+
+
+def recent_lists(facts: DataFrame, observed: DataFrame, entity: Sequence[str], keep: Sequence[str], fact_time: str, seen_time: str, tie: str, values: Sequence[str], k: int, parts: int | None = None) -> DataFrame:
+    """(facts' columns to keep, ``recent``): ``recent_observations`` as one array of (recency, values) for each fact, empty if there are none; nothing is gathered again behind the window."""
+    held = _looking_back(facts, observed, entity, keep, fact_time, seen_time, tie, values, k, parts)
+    return held.select(*keep, F.transform("__last", lambda x: F.struct((F.col("__n") - x["n"] + 1).cast("int").alias("recency"), *[x["s"][v].alias(v) for v in values])).alias("recent"))
+
+
+def _looking_back(facts: DataFrame, observed: DataFrame, entity: Sequence[str], keep: Sequence[str], fact_time: str, seen_time: str, tie: str, values: Sequence[str], k: int, parts: int | None) -> DataFrame:
+    """Facts with __last, the last k observations by their numbers n, and __n, the number of those before."""
     side, at, seen = "__side", "__at", "__seen"
-    f = facts.select(*entity, key, micros(fact_time).alias(at), F.lit(0).alias(side), F.lit(None).cast(observed.select(F.struct(*dict.fromkeys([tie, *values])).alias("s")).schema["s"].dataType).alias(seen))
+    f = facts.select(*dict.fromkeys([*entity, *keep]), micros(fact_time).alias(at), F.lit(0).alias(side), F.lit(None).cast(observed.select(F.struct(*dict.fromkeys([tie, *values])).alias("s")).schema["s"].dataType).alias(seen))
     o = observed.select(*entity, micros(seen_time).alias(at), F.lit(1).alias(side), F.struct(*dict.fromkeys([tie, *values])).alias(seen))
     both = dealt(f.unionByName(o, allowMissingColumns=True), parts, entity)
     order = Window.partitionBy(*entity).orderBy(at, side, F.col(seen)[tie])
@@ -50,8 +62,7 @@ def recent_observations(facts: DataFrame, observed: DataFrame, entity: Sequence[
     numbered = both.withColumn("__n", F.count(seen).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     back = Window.partitionBy(*entity).orderBy("__n").rangeBetween(-(k - 1), 0)
     held = numbered.withColumn("__last", F.collect_list(F.when(F.col(seen).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(seen).alias("s")))).over(back))
-    out = held.where(F.col(side) == 0).select(key, "__n", F.explode("__last").alias("x"))
-    return out.select(key, (F.col("__n") - F.col("x.n") + 1).cast("int").alias("recency"), *[F.col("x.s")[v].alias(v) for v in values])
+    return held.where(F.col(side) == 0)
 
 
 def latest(log: DataFrame, key: Sequence[str], time: str, tie: str, values: Sequence[str]) -> DataFrame:

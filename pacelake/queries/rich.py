@@ -77,9 +77,18 @@ def rotation_features(t):
 def onoff_features(t):
     o, core = _core(t)
     seen = on_off(t).join(o, "game").select("cust", "player", "game", "t", "on_points", "off_points", (F.col("on_points") - F.col("off_points")).alias("split"))
-    facts, h = _family(t, core, seen, ["on_points", "off_points", "split"])
-    a = h.groupBy("key").agg(F.count_if(F.col("recency") <= 5).alias("last_5_n"), r4(_mean("on_points", 5)).alias("last_5_on"), r4(_mean("off_points", 5)).alias("last_5_off"), r4(_mean("split", 5)).alias("last_5_split"), r4(_mean("split", 3)).alias("last_3_split"))
-    return facts.join(a, "key").drop("key")
+    r = T.recent_lists(core, seen, ["cust", "player"], ["game", "player"], "t", "t", "game", ["on_points", "off_points", "split"], 6, t.parts("lineitem")).where(F.size("recent") > 0)
+    return r.select("game", "player", F.size(_near(5)).cast("long").alias("last_5_n"), _recent_mean("on_points", 5).alias("last_5_on"), _recent_mean("off_points", 5).alias("last_5_off"), _recent_mean("split", 5).alias("last_5_split"), _recent_mean("split", 3).alias("last_3_split"))
+
+
+def _near(k):
+    return F.filter("recent", lambda x: x["recency"] <= k)
+
+
+def _recent_mean(c, k):
+    """Mean of whole numbers among the last k, whose sum no order changes."""
+    known = F.filter(_near(k), lambda x: x[c].isNotNull())
+    return r4(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x[c]), F.size(known)))
 
 
 @query("j12_lineup_features", f"""WITH {EVENTS}, {_OBS}, b AS (SELECT game, sec AS x FROM good UNION SELECT game, 0 FROM good UNION SELECT game, 2400 FROM good), i AS (SELECT game, lead(x) OVER (PARTITION BY game ORDER BY x) - x AS s FROM b), q AS (SELECT game, s / 2400.0::DOUBLE AS p FROM i WHERE s > 0),

@@ -149,3 +149,15 @@ def test_audit_of_sides_and_spans_alike(spark):
     for known in (S.sides(subs, starters, length), S.spans(subs, starters, length, parts=3)):
         assert sorted(tuple(r) for r in S.game_audit(known, box, parts=3).collect()) == want
         assert sorted(tuple(r) for r in S.minute_audit(known, box).collect()) == [("h", "B1", 1800, 1800, 0, True), ("h", "N", 9, 0, -9, False), ("h", "S1", 603, 600, -3, True)]
+
+
+def test_recent_lists_hold_the_recent_observations(spark):
+    rows = [(i, i % 7, datetime.datetime(1997, 1, 1) + datetime.timedelta(i // 3), None if i % 11 == 0 else float(i)) for i in range(200)]
+    seen = spark.createDataFrame(rows, "g long, cust long, t timestamp, v double")
+    args = ("t", "t", "g", ["v"], 3, 5)
+    flat = sorted((r.g, r.recency, r.v or -1.0) for r in T.recent_observations(seen, seen, ["cust"], "g", *args).collect())
+    lists = T.recent_lists(seen, seen, ["cust"], ["g"], *args)
+    got = lists.collect()
+    assert len(got) == 200
+    assert sorted((r.g, x.recency, x.v or -1.0) for r in got for x in r.recent) == flat
+    assert lists.rdd.getNumPartitions() == 5
